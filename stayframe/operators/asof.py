@@ -73,11 +73,12 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
     lo = epoch_us(lower_bound) if lower_bound else F.lit(None).cast("long")
     an = anchors.select(
         *[F.col(c) for c in key],
-        *([F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")] if feat else []),
         an_t.alias("_t"),
         F.lit(1).alias("_k"),
         F.struct(*[F.col(c) for c in anchor_id], an_t.alias("t"), lo.alias("lo")).alias("_a"),
     )
+    if feat:
+        an = an.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     u = ev.unionByName(an, allowMissingColumns=True)
     u = u.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)).cast("long")).repartition(*part, "_b")
 

@@ -79,3 +79,20 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
             .select(F.col("c_custkey").alias("subject_id"), F.col("c_custkey").alias("hadm_id"),
                     F.col("n_name").alias("ethnicity"), F.col("c_mktsegment").alias("diagnosis")))
+
+
+def tables(spark: SparkSession, sf_dir: str):
+    """All stand-in tables as a ``plans.dataset.Tables``."""
+    from stayframe.plans.dataset import Tables
+    return Tables(icustays=icustays(spark, sf_dir), chartevents=chartevents(spark, sf_dir),
+                  patients=patients(spark, sf_dir), rrt=rrt(spark, sf_dir),
+                  diagnoses_icd=diagnoses_icd(spark, sf_dir), admissions=admissions(spark, sf_dir))
+
+
+def params(**overrides):
+    """Stand-in parameters as a ``plans.dataset.Params``."""
+    from stayframe.plans.dataset import Params
+    kw = dict(anchor_item=ANCHOR_ITEM, excluded_codes=EXCLUDED_CODES, features=FEATURES,
+              min_age=MIN_AGE_YEARS, min_stay_hours=MIN_STAY_HOURS, label_band=LABEL_BAND)
+    kw.update(overrides)
+    return Params(**kw)
