@@ -41,23 +41,23 @@ def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str
         if lo % bucket_us or hi % bucket_us or hi <= lo:
             raise ValueError("frame bounds must be increasing multiples of the bucket width")
     t = epoch_us(time_col)
-    base = df.select(*partition, *row_id, t.alias("_t"), F.col(value_col).alias("_v"))
     bucket = lambda c: F.floor(c / F.lit(bucket_us)).cast("long")
-
-    events = base.where(F.col("_v").isNotNull()).select(
-        *partition, bucket(F.col("_t")).alias("_b"), "_t", F.lit(1).alias("_k"), "_v",
-        F.lit(None).cast("string").alias("_q"), F.lit(None).cast("int").alias("_side"))
-    probes = []
+    # one scan of the input: each row emits itself as an event (when it has a
+    # value) and one probe per (frame, side) at t+lo / t+hi
+    rid = F.struct(*[F.col(c) for c in row_id])
+    items = [F.struct(F.lit(0).alias("off"), F.lit(1).alias("k"), F.lit(None).cast("string").alias("q"),
+                      F.lit(None).cast("int").alias("side"))]
     for name, (lo, hi) in frames.items():
         for side, off in ((0, lo), (1, hi)):
-            tt = F.col("_t") + F.lit(off)
-            probes.append(base.select(*partition, bucket(tt).alias("_b"), tt.alias("_t"), F.lit(0).alias("_k"),
-                                      F.lit(None).cast("double").alias("_v"), F.lit(name).alias("_q"),
-                                      F.lit(side).alias("_side"),
-                                      F.struct(*[F.col(c) for c in row_id]).alias("_rid")))
-    u = events.unionByName(probes[0], allowMissingColumns=True)
-    for p in probes[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
+            items.append(F.struct(F.lit(off).cast("long").alias("off"), F.lit(0).alias("k"), F.lit(name).alias("q"),
+                                  F.lit(side).alias("side")))
+    base = df.select(*partition, rid.alias("_rid"), t.alias("_t0"), F.col(value_col).cast("double").alias("_v0"))
+    u = (base.select("*", F.explode(F.array(*items)).alias("_e"))
+         .where((F.col("_e.k") == 0) | F.col("_v0").isNotNull())
+         .select(*partition, (F.col("_t0") + F.col("_e.off")).alias("_t"), F.col("_e.k").alias("_k"),
+                 F.when(F.col("_e.k") == 1, F.col("_v0")).alias("_v"), F.col("_e.q").alias("_q"),
+                 F.col("_e.side").alias("_side"), F.when(F.col("_e.k") == 0, F.col("_rid")).alias("_rid"))
+         .withColumn("_b", bucket(F.col("_t"))))
     u = u.repartition(*partition, "_b")
 
     # suffix (side 0): events at or after the probe; prefix (side 1): strictly before

@@ -46,6 +46,7 @@ class Params:
     as_coded: bool = False            # Q2
     admission_match: str = "admission"  # Q3
     bucket_us: int = A.DEFAULT_BUCKET_US
+    materialize: bool = True          # checkpoint the cohort and the merged stage
     extra: dict = field(default_factory=dict)
 
 
@@ -85,7 +86,7 @@ def merged_table(t: Tables, p: Params) -> DataFrame:
     """J11 + P10/P11 + A03 + P09: features and static attributes on the same
     anchors, helper columns dropped, singleton stays dropped, one row per
     (stay, anchor time)."""
-    co = included_cohort(t, p)
+    co = _stage(included_cohort(t, p), p)
     wide = feature_table(co, t, p)
     static = C.attach_admission(co, t.admissions, t.patients, p.admission_match)
     static_keys = static.select(*ANCHOR_ID, "ethnicity", "diagnosis", "gender", F.lit(True).alias("_st"))
@@ -99,10 +100,22 @@ def merged_table(t: Tables, p: Params) -> DataFrame:
     m = drop_columns(m, ["intime", "outtime", "length_of_stay", "rrt", "diagnoses", "hadm_id"])
     m = drop_matching(m, "_time", keep=("creatinine_time",))
     m = drop_matching(m, "_itemid")
+    m = _stage(m, p)
     m = drop_singletons(m, "icustay_id")
     return C.keep_first(m, ANCHOR_ID, [-F.col("anchor_event_id")]).drop("anchor_event_id")
 
 
+def _stage(df: DataFrame, p: Params) -> DataFrame:
+    """Stage boundary: the frame is used by several branches downstream, so it
+    is written once to the shared checkpoint folder (``spark.checkpoint.dir``)
+    instead of being recomputed per branch; the write also cuts the lineage."""
+    if not p.materialize:
+        return df
+    from stayframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _any_found(p: Params):
     cond = F.lit(False)
     for f in p.features:

@@ -506,3 +506,33 @@ SQL["j11_static_dynamic_merge"] = W(*BASE, INCLUDED) + ", inc2 AS (SELECT * FROM
     SELECT * FROM m WHERE icustay_id IN (SELECT icustay_id FROM m GROUP BY icustay_id HAVING count(*) > 1)"""
 
 CHECKS = {k: (fn, SQL.get(k)) for k, fn in QUERIES.items()}
+
+
+def l01_labelled_dataset(spark, d):
+    """The whole dataset build on the stand-ins: cohort, all-feature as-of,
+    static attributes, singleton/duplicate drops, night filter, day offsets,
+    label (the main output of the study)."""
+    out = D.labelled_dataset(S.tables(spark, d), S.params())
+    return out.select("subject_id", "icustay_id", "creatinine", R6(F.col("age")).alias("age"),
+                      *[c for f in S.FEATURES for c in (F.col(f), R6(F.col(f"{f}_delay")).alias(f"{f}_delay"))],
+                      "ethnicity", "diagnosis", "gender", "creatinine_yesterday", "creatinine_before_yesterday",
+                      "label")
+
+
+QUERIES["l01_labelled_dataset"] = l01_labelled_dataset
+SQL["l01_labelled_dataset"] = SQL["j11_static_dynamic_merge"].replace(
+    "SELECT * FROM m WHERE icustay_id IN",
+    """, mm AS (SELECT * FROM m WHERE icustay_id IN""") + """),
+    n AS (SELECT *, epoch_us(creatinine_time) AS us FROM mm WHERE hour(creatinine_time) BETWEEN 0 AND 5),
+    w AS (SELECT *,
+      max(creatinine) OVER (PARTITION BY icustay_id ORDER BY us RANGE BETWEEN 86400000000 FOLLOWING
+                            AND 172799999999 FOLLOWING) AS tm,
+      max(creatinine) OVER (PARTITION BY icustay_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING
+                            AND 1 PRECEDING) AS creatinine_yesterday,
+      max(creatinine) OVER (PARTITION BY icustay_id ORDER BY us RANGE BETWEEN 172800000000 PRECEDING
+                            AND 86400000001 PRECEDING) AS creatinine_before_yesterday FROM n)
+    SELECT subject_id, icustay_id, creatinine, age, browse, browse_delay, error, error_delay, signup, signup_delay,
+      ethnicity, diagnosis, gender, creatinine_yesterday, creatinine_before_yesterday,
+      CASE WHEN tm - creatinine > 20.0 THEN 0 WHEN tm - creatinine < -20.0 THEN 1 ELSE 2 END AS label
+    FROM w WHERE tm IS NOT NULL"""
+CHECKS["l01_labelled_dataset"] = (l01_labelled_dataset, SQL["l01_labelled_dataset"])
