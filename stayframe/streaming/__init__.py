@@ -1,0 +1,7 @@
+"""Streaming.
+
+The study this package re-expresses is batch only: it has no streams,
+watermarks, event-time windows or late data. Nothing is built here; the
+operators are plain DataFrame functions, so a user can apply them to each
+micro-batch with ``writeStream.foreachBatch`` if they need to.
+"""
