@@ -9,14 +9,14 @@ Plan (no candidate pairs, no task per key):
 
 1. Events and anchors are unioned into one narrow table keyed by
    (key, feature, time bucket) and shuffled once on that key.
-2. Inside each (key, feature, bucket) a running ``max`` over a struct that
-   sorts by (time, tie-break) gives, at every anchor row, the latest event of
-   the bucket up to the anchor (events sort before anchors at equal time, so
-   the upper bound is inclusive).
-3. Per (key, feature, bucket) the latest event of the bucket is aggregated on
-   the same partitioning; a window over these bucket summaries (one row per
-   non-empty bucket, not per event) carries the latest event of all earlier
-   buckets forward.
+2. One window pass inside each (key, feature, bucket): a running ``max``
+   over a struct that sorts by (time, tie-break) gives, at every anchor row,
+   the latest event of the bucket up to the anchor (events sort before
+   anchors at equal time, so the upper bound is inclusive); the same pass
+   gives the latest event of the whole bucket. Only anchor rows and one row
+   per bucket leave this pass (checkpointed: small, and read twice below).
+3. A window over the bucket rows (one per non-empty bucket, not per event)
+   carries the latest event of all earlier buckets forward.
 4. The anchor takes the greater of (2) and (3), and drops it when it is older
    than the lower bound.
 
@@ -36,6 +36,13 @@ from stayframe.functions.time import HOUR_US, epoch_us
 DEFAULT_BUCKET_US = 6 * HOUR_US
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared ``spark.checkpoint.dir``."""
+    from stayframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def tag_features(events: DataFrame, spec: DataFrame, item_col: str = "itemid", value_col: str = "valuenum",
                  spec_item: str = "item", spec_feature: str = "feature") -> DataFrame:
     """P03 for all features at once: events joined to the (feature, item) spec.
@@ -50,7 +57,7 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
                 anchor_time: str, event_time: str, value_col: str, item_col: str, tiebreak: str,
                 lower_bound: str | None = None, feature_col: str | None = None,
                 features: list[str] | None = None, how: str = "left",
-                bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+                bucket_us: int = DEFAULT_BUCKET_US, materialize: bool = True) -> DataFrame:
     """Long result: one row per (anchor, feature) with columns
     ``anchor_id..., feature, value, delay, time, item``.
 
@@ -82,15 +89,22 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
     u = ev.unionByName(an, allowMissingColumns=True)
     u = u.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)).cast("long")).repartition(*part, "_b")
 
-    # (2) latest event up to each anchor, inside its bucket
-    w_in = Window.partitionBy(*part, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (u.withColumn("_in", F.max("_ev").over(w_in)).where(F.col("_k") == 1)
-              .select(*part, "_b", "_a", "_in"))
-
-    # (3) latest event of all earlier buckets
-    summary = u.groupBy(*part, "_b").agg(F.max("_ev").alias("_best"))
+    # (2)+(3a) one window pass per (key, feature, bucket): the latest event up
+    # to each row, the latest event of the whole bucket, and a first-row mark
+    w = Window.partitionBy(*part, "_b").orderBy("_t", "_k")
+    s1 = (u.select(*part, "_b", "_k", "_a",
+                   F.max("_ev").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_in"),
+                   F.max("_ev").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_bmax"),
+                   (F.row_number().over(w) == 1).alias("_first"))
+          .where((F.col("_k") == 1) | F.col("_first")))
+    # anchors + one row per bucket: small next to the events; written once so
+    # that both branches below read it instead of re-running the event pass
+    s1 = _materialize(s1) if materialize else s1
+
+    # (3b) latest event of all earlier buckets (one row per non-empty bucket)
     w_carry = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*part, "_b", F.max("_best").over(w_carry).alias("_carry"))
+    carry = s1.where(F.col("_first")).select(*part, "_b", F.max("_bmax").over(w_carry).alias("_carry"))
+    inside = s1.where(F.col("_k") == 1).select(*part, "_b", "_a", "_in")
 
     # (4) combine and apply the lower bound
     j = inside.join(carry, part + ["_b"], "left")

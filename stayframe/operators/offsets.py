@@ -13,7 +13,9 @@ but a partition key is never processed by one task: with bucket width ``h``
 Suffix and prefix are running maxima inside (partition, bucket) groups, over
 the events plus one probe row per (row, frame) placed at ``t+lo`` / ``t+hi``.
 The middle part is a RANGE window over the per-bucket maxima (one row per
-non-empty bucket).
+non-empty bucket). Suffix, prefix and bucket maxima come out of one window
+pass; its output (probes + one row per bucket) is checkpointed and read by
+the two small follow-up steps.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ DAY_FRAMES = {
 
 def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str, row_id: list[str],
               frames: dict[str, tuple[int, int]], bucket_us: int = DEFAULT_BUCKET_US,
-              prefix: str = "") -> DataFrame:
+              prefix: str = "", materialize: bool = True) -> DataFrame:
     """Adds one column ``prefix + name`` per frame. ``row_id`` must be unique."""
     for lo, hi in frames.values():
         if lo % bucket_us or hi % bucket_us or hi <= lo:
@@ -60,15 +62,25 @@ def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str
          .withColumn("_b", bucket(F.col("_t"))))
     u = u.repartition(*partition, "_b")
 
-    # suffix (side 0): events at or after the probe; prefix (side 1): strictly before
+    # one window pass per (partition, bucket): suffix max (side 0, events at
+    # or after the probe), prefix max (side 1, strictly before), the bucket
+    # max and a first-row mark; only probes and one row per bucket leave it
     w = Window.partitionBy(*partition, "_b").orderBy("_t", "_k")
     after = F.max("_v").over(w.rowsBetween(0, Window.unboundedFollowing))
     before = F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    edge = (u.select("*", F.when(F.col("_side") == 0, after).otherwise(before).alias("_edge"))
-            .where(F.col("_k") == 0))
+    whole = F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    s1 = (u.select(*partition, "_b", "_k", "_q", "_side", "_rid",
+                   F.when(F.col("_side") == 0, after).otherwise(before).alias("_edge"),
+                   whole.alias("_bmax"), (F.row_number().over(w) == 1).alias("_first"))
+          .where((F.col("_k") == 0) | F.col("_first")))
+    if materialize:
+        from stayframe.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        s1 = s1.checkpoint(eager=True)
+    edge = s1.where(F.col("_k") == 0)
+    summary = s1.where(F.col("_first")).select(*partition, "_b", "_bmax")
 
     # whole buckets strictly inside the frame
-    summary = u.groupBy(*partition, "_b").agg(F.max("_v").alias("_bmax"))
     mids = []
     for name, (lo, hi) in frames.items():
         n = (hi - lo) // bucket_us
