@@ -158,6 +158,17 @@ def s05_feature_spec(spark, d):
     return tagged.groupBy("feature", "itemid").agg(F.count(F.lit(1)).alias("n"), R6(F.sum("valuenum")).alias("total"))
 
 
+def s06_parameterised_features(spark, d):
+    """The per-feature query of the study, built once for every spec row:
+    spec loaded from its CSV form (S05), one as-of pass for all features."""
+    spec = IO.load_feature_spec(spark, csv_text=SPEC_CSV_STANDIN, item_type="string")
+    p = S.params(features={f: v for f, v in IO.spec_items(spec).items() if f in S.FEATURES})
+    wide = D.feature_table(_cohort(spark, d), S.tables(spark, d), p)
+    return wide.select("icustay_id", "creatinine_time",
+                       *[c for f in S.FEATURES for c in (F.col(f), R6(F.col(f"{f}_delay")).alias(f"{f}_delay"),
+                                                         F.col(f"{f}_itemid"))])
+
+
 def s07_fixed_sample(spark, d):
     return IO.fixed_size_sample(_t(spark, d, "events"), 500, ["event_id"], seed=42).select("event_id", "value")
 
@@ -496,6 +507,7 @@ def _wide_sql(anchors: str) -> str:
 
 
 SQL["j09_all_features"] = W(*BASE, ALLANCH) + ", " + _wide_sql("allanch") + "SELECT * FROM wide"
+SQL["s06_parameterised_features"] = SQL["j09_all_features"]
 SQL["j11_static_dynamic_merge"] = W(*BASE, INCLUDED) + ", inc2 AS (SELECT * FROM included), " + \
     _wide_sql("inc2") + """, st AS (SELECT i.*, n_name AS ethnicity, c_mktsegment AS diagnosis, p.gender
       FROM included i JOIN customer c ON c.c_custkey = i.subject_id JOIN nation ON n_nationkey = c_nationkey

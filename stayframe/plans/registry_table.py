@@ -54,6 +54,15 @@ cm AS (SELECT CAST(g.i AS INTEGER) AS label, CAST(g.j AS INTEGER) AS prediction,
   LEFT JOIN p ON p.label = g.i AND p.prediction = g.j GROUP BY g.i, g.j)"""
 
 
+def p09_keep_first(spark, d):
+    """One row per (l_orderkey, l_linenumber), which is not unique in
+    lineitem; the full key breaks ties."""
+    from stayframe.operators.cohort import keep_first
+    li = _t(spark, d, "lineitem").select(*LI_KEY, "l_quantity", "l_extendedprice", "l_shipdate")
+    return keep_first(li, ["l_orderkey", "l_linenumber"],
+                      ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"])
+
+
 def p10_drop_listed(spark, d):
     return CL.drop_columns(_t(spark, d, "lineitem"), ["l_tax", "l_comment", "l_shipdate"])
 
@@ -378,6 +387,9 @@ def _nulls_sql(fn: str, alias: str) -> str:
 
 
 SQL = {
+    "p09_keep_first": f"""SELECT {LI_KEY_SQL}, l_quantity, l_extendedprice, l_shipdate FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+          ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) = 1""",
     "p10_drop_listed": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
         l_discount, l_returnflag, l_linestatus FROM lineitem""",
     "p11_drop_pattern": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,

@@ -64,26 +64,43 @@ SPEC_SCHEMA = ("name string, `table` string, variable string, item_id long, item
                "item_id_3 long, item_id_4 long, item_id_5 long, item_id_6 long")
 
 
-def load_feature_spec(spark: SparkSession, path: str | None = None, csv_text: str | None = None) -> DataFrame:
+def spec_items(spec: DataFrame, max_rows: int = 100_000) -> dict[str, list]:
+    """The long spec as {feature: [items]} (a short metadata table; refused
+    beyond ``max_rows``)."""
+    rows = spec.select("feature", "item").limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError("feature spec too large to use as a constant")
+    out: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r.feature, str(r.item))):
+        out.setdefault(r.feature, []).append(r.item)
+    return out
+
+
+def load_feature_spec(spark: SparkSession, path: str | None = None, csv_text: str | None = None,
+                      item_type: str = "long") -> DataFrame:
     """The feature spec as a long table (feature, table, variable, item).
 
     Names are lower-cased, as the original SQL folds them. Spec rows with no
     item id at all are dropped; remaining ids are unpivoted into one row each.
     """
+    schema = SPEC_SCHEMA.replace(" long", f" {item_type}")
     if path is not None:
-        wide = spark.read.option("header", True).schema(SPEC_SCHEMA).csv(path)
+        wide = spark.read.option("header", True).schema(schema).csv(path)
     else:
         import csv
         import io
         rows = list(csv.DictReader(io.StringIO(csv_text)))
         id_cols = [k for k in rows[0] if k.startswith("item_id")]
+        conv = int if item_type == "long" else str
         data = [(r["name"], r["table"], r["variable"],
-                 *[int(r[k]) if r[k] else None for k in id_cols]) for r in rows]
-        wide = spark.createDataFrame(data, SPEC_SCHEMA)
+                 *[conv(r[k]) if r[k] else None for k in id_cols]) for r in rows]
+        n_ids = len(id_cols)
+        schema = ", ".join(schema.split(", ")[:3 + n_ids])
+        wide = spark.createDataFrame(data, schema)
     id_cols = [c for c in wide.columns if c.startswith("item_id")]
     long = wide.unpivot(["name", "table", "variable"], id_cols, "slot", "item")
     return (long.where(F.col("item").isNotNull())
-            .select(F.lower("name").alias("feature"), "table", "variable", F.col("item").cast("long").alias("item")))
+            .select(F.lower("name").alias("feature"), "table", "variable", F.col("item").cast(item_type).alias("item")))
 
 
 def spec_from_rows(spark: SparkSession, mapping: dict[str, list], item_type: str = "string") -> DataFrame:
