@@ -382,7 +382,8 @@ def _profile_sql():
 
 def _nulls_sql(fn: str, alias: str) -> str:
     cols = ["disc", "tax", "qty", "empty_col"]
-    body = " UNION ALL ".join(f"""SELECT '{c}' AS "column", {fn.format(c=c)} AS {alias} FROM li""" for c in cols)
+    body = " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST({fn.format(c=c)} AS {'BIGINT' if alias == 'nulls' else 'DOUBLE'})
+        AS {alias} FROM li""" for c in cols)
     return body
 
 
@@ -416,8 +417,8 @@ SQL = {
     "a06_class_proportions": """SELECT l_returnflag, count(*) AS count,
         round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY l_returnflag""",
     "a07_null_counts": f"WITH {LI_NULLS} " + _nulls_sql("count_if({c} IS NULL)", "nulls") +
-        """ UNION ALL SELECT '__total__', count_if(disc IS NULL) + count_if(tax IS NULL) + count_if(qty IS NULL)
-        + count_if(empty_col IS NULL) FROM li""",
+        """ UNION ALL SELECT '__total__', CAST(count_if(disc IS NULL) + count_if(tax IS NULL) + count_if(qty IS NULL)
+        + count_if(empty_col IS NULL) AS BIGINT) FROM li""",
     "a08_missing_rate": f"WITH {LI_NULLS} " + _nulls_sql("round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6)",
                                                          "missing_rate"),
     "a09_distinct_count": "SELECT count(DISTINCT l_partkey) AS n_distinct FROM lineitem",

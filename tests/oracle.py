@@ -32,6 +32,22 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> list[str]:
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    d = dict((r[0], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall())
+    out = []
+    for f in spark_df.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if d.get(f.name) != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} duck {d.get(f.name)}")
+    return out
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     s_cols = sorted(spark_df.columns)
     s_rows = [tuple(_norm(r[c]) for c in s_cols) for r in spark_df.collect()]

@@ -12,7 +12,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from oracle import compare, duck  # noqa: E402
+from oracle import compare, duck, type_mismatches  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
 from stayframe.session import local_session  # noqa: E402
@@ -33,6 +33,9 @@ def main(argv):
             df = fn(spark, sf_dir)
             if name in sqls:
                 ok, msg = compare(df, con, sqls[name])
+                tm = type_mismatches(df, con, sqls[name])
+                if tm:
+                    msg += " TYPES " + "; ".join(tm)
             else:
                 n = df.count()
                 ok, msg = True, f"{n} rows (no oracle)"
