@@ -8,6 +8,8 @@ numeric column set.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,88 @@ from pyspark.sql import types as T
 from stayframe.operators.clean import NUMERIC
 
 
+QUANTILE_BINS = 1024
+QUANTILE_COLLECT_MAX = 50_000
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], q: float = 0.5) -> dict[str, float | None]:
+    """Exact quantile (linear interpolation, as ``percentile`` / DuckDB
+    ``quantile_cont``) of each column, without gathering a column's values in
+    one task: each level counts the values of all columns in 1,024
+    equal-width bins (one aggregation job), keeps the bin holding the wanted
+    rank, and repeats inside it until the bin holds few distinct values,
+    which are then counted exactly."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x"))
+                                         for c in cols])).alias("r")).select("r.c", "r.x") \
+             .where(F.col("x").isNotNull() & ~F.isnan("x"))
+    stats = {r.c: (r.n, r.lo, r.hi) for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n"),
+                                                                     F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    out: dict[str, float | None] = {c: None for c in cols}
+    # wanted 0-based ranks per column, each narrowed independently
+    todo = {}
+    for c in cols:
+        if c not in stats:
+            continue
+        n, lo, hi = stats[c]
+        pos = (n - 1) * q
+        for k in sorted({int(pos // 1), int(-(-pos // 1))}):
+            todo[(c, k)] = {"cond": [], "lo": lo, "hi": hi, "skip": 0, "k": k, "pos": pos}
+    found: dict[tuple, float] = {}
+    while todo:
+        # levels: bin every open range of every column in one job
+        open_ = list(todo.items())
+        parts = []
+        for i, ((c, k), st) in enumerate(open_):
+            w = (st["hi"] - st["lo"]) / QUANTILE_BINS
+            cond = reduce(lambda a, b: a & b, st["cond"], F.col("c") == c)
+            b = (F.least(F.floor((F.col("x") - F.lit(st["lo"])) / F.lit(w)), F.lit(QUANTILE_BINS - 1))
+                 if w > 0 else F.lit(0)).cast("int")
+            parts.append(F.when(cond, F.struct(F.lit(i).alias("q"), b.alias("b"))))
+        tagged = long.select(F.explode(F.array(*parts)).alias("t"), "x").where(F.col("t").isNotNull())
+        counts = tagged.groupBy("t.q", "t.b").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.min("x").alias("mn"), F.max("x").alias("mx")).collect()
+        by_q: dict[int, list] = {}
+        for r in counts:
+            by_q.setdefault(r.q, []).append(r)
+        small = []
+        for i, ((c, k), st) in enumerate(open_):
+            acc = st["skip"]
+            for r in sorted(by_q.get(i, []), key=lambda r: r.b):
+                if acc + r.n > k:
+                    w = (st["hi"] - st["lo"]) / QUANTILE_BINS
+                    b = r.b
+                    if r.mn == r.mx:
+                        found[(c, k)] = r.mn
+                        del todo[(c, k)]
+                    else:
+                        bexpr = (F.least(F.floor((F.col("x") - F.lit(st["lo"])) / F.lit(w)),
+                                         F.lit(QUANTILE_BINS - 1)).cast("int") == b) if w > 0 else F.lit(True)
+                        st["cond"] = st["cond"] + [bexpr]
+                        st["skip"], st["lo"], st["hi"] = acc, r.mn, r.mx
+                        if r.n <= QUANTILE_COLLECT_MAX:
+                            small.append((i, c, k, st))
+                    break
+                acc += r.n
+        for i, c, k, st in small:
+            cond = reduce(lambda a, b: a & b, st["cond"], F.col("c") == c)
+            vals = sorted((r.x, r.n) for r in long.where(cond).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect())
+            acc = st["skip"]
+            for x, n in vals:
+                if acc + n > k:
+                    found[(c, k)] = x
+                    break
+                acc += n
+            del todo[(c, k)]
+    for c in cols:
+        if c not in stats:
+            continue
+        pos = (stats[c][0] - 1) * q
+        lo_k, hi_k = int(pos // 1), int(-(-pos // 1))
+        a, b = found[(c, lo_k)], found[(c, hi_k)]
+        out[c] = a + (pos - lo_k) * (b - a)
+    return out
+
+
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     """(value, count) by descending count, then value."""
     src = df.where(F.col(col).isNotNull()) if dropna else df
@@ -51,20 +135,27 @@ def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, cols: list[str], exact_median: bool = True) -> DataFrame:
-    """A10: one row per column: median, mean, min, max."""
-    med = F.median if exact_median else (lambda c: F.percentile_approx(c, 0.5))
-    parts = [df.agg(F.lit(c).alias("column"), med(F.col(c)).cast("double").alias("median"),
-                    F.avg(c).alias("mean"), F.min(c).cast("double").alias("min"),
-                    F.max(c).cast("double").alias("max")) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A10: one row per column: median, mean, min, max. The exact median is
+    found by distributed bin refinement (``exact_quantiles``); the approximate
+    one by ``percentile_approx``."""
+    row = df.agg(*[F.avg(c).alias(f"{c}__mean") for c in cols], *[F.min(c).cast("double").alias(f"{c}__min") for c in cols],
+                 *[F.max(c).cast("double").alias(f"{c}__max") for c in cols],
+                 *([] if exact_median else [F.percentile_approx(c, 0.5).cast("double").alias(f"{c}__med") for c in cols]))
+    meds = exact_quantiles(df, cols) if exact_median else None
+    structs = [F.struct(F.lit(c).alias("column"),
+                        (F.lit(meds[c]).cast("double") if meds is not None else F.col(f"{c}__med")).alias("median"),
+                        F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__min").alias("min"),
+                        F.col(f"{c}__max").alias("max")) for c in cols]
+    return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
 def mode(df: DataFrame, col: str) -> DataFrame:
-    """Most frequent non-NULL value; ties go to the smallest value."""
-    return value_counts(df, col).limit(1).select(F.col(col).alias("mode"), "count")
+    """Most frequent non-NULL value; ties go to the smallest value. The
+    pick is an aggregation over (value, count) rows (combined map-side), not a
+    map of all values in one buffer."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    best = counts.agg(F.min(F.struct((-F.col("count")).alias("neg"), F.col(col).alias("v"))).alias("m"))
+    return best.where(F.col("m").isNotNull()).select(F.col("m.v").alias("mode"), (-F.col("m.neg")).alias("count"))
 
 
 def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:
@@ -111,11 +202,11 @@ def profile(df: DataFrame, truncate: bool = False) -> DataFrame:
         c = f.name
         aggs += [F.count(c).alias(f"{c}__nn"), F.count_distinct(c).alias(f"{c}__nd")]
         if c in numeric:
-            aggs += [F.median(c).cast("double").alias(f"{c}__med"), F.avg(c).alias(f"{c}__mean"),
+            aggs += [F.avg(c).alias(f"{c}__mean"),
                      F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
-        else:
-            aggs += [F.mode(c, deterministic=True).cast("string").alias(f"{c}__mode")]
     one = df.agg(*aggs)
+    meds = exact_quantiles(df, numeric) if numeric else {}
+    modes = _modes(df, [f.name for f in fields if f.name not in numeric])
     rows = []
     for f in fields:
         c = f.name
@@ -127,9 +218,26 @@ def profile(df: DataFrame, truncate: bool = False) -> DataFrame:
             F.col(f"{c}__nd").alias("n_distinct"),
             F.when(F.col(f"{c}__nn") == 0, "empty").when(F.col(f"{c}__nd") == 1, "useless")
              .otherwise("ok").alias("verdict"),
-            (st("med") if num else F.lit(None).cast("double")).alias("median"),
+            (_trunc(F.lit(meds.get(c)).cast("double"), truncate) if num else F.lit(None).cast("double")).alias("median"),
             (st("mean") if num else F.lit(None).cast("double")).alias("mean"),
             (st("min") if num else F.lit(None).cast("double")).alias("min"),
             (st("max") if num else F.lit(None).cast("double")).alias("max"),
-            (F.lit(None).cast("string") if num else F.col(f"{c}__mode")).alias("mode")))
+            (F.lit(None).cast("string") if num else F.lit(modes.get(c)).cast("string")).alias("mode")))
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _trunc(c, truncate: bool):
+    return c.cast("long").cast("double") if truncate else c
+
+
+def _modes(df: DataFrame, cols: list[str]) -> dict:
+    """Mode of several columns in one pass over (column, value) pairs: counts
+    per pair, then the (most frequent, smallest) value per column by an
+    aggregation over the counts."""
+    if not cols:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                         for c in cols])).alias("r")).select("r.c", "r.v").where(F.col("v").isNotNull())
+    counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("v"))).alias("m"))
+    return {r.c: r.m.v for r in best.collect()}

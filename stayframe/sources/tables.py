@@ -118,7 +118,22 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 
 def fixed_size_sample(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
     """A repeatable sample of exactly ``min(n, count)`` rows: the ``n`` rows
-    with the smallest md5(key|seed). Each task keeps its own top ``n`` first,
-    so only ``n`` rows per task reach the final merge."""
+    with the smallest md5(key|seed).
+
+    The ordering is only applied to a pre-filtered candidate set: rows whose
+    hash prefix is under a threshold expected to keep about 4n rows (widened
+    until at least n rows pass), so no task ever ships ``n`` rows per map
+    partition to a single reducer."""
     h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
-    return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
+    d = df.withColumn("_h", h)
+    total = df.count()
+    if total <= n:
+        return d.orderBy("_h", *key_cols).drop("_h")
+    frac = min(1.0, 4.0 * n / total)
+    while True:
+        thr = format(min(int(frac * 16 ** 8), 16 ** 8 - 1), "08x")
+        cand = d.where(F.substring("_h", 1, 8) <= F.lit(thr))
+        if frac >= 1.0 or cand.count() >= n:
+            break
+        frac = min(1.0, frac * 4)
+    return cand.orderBy("_h", *key_cols).limit(n).drop("_h")

@@ -75,3 +75,31 @@ def test_strata_rank_is_exact(spark):
     s = SP.stratified_split(df, "cls", ["id"], seed=44).groupBy("cls", "split").count().toPandas()
     a = dict(zip(s[s.cls == "a"].split, s[s.cls == "a"]["count"]))
     assert a == {"hyperopt": 2160, "compare": 270, "test": 270}
+
+
+def test_exact_quantiles_match_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from stayframe.operators import profile as PR
+    rnd = random.Random(11)
+    vals_a = [float(rnd.randint(0, 50)) for _ in range(997)]             # many duplicates, odd n
+    vals_b = [rnd.gauss(0, 1e6) for _ in range(1000)] + [42.0] * 600     # a hot value, even n
+    rows = [(i, vals_a[i] if i < len(vals_a) else None, vals_b[i]) for i in range(len(vals_b))]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    for bins, cap in ((1024, 50_000), (4, 10)):
+        monkeypatch.setattr(PR, "QUANTILE_BINS", bins)
+        monkeypatch.setattr(PR, "QUANTILE_COLLECT_MAX", cap)
+        for q in (0.5, 0.1, 0.9):
+            got = PR.exact_quantiles(df, ["a", "b"], q)
+            assert abs(got["a"] - float(np.quantile(vals_a, q))) < 1e-9
+            assert abs(got["b"] - float(np.quantile(vals_b, q))) < 1e-6
+
+
+def test_fixed_size_sample_is_smallest_hashes(spark):
+    import hashlib
+
+    from stayframe.sources.tables import fixed_size_sample
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    got = sorted(r.k for r in fixed_size_sample(df, 37, ["k"], seed=42).collect())
+    want = sorted(sorted(range(5000), key=lambda k: (hashlib.md5(f"{k}|42".encode()).hexdigest(), k))[:37])
+    assert got == want
