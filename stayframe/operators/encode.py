@@ -6,7 +6,7 @@ as plain column arithmetic; the rows stay on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -92,10 +92,9 @@ def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight"
     """``n / (k * count(class))`` as a column; the per-class counts are
     an aggregate (one row per class) joined back."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    # the window runs over one row per class, never over the input rows
-    cw = counts.select(label, (F.sum("_c").over(Window.partitionBy()) /
-                               (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_c"))).alias(weight))
-    return df.join(cw, label, "left")  # AQE broadcasts it from runtime size
+    n, k = counts.agg(F.sum("_c"), F.count(F.lit(1))).first()
+    cw = counts.select(label, (F.lit(float(n)) / (F.lit(k) * F.col("_c"))).alias(weight))
+    return df.join(cw, label, "left")  # one row per class; AQE broadcasts it from runtime size
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features", handle_invalid: str = "error") -> DataFrame:

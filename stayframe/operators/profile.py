@@ -107,10 +107,10 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
 
 
 def class_proportions(df: DataFrame, col: str) -> DataFrame:
-    """Share of each value. The window runs over the aggregated counts
-    (one row per distinct value), never over the input rows."""
+    """Share of each value (count over the total, a scalar pass)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(col, "count", (F.col("count") / F.sum("count").over(Window.partitionBy())).alias("share"))
+    total = df.count()
+    return counts.select(col, "count", (F.col("count") / F.lit(total)).alias("share"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -191,16 +191,19 @@ def mean_std(df: DataFrame, cols: list[str]) -> DataFrame:
                  .select("r.*")
 
 
-def profile(df: DataFrame, truncate: bool = False) -> DataFrame:
+def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False) -> DataFrame:
     """One row per column: type, n, missing %, distinct, verdict
     (``empty`` / ``useless`` / ``ok``), numeric stats, and the mode of
-    non-numeric columns."""
+    non-numeric columns. Exact distinct counts of many columns in one
+    aggregate replicate each row once per column in the shuffle;
+    ``approx_distinct=True`` uses HLL sketches instead (no replication)."""
     fields = df.schema.fields
     numeric = [f.name for f in fields if isinstance(f.dataType, NUMERIC)]
     aggs = [F.count(F.lit(1)).alias("__n")]
     for f in fields:
         c = f.name
-        aggs += [F.count(c).alias(f"{c}__nn"), F.count_distinct(c).alias(f"{c}__nd")]
+        nd = F.approx_count_distinct(c) if approx_distinct else F.count_distinct(c)
+        aggs += [F.count(c).alias(f"{c}__nn"), nd.alias(f"{c}__nd")]
         if c in numeric:
             aggs += [F.avg(c).alias(f"{c}__mean"),
                      F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
