@@ -15,7 +15,6 @@ from stayframe.operators import asof as A
 from stayframe.operators import cohort as C
 from stayframe.operators import label as L
 from stayframe.operators import offsets as O
-from stayframe.operators.profile import value_counts  # noqa: F401
 from stayframe.plans import dataset as D
 from stayframe.session import stage_path
 from stayframe.sources import standins as S
@@ -114,6 +113,11 @@ def _asof(spark, d, items, how="inner", anchors=None, truncate_hour=False):
     return long.withColumn("delay", R6(F.col("delay")))
 
 
+def _tag(d: str) -> str:
+    import hashlib
+    return hashlib.md5(d.encode()).hexdigest()[:12]
+
+
 def s01_table_scan(spark, d):
     return _t(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts")
 
@@ -127,13 +131,13 @@ def s02_namespace(spark, d):
 
 
 def s03_csv_scan(spark, d):
-    path = stage_path(spark, f"s03_events_csv_{abs(hash(d))}")
+    path = stage_path(spark, f"s03_events_csv_{_tag(d)}")
     IO.write_table(_t(spark, d, "events").select("event_id", "user_id", "event_type", "value"), path, fmt="csv")
     return IO.read_csv(spark, path, "event_id long, user_id long, event_type string, value double")
 
 
 def s04_table_sink(spark, d):
-    path = stage_path(spark, f"s04_lineitem_{abs(hash(d))}")
+    path = stage_path(spark, f"s04_lineitem_{_tag(d)}")
     IO.write_table(_t(spark, d, "lineitem"), path, partition_by=["l_returnflag"])
     return spark.read.parquet(path).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
 

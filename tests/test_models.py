@@ -63,3 +63,14 @@ def test_study_plan_end_to_end(spark):
     assert comp.count() == 1 and gen.count() == 1 and grid.count() == 1
     nulls = TR.prepare_with_nulls(df)
     assert nulls.where(F.col("heart_rate_delay").isNull()).count() > 0
+
+
+def test_explore_plan(spark):
+    from stayframe.plans.explore import explore
+    from stayframe.sources.tables import read_table
+    li = read_table(spark, "lineitem", "/root/testdata/sf0.001")
+    prof, tables = explore(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], sample_n=500)
+    rows = {r.column: r for r in prof.collect()}
+    assert set(rows) == set(li.columns)
+    assert rows["l_quantity"].verdict == "ok" and tables["l_quantity"].count() <= 50
+    assert tables["l_returnflag"].count() == 3
