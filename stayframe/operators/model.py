@@ -34,25 +34,29 @@ class OvrBalanced:
     class with the largest margin."""
 
     def __init__(self, make_binary: Callable[[], object], classes=CLASSES, features: str = "features",
-                 label: str = "label"):
+                 label: str = "label", parallelism: int = 3):
         self.make_binary, self.classes, self.features, self.label = make_binary, classes, features, label
+        self.parallelism = parallelism
 
     def fit(self, df: DataFrame) -> "OvrBalancedModel":
         counts = {r[0]: r[1] for r in df.groupBy(self.label).count().collect()}
         n = sum(counts.values())
-        models = []
-        for k in self.classes:
+
+        def fit_one(k):
             pos = counts.get(float(k), counts.get(k, 0))
             if pos == 0 or pos == n:
-                models.append(None)
-                continue
+                return None
             w_pos, w_neg = n / (2.0 * pos), n / (2.0 * (n - pos))
             hit = F.col(self.label) == k
             d = df.select(self.features, hit.cast("double").alias("_y"),
                           F.when(hit, w_pos).otherwise(w_neg).alias("_w"))
             est = self.make_binary()
             est.setFeaturesCol(self.features).setLabelCol("_y").setWeightCol("_w")
-            models.append(est.fit(d))
+            return est.fit(d)
+
+        # the binary problems are independent Spark jobs: submit them together
+        with ThreadPoolExecutor(max(1, self.parallelism)) as pool:
+            models = list(pool.map(fit_one, self.classes))
         return OvrBalancedModel(models, self.classes, self.features)
 
 
