@@ -110,7 +110,7 @@ def boosted_trees(step: float = 0.1, depth: int = 3, min_instances: int = 1, max
     (MLlib's GBT is binary; step sizes above 1 are not accepted)."""
     gbt = GBTClassifier(stepSize=min(step, 1.0), maxDepth=depth, minInstancesPerNode=min_instances,
                         maxIter=max_iter, seed=seed)
-    return _Plain(OneVsRest(classifier=gbt))
+    return _Plain(OneVsRest(classifier=gbt, parallelism=3))
 
 
 def random_forest(trees: int = 20, depth: int = 5, seed: int = 44, weight_col: str | None = None):
