@@ -30,7 +30,7 @@ MAX_MISSING = 0.3
 SEED_SPLIT = 44
 SEED_BACKUP = 42
 
-# Feature spec: name, table, variable, item ids (features_info.csv).
+# Feature spec: name, table, variable, item ids.
 FEATURE_SPEC_CSV = """name,table,variable,item_id,item_id_2,item_id_3,item_id_4,item_id_5,item_id_6
 Arterial_pressure_systolic,chartevents,valuenum,6,51,455,220050,220179,225309
 Arterial_pressure_diastolic,chartevents,valuenum,8364,8368,8441,220051,220180,225310

@@ -32,10 +32,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only when it is
-    unset (local tests) fall back to a fresh scratch folder."""
+    """Use the shared folder named by ``spark.checkpoint.dir``. Only a local
+    session (tests) with the setting unset gets a fresh scratch folder; on a
+    cluster an unset setting is an error, never a machine-local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS / S3)")
         path = tempfile.mkdtemp(prefix="stayframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
