@@ -61,10 +61,11 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(first_order, "subject_id"))
 
 
-def rrt(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rrt(spark: SparkSession, sf_dir: str, stays: DataFrame | None = None) -> DataFrame:
     machinery = (t(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "MACHINERY")
                  .select(F.col("c_custkey").alias("subject_id")))
-    return icustays(spark, sf_dir).join(machinery, "subject_id", "left_semi").select("icustay_id")
+    stays = stays if stays is not None else icustays(spark, sf_dir)
+    return stays.join(machinery, "subject_id", "left_semi").select("icustay_id")
 
 
 def diagnoses_icd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +85,9 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tables(spark: SparkSession, sf_dir: str):
     """All stand-in tables as a ``plans.dataset.Tables``."""
     from stayframe.plans.dataset import Tables
-    return Tables(icustays=icustays(spark, sf_dir), chartevents=chartevents(spark, sf_dir),
-                  patients=patients(spark, sf_dir), rrt=rrt(spark, sf_dir),
+    stays = icustays(spark, sf_dir)
+    return Tables(icustays=stays, chartevents=chartevents(spark, sf_dir),
+                  patients=patients(spark, sf_dir), rrt=rrt(spark, sf_dir, stays),
                   diagnoses_icd=diagnoses_icd(spark, sf_dir), admissions=admissions(spark, sf_dir))
 
 
