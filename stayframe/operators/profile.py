@@ -191,7 +191,8 @@ def mean_std(df: DataFrame, cols: list[str]) -> DataFrame:
                  .select("r.*")
 
 
-def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False) -> DataFrame:
+def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False,
+            exact_median: bool = True) -> DataFrame:
     """One row per column: type, n, missing %, distinct, verdict
     (``empty`` / ``useless`` / ``ok``), numeric stats, and the mode of
     non-numeric columns. Exact distinct counts of many columns in one
@@ -207,8 +208,10 @@ def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False
         if c in numeric:
             aggs += [F.avg(c).alias(f"{c}__mean"),
                      F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
+            if not exact_median:
+                aggs.append(F.percentile_approx(c, 0.5).cast("double").alias(f"{c}__med"))
     one = df.agg(*aggs)
-    meds = exact_quantiles(df, numeric) if numeric else {}
+    meds = exact_quantiles(df, numeric) if (numeric and exact_median) else {}
     modes = _modes(df, [f.name for f in fields if f.name not in numeric])
     rows = []
     for f in fields:
@@ -221,7 +224,8 @@ def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False
             F.col(f"{c}__nd").alias("n_distinct"),
             F.when(F.col(f"{c}__nn") == 0, "empty").when(F.col(f"{c}__nd") == 1, "useless")
              .otherwise("ok").alias("verdict"),
-            (_trunc(F.lit(meds.get(c)).cast("double"), truncate) if num else F.lit(None).cast("double")).alias("median"),
+            (_trunc(F.lit(meds.get(c)).cast("double") if exact_median else F.col(f"{c}__med"), truncate)
+             if num else F.lit(None).cast("double")).alias("median"),
             (st("mean") if num else F.lit(None).cast("double")).alias("mean"),
             (st("min") if num else F.lit(None).cast("double")).alias("min"),
             (st("max") if num else F.lit(None).cast("double")).alias("max"),
