@@ -34,6 +34,30 @@ from pyspark.sql import functions as F
 from stayframe.functions.time import HOUR_US, epoch_us
 
 DEFAULT_BUCKET_US = 6 * HOUR_US
+DEFAULT_HOT_ROWS = 2_000_000
+SUB_LEVELS = 20
+
+
+def split_hot_buckets(u: DataFrame, part: list[str], bucket_us: int, hot_rows: int,
+                      bucket_col: str = "_b", time_col: str = "_t") -> DataFrame:
+    """Re-key ``bucket_col`` so that no bucket holds more than about
+    ``hot_rows`` rows: a bucket with n > hot_rows rows is cut into 2^k
+    equal-time sub-buckets (k = ceil(log2(n / hot_rows)), at most 2^20).
+    The new key ``bucket * 2^20 + sub * 2^(20 - k)`` keeps time order, so the
+    bucket logic downstream is unchanged. The list of hot buckets has at most
+    rows / hot_rows entries. (Rows sharing one instant cannot be split by
+    time; they stay together.)"""
+    hot = (u.groupBy(*part, bucket_col).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > hot_rows)
+           .select(*part, bucket_col,
+                   F.least(F.ceil(F.log2(F.col("_n") / F.lit(float(hot_rows)))), F.lit(SUB_LEVELS))
+                   .cast("int").alias("_lv")))
+    j = u.join(hot, [*part, bucket_col], "left")
+    within = F.col(time_col) - F.col(bucket_col) * F.lit(bucket_us)          # [0, bucket_us)
+    sub = F.when(F.col("_lv").isNull(), F.lit(0).cast("long")).otherwise(
+        F.floor(within * F.pow(F.lit(2.0), F.col("_lv")) / F.lit(float(bucket_us))).cast("long")
+        * F.pow(F.lit(2.0), F.lit(SUB_LEVELS) - F.col("_lv")).cast("long"))
+    return j.withColumn(bucket_col, F.col(bucket_col) * F.lit(1 << SUB_LEVELS) + sub).drop("_lv")
 
 
 def _materialize(df: DataFrame) -> DataFrame:
@@ -57,7 +81,8 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
                 anchor_time: str, event_time: str, value_col: str, item_col: str, tiebreak: str,
                 lower_bound: str | None = None, feature_col: str | None = None,
                 features: list[str] | None = None, how: str = "left",
-                bucket_us: int = DEFAULT_BUCKET_US, materialize: bool = True) -> DataFrame:
+                bucket_us: int = DEFAULT_BUCKET_US, materialize: bool = True,
+                hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Long result: one row per (anchor, feature) with columns
     ``anchor_id..., feature, value, delay, time, item``.
 
@@ -87,7 +112,10 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
     if feat:
         an = an.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     u = ev.unionByName(an, allowMissingColumns=True)
-    u = u.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)).cast("long")).repartition(*part, "_b")
+    u = u.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)).cast("long"))
+    if hot_rows:
+        u = split_hot_buckets(u, part, bucket_us, hot_rows)
+    u = u.repartition(*part, "_b")
 
     # (2)+(3a) one window pass per (key, feature, bucket): the latest event up
     # to each row, the latest event of the whole bucket, and a first-row mark

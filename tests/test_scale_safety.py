@@ -103,3 +103,21 @@ def test_fixed_size_sample_is_smallest_hashes(spark):
     got = sorted(r.k for r in fixed_size_sample(df, 37, ["k"], seed=42).collect())
     want = sorted(sorted(range(5000), key=lambda k: (hashlib.md5(f"{k}|42".encode()).hexdigest(), k))[:37])
     assert got == want
+
+
+def test_asof_hot_bucket_split_matches_brute_force(spark):
+    rows = _random_events(800, hot_share=0.8, seed=21)
+    ev = spark.createDataFrame(rows, "event_id long, subject_id long, ts timestamp_ntz, value double")
+    an = ev.where("event_id % 5 = 0").selectExpr("subject_id", "event_id AS aid", "ts AS at")
+    fe = ev.where("event_id % 5 <> 0").withColumn("item", ev.event_id % 3)
+    pdf = pd.DataFrame(rows, columns=["event_id", "subject_id", "ts", "value"])
+    feats = pdf[pdf.event_id % 5 != 0]
+    expected = {}
+    for r in pdf[pdf.event_id % 5 == 0].itertuples():
+        c = feats[(feats.subject_id == r.subject_id) & (feats.ts <= r.ts)]
+        expected[r.event_id] = c.sort_values(["ts", "event_id"]).iloc[-1].value if len(c) else None
+    # whole 6-day range in one bucket, so the hot subject's bucket must be cut
+    got = A.asof_latest(an, fe, key=["subject_id"], anchor_id=["aid"], anchor_time="at", event_time="ts",
+                        value_col="value", item_col="item", tiebreak="event_id",
+                        bucket_us=8 * 86_400_000_000, hot_rows=40).collect()
+    assert {r.aid: r.value for r in got} == expected
