@@ -15,7 +15,9 @@ the events plus one probe row per (row, frame) placed at ``t+lo`` / ``t+hi``.
 The middle part is a RANGE window over the per-bucket maxima (one row per
 non-empty bucket). Suffix, prefix and bucket maxima come out of one window
 pass; its output (probes + one row per bucket) is checkpointed and read by
-the two small follow-up steps.
+the small follow-up steps. A bucket with more than ``hot_rows`` rows is cut
+into equal-time sub-buckets first; the suffix / prefix inside it is then
+completed from the maxima of the later / earlier sub-buckets.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayframe.functions.time import DAY_US, HOUR_US, epoch_us
+from stayframe.operators.asof import DEFAULT_HOT_ROWS, split_hot_buckets
 
 DEFAULT_BUCKET_US = 6 * HOUR_US
 
@@ -37,7 +40,8 @@ DAY_FRAMES = {
 
 def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str, row_id: list[str],
               frames: dict[str, tuple[int, int]], bucket_us: int = DEFAULT_BUCKET_US,
-              prefix: str = "", materialize: bool = True) -> DataFrame:
+              prefix: str = "", materialize: bool = True,
+              hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Adds one column ``prefix + name`` per frame. ``row_id`` must be unique."""
     for lo, hi in frames.values():
         if lo % bucket_us or hi % bucket_us or hi <= lo:
@@ -60,25 +64,39 @@ def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str
                  F.when(F.col("_e.k") == 1, F.col("_v0")).alias("_v"), F.col("_e.q").alias("_q"),
                  F.col("_e.side").alias("_side"), F.when(F.col("_e.k") == 0, F.col("_rid")).alias("_rid"))
          .withColumn("_b", bucket(F.col("_t"))))
-    u = u.repartition(*partition, "_b")
+    # sub-bucket key: equal to the bucket unless the bucket is hot (then cut in time)
+    u = u.withColumn("_bs", F.col("_b"))
+    if hot_rows:
+        u = split_hot_buckets(u, partition, bucket_us, hot_rows, bucket_col="_bs")
+    u = u.repartition(*partition, "_bs")
 
-    # one window pass per (partition, bucket): suffix max (side 0, events at
-    # or after the probe), prefix max (side 1, strictly before), the bucket
-    # max and a first-row mark; only probes and one row per bucket leave it
-    w = Window.partitionBy(*partition, "_b").orderBy("_t", "_k")
+    # one window pass per (partition, sub-bucket): suffix max (side 0, events
+    # at or after the probe), prefix max (side 1, strictly before), the
+    # sub-bucket max and a first-row mark; only probes and one row per
+    # sub-bucket leave it
+    w = Window.partitionBy(*partition, "_bs").orderBy("_t", "_k")
     after = F.max("_v").over(w.rowsBetween(0, Window.unboundedFollowing))
     before = F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))
     whole = F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    s1 = (u.select(*partition, "_b", "_k", "_q", "_side", "_rid",
+    s1 = (u.select(*partition, "_b", "_bs", "_k", "_q", "_side", "_rid",
                    F.when(F.col("_side") == 0, after).otherwise(before).alias("_edge"),
-                   whole.alias("_bmax"), (F.row_number().over(w) == 1).alias("_first"))
+                   whole.alias("_smax"), (F.row_number().over(w) == 1).alias("_first"))
           .where((F.col("_k") == 0) | F.col("_first")))
     if materialize:
         from stayframe.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         s1 = s1.checkpoint(eager=True)
-    edge = s1.where(F.col("_k") == 0)
-    summary = s1.where(F.col("_first")).select(*partition, "_b", "_bmax")
+    subs = s1.where(F.col("_first")).select(*partition, "_b", "_bs", "_smax")
+    # inside a cut bucket: the later sub-buckets complete a suffix, the
+    # earlier ones a prefix (windows over one row per sub-bucket)
+    wsub = Window.partitionBy(*partition, "_b").orderBy("_bs")
+    carry = subs.select(*partition, "_b", "_bs",
+                        F.max("_smax").over(wsub.rowsBetween(Window.unboundedPreceding, -1)).alias("_fwd"),
+                        F.max("_smax").over(wsub.rowsBetween(1, Window.unboundedFollowing)).alias("_bwd"))
+    edge = (s1.where(F.col("_k") == 0).join(carry, [*partition, "_b", "_bs"], "left")
+            .withColumn("_edge", F.when(F.col("_side") == 0, F.greatest("_edge", "_bwd"))
+                        .otherwise(F.greatest("_edge", "_fwd"))))
+    summary = subs.groupBy(*partition, "_b").agg(F.max("_smax").alias("_bmax"))
 
     # whole buckets strictly inside the frame
     mids = []

@@ -121,3 +121,20 @@ def test_asof_hot_bucket_split_matches_brute_force(spark):
                         value_col="value", item_col="item", tiebreak="event_id",
                         bucket_us=8 * 86_400_000_000, hot_rows=40).collect()
     assert {r.aid: r.value for r in got} == expected
+
+
+def test_range_max_hot_bucket_split_matches_brute_force(spark):
+    rows = _random_events(500, hot_share=0.8, seed=5)
+    df = spark.createDataFrame(rows, "id long, stay long, t timestamp_ntz, v double")
+    pdf = pd.DataFrame(rows, columns=["id", "stay", "t", "v"])
+    D = timedelta(days=1)
+    got = {r.id: (r.tomorrow, r.yesterday, r.before_yesterday)
+           for r in O.range_max(df, ["stay"], "t", "v", ["id"], O.DAY_FRAMES, hot_rows=15).collect()}
+    for r in pdf.itertuples():
+        s = pdf[pdf.stay == r.stay]
+        dt = s.t - r.t
+
+        def mx(lo, hi):
+            m = s[(dt >= lo) & (dt < hi)].v
+            return None if m.empty else float(m.max())
+        assert got[r.id] == (mx(D, 2 * D), mx(-D, timedelta(0)), mx(-2 * D, -D))
