@@ -45,8 +45,9 @@ def split_hot_buckets(u: DataFrame, part: list[str], bucket_us: int, hot_rows: i
     equal-time sub-buckets (k = ceil(log2(n / hot_rows)), at most 2^20).
     The new key ``bucket * 2^20 + sub * 2^(20 - k)`` keeps time order, so the
     bucket logic downstream is unchanged. The list of hot buckets has at most
-    rows / hot_rows entries. (Rows sharing one instant cannot be split by
-    time; they stay together.)"""
+    rows / hot_rows entries. Costs one extra aggregation over the (pruned)
+    rows to count them. (Rows sharing one instant cannot be split by time;
+    they stay together.)"""
     hot = (u.groupBy(*part, bucket_col).agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > hot_rows)
            .select(*part, bucket_col,
@@ -100,7 +101,7 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
         F.lit(0).alias("_k"),
         F.struct(ev_t.alias("t"), F.col(tiebreak).alias("tb"), F.col(value_col).alias("value"),
                  F.col(event_time).alias("time"), F.col(item_col).alias("item")).alias("_ev"),
-    )
+    ).where(F.col("_t").isNotNull() & F.col("_ev.value").isNotNull())   # never a candidate (BETWEEN is false)
     an_t = epoch_us(anchor_time)
     lo = epoch_us(lower_bound) if lower_bound else F.lit(None).cast("long")
     an = anchors.select(

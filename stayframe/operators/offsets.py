@@ -59,7 +59,7 @@ def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str
                                   F.lit(side).alias("side")))
     base = df.select(*partition, rid.alias("_rid"), t.alias("_t0"), F.col(value_col).cast("double").alias("_v0"))
     u = (base.select("*", F.explode(F.array(*items)).alias("_e"))
-         .where((F.col("_e.k") == 0) | F.col("_v0").isNotNull())
+         .where((F.col("_e.k") == 0) | (F.col("_v0").isNotNull() & F.col("_t0").isNotNull()))
          .select(*partition, (F.col("_t0") + F.col("_e.off")).alias("_t"), F.col("_e.k").alias("_k"),
                  F.when(F.col("_e.k") == 1, F.col("_v0")).alias("_v"), F.col("_e.q").alias("_q"),
                  F.col("_e.side").alias("_side"), F.when(F.col("_e.k") == 0, F.col("_rid")).alias("_rid"))

@@ -161,3 +161,16 @@ def test_absent_class_confusion(spark):
     assert len(cm) == 9 and cm[(2, 2)] == 0 and cm[(0, 0)] == 1
     s = K.scores(df).first()
     assert abs(s.sensitivity_increase - 0.5) < 1e-12 and abs(s.accuracy - 1 / 3) < 1e-12
+
+
+def test_null_time_or_value_is_never_a_candidate(spark):
+    an = spark.createDataFrame([(1, 10, None, T0)], "subject_id long, icustay_id long, intime timestamp_ntz, "
+                                                    "creatinine_time timestamp_ntz")
+    ev = _events(spark, [(1, 1, 7, 1.0, None), (2, 1, 7, None, T0 - timedelta(hours=1))])
+    r = A.asof_latest(an, ev, key=["subject_id"], anchor_id=["icustay_id", "creatinine_time"],
+                      anchor_time="creatinine_time", event_time="storetime", value_col="valuenum",
+                      item_col="itemid", tiebreak="event_id").collect()
+    assert len(r) == 1 and r[0].value is None
+    df = spark.createDataFrame([(1, 1, T0, 1.0), (2, 1, None, 9.0)], "id long, stay long, t timestamp_ntz, v double")
+    out = {x.id: x.tomorrow for x in O.range_max(df, ["stay"], "t", "v", ["id"], O.DAY_FRAMES).collect()}
+    assert out[1] is None
