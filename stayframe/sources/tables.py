@@ -71,7 +71,7 @@ def spec_items(spec: DataFrame, max_rows: int = 100_000) -> dict[str, list]:
     if len(rows) > max_rows:
         raise ValueError("feature spec too large to use as a constant")
     out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.feature, str(r.item))):
+    for r in sorted(rows, key=lambda r: (r.feature, r.item)):
         out.setdefault(r.feature, []).append(r.item)
     return out
 
