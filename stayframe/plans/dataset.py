@@ -127,3 +127,17 @@ def labelled_dataset(t: Tables, p: Params) -> DataFrame:
     """The final table: merged rows of night anchors with yesterday / day
     before values and the label; unlabelled rows dropped."""
     return add_labels(merged_table(t, p), band=p.label_band, hours=p.hours)
+
+
+def clinical_params(spark, spec_path: str | None = None, **overrides) -> Params:
+    """Parameters of the study on the clinical tables: anchor item, excluded
+    codes, thresholds, label band and the feature spec (from ``spec_path`` or
+    the built-in copy), all from ``presets``."""
+    from stayframe import presets as P
+    from stayframe.sources.tables import load_feature_spec, spec_items
+    spec = load_feature_spec(spark, path=spec_path) if spec_path else load_feature_spec(spark, csv_text=P.FEATURE_SPEC_CSV)
+    kw = dict(anchor_item=P.ANCHOR_ITEM, excluded_codes=P.EXCLUDED_CODES, features=spec_items(spec),
+              min_age=P.MIN_AGE_YEARS, min_stay_hours=P.MIN_STAY_HOURS, label_band=P.LABEL_BAND,
+              hours=P.ANCHOR_HOURS)
+    kw.update(overrides)
+    return Params(**kw)
