@@ -46,6 +46,7 @@ class Params:
     as_coded: bool = False            # Q2
     admission_match: str = "admission"  # Q3
     bucket_us: int = A.DEFAULT_BUCKET_US
+    hot_rows: int | None = A.DEFAULT_HOT_ROWS   # cut time buckets holding more rows than this
     materialize: bool = True          # checkpoint the cohort and the merged stage
     extra: dict = field(default_factory=dict)
 
@@ -76,7 +77,7 @@ def feature_table(cohort: DataFrame, t: Tables, p: Params) -> DataFrame:
     long = A.asof_latest(cohort, feature_events(t, p), key=["subject_id"], anchor_id=ANCHOR_ID,
                          anchor_time="creatinine_time", event_time="storetime", value_col="valuenum",
                          item_col="itemid", tiebreak="event_id", lower_bound="intime", feature_col="feature",
-                         features=feats, how="left", bucket_us=p.bucket_us)
+                         features=feats, how="left", bucket_us=p.bucket_us, hot_rows=p.hot_rows)
     if p.as_coded:
         long = A.asof_as_coded(long.where(F.col("value").isNotNull()), "creatinine_time")
     return A.pivot_features(long, ANCHOR_ID, feats, require_any=True)
@@ -126,7 +127,7 @@ def _any_found(p: Params):
 def labelled_dataset(t: Tables, p: Params) -> DataFrame:
     """The final table: merged rows of night anchors with yesterday / day
     before values and the label; unlabelled rows dropped."""
-    return add_labels(merged_table(t, p), band=p.label_band, hours=p.hours)
+    return add_labels(merged_table(t, p), band=p.label_band, hours=p.hours, hot_rows=p.hot_rows)
 
 
 def clinical_params(spark, spec_path: str | None = None, **overrides) -> Params:

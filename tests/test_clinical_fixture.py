@@ -31,8 +31,13 @@ def _tables(spark):
     return Tables(icu, ce, pat, rrt, diag, adm)
 
 
-def test_labelled_dataset_by_hand(spark):
-    out = labelled_dataset(_tables(spark), clinical_params(spark))
+import pytest
+
+
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_labelled_dataset_by_hand(spark, hot_rows):
+    # hot_rows=2 cuts every bucket into time slices: same answer expected
+    out = labelled_dataset(_tables(spark), clinical_params(spark, hot_rows=hot_rows))
     assert len(out.columns) == 64          # 61 features + label + subject / stay ids
     rows = {r.creatinine: r for r in out.collect()}
     assert set(rows) == {1.0, 1.5}          # A3 has no next-day value; stay 202 excluded
