@@ -223,6 +223,10 @@ METRICS = ("accuracy", "sensitivity_increase", "specificity_decrease")
 
 
 def score(pred: DataFrame, metric: str = "accuracy") -> float:
+    """One metric of a prediction frame: accuracy, sensitivity_increase,
+    specificity_decrease, or fbeta_weighted (beta 0.5)."""
+    if metric == "fbeta_weighted":
+        return K.fbeta_weighted(pred.select("label", "prediction"), beta=0.5).first()[0]
     row = K.scores(pred.select("label", "prediction")).first()
     return row[metric]
 
@@ -244,16 +248,27 @@ class Spec:
 
 
 def grid_search(spec: Spec, df: DataFrame, fold_col: str = "fold", metric: str = "accuracy",
-                parallelism: int = 2) -> tuple[dict, list[tuple[dict, float, float]]]:
-    """K-fold search on a fold column; returns the best point and the
-    (point, mean, std) table. Fits run as concurrent Spark jobs."""
+                parallelism: int = 2, role_col: str | None = None) -> tuple[dict, list[tuple[dict, float, float]]]:
+    """Search on a fold column; returns the best point and the
+    (point, mean, std) table. Fits run as concurrent Spark jobs.
+
+    k-fold (T04): each fold is the test part once, the others train.
+    Shuffle splits (T03, the long form of ``split.shuffle_folds``): pass
+    ``role_col='role'``; fold i trains on its 'train' rows, tests on 'test'."""
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
 
+    def parts(f):
+        if role_col:
+            this = df.where(F.col(fold_col) == f)
+            return this.where(F.col(role_col) == "train"), this.where(F.col(role_col) == "test")
+        return df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+
     def run(point):
         vals = []
         for f in folds:
-            model = spec.factory(**point).fit(df.where(F.col(fold_col) != f))
-            vals.append(score(model.transform(df.where(F.col(fold_col) == f)), metric))
+            train, test = parts(f)
+            model = spec.factory(**point).fit(train)
+            vals.append(score(model.transform(test), metric))
         mean = sum(vals) / len(vals)
         std = math.sqrt(sum((v - mean) ** 2 for v in vals) / len(vals))
         return point, mean, std

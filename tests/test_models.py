@@ -74,3 +74,11 @@ def test_explore_plan(spark):
     assert set(rows) == set(li.columns)
     assert rows["l_quantity"].verdict == "ok" and tables["l_quantity"].count() <= 50
     assert tables["l_returnflag"].count() == 3
+
+
+def test_grid_search_on_shuffle_splits_with_fbeta(spark):
+    df = _separable(spark).drop("fold")
+    long = SP.shuffle_folds(df, "label", ["id"], seed=42, n_splits=3, test_size=0.1)
+    best, table = M.grid_search(M.Spec(lambda reg=1e-4: M.logreg(reg, max_iter=20), {"reg": [1e-4]}), long,
+                                "fold", "fbeta_weighted", role_col="role")
+    assert len(table) == 1 and table[0][1] > 0.9
