@@ -121,10 +121,43 @@ def random_forest(trees: int = 20, depth: int = 5, seed: int = 44, weight_col: s
     return _Plain(rf)
 
 
-def perceptron(n_features: int, hidden: list[int], max_iter: int = 100, seed: int = 42, n_classes: int = 3):
-    """Fully connected network (sigmoid hidden units, softmax out)."""
-    return _Plain(MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=max_iter,
-                                                 seed=seed, blockSize=128))
+def oversample_balanced(df: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
+    """Class balance by repetition (for learners without a weight column):
+    each row of class c is repeated ``n_max / n_c`` times on average, the
+    whole part always and the fraction by a repeatable hash draw. Runs as a
+    per-row ``explode``; only the per-class counts reach the driver."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if not counts:
+        return df
+    n_max = max(counts.values())
+    u = (F.abs(F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed))) % 1_000_000_007) / F.lit(1_000_000_007.0)
+    rep = F.lit(1)
+    for cls, n in counts.items():
+        whole, frac = divmod(n_max / n, 1.0)
+        rep = F.when(F.col(label) == cls, F.lit(int(whole)) + (u < frac).cast("int")).otherwise(rep)
+    cols = df.columns
+    return df.withColumn("_rep", rep).where(F.col("_rep") > 0) \
+             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_rep")))).select(*cols)
+
+
+class Oversampled:
+    """Fit ``inner`` on a class-balanced (oversampled) copy of the input."""
+
+    def __init__(self, inner, label: str = "label", seed: int = 42):
+        self.inner, self.label, self.seed = inner, label, seed
+
+    def fit(self, df):
+        return self.inner.fit(oversample_balanced(df, self.label, self.seed))
+
+
+def perceptron(n_features: int, hidden: list[int], max_iter: int = 100, seed: int = 42, n_classes: int = 3,
+               balanced: bool = False):
+    """Fully connected network (sigmoid hidden units, softmax out).
+    MLlib's perceptron has no weight column, so ``balanced=True`` balances the
+    classes by oversampling instead of class weights."""
+    est = _Plain(MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=max_iter,
+                                                seed=seed, blockSize=128))
+    return Oversampled(est, seed=seed) if balanced else est
 
 
 class WithMissing:

@@ -87,7 +87,7 @@ def m05_perceptron_1hl(spark, d):
 
 
 def m06_perceptron_2hl(spark, d):
-    return _fit_predict(spark, d, M.perceptron(len(NUM), [32, 16], max_iter=50))
+    return _fit_predict(spark, d, M.perceptron(len(NUM), [32, 16], max_iter=50, balanced=True))
 
 
 def m07_boosted_with_missing(spark, d):

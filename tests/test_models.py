@@ -82,3 +82,15 @@ def test_grid_search_on_shuffle_splits_with_fbeta(spark):
     best, table = M.grid_search(M.Spec(lambda reg=1e-4: M.logreg(reg, max_iter=20), {"reg": [1e-4]}), long,
                                 "fold", "fbeta_weighted", role_col="role")
     assert len(table) == 1 and table[0][1] > 0.9
+
+
+def test_oversample_balanced(spark):
+    rows = [(i, 0.0 if i < 300 else (1.0 if i < 400 else 2.0)) for i in range(430)]
+    df = spark.createDataFrame(rows, "id long, label double")
+    out = M.oversample_balanced(df, "label", seed=42)
+    c = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    assert c[0.0] == 300 and c[1.0] == 300 and abs(c[2.0] - 300) < 40
+    again = M.oversample_balanced(df, "label", seed=42)
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in out.collect())
+    acc = M.score(M.perceptron(2, [8], max_iter=50, balanced=True).fit(_separable(spark)).transform(_separable(spark)))
+    assert acc > 0.8
