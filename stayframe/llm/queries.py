@@ -6,13 +6,22 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from . import chat_repair as _cr
+from . import decontaminate as _dc
+from . import embedding_dedup as _ed
+from . import language_id as _li
+from . import minhash_dedup as _md
+from . import mixing as _mx
+from . import substring_dedup as _sd
 from . import token_counts as _tc
 from . import token_store as _ts
+from . import url_filter as _uf
 from ._stage import ensure_package, new_path
 
 #: Files of public tokenizers lie outside the repository; their place is a parameter.
-OVER_LIMIT, END_ID = 512, 2
+OVER_LIMIT, END_ID, WINDOW = 512, 2, 10
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +48,47 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tc.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), OVER_LIMIT)
 
 
+@registered
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sd.without_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a document is kept from learning."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+
+
+@registered
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = _li.fit(docs, ~held_out() & F.col("doc_id").isNotNull())
+    return _li.predict(docs, model).withColumn("held_out", held_out())
+
+
+#: Host and path rules of the URL filter.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@registered
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uf.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@registered
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mx.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0).documents.drop("_mix_row")
+
+
+@registered
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cr.repair(table(spark, sf_dir, "conversations"))
+
+
+@registered
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ed.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @registered
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
@@ -46,8 +96,46 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ts.read_store(spark, path)
 
 
+@registered
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _md.near_duplicates(table(spark, sf_dir, "documents"), size=5, least=0.8)
+
+
+@registered
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dc.digest(_dc.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
+    "op5_mixing": op5_mixing,
+    "op6_chat_repair": op6_chat_repair,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_token_store": op8_token_store,
+    "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_decontamination": op10_decontamination,
+}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_decontamination": f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least({WINDOW}, len(w)) AS n, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (
+  SELECT p.doc_id, p.i, p.n, wins.item_id
+  FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM places) p JOIN wins ON p.n = wins.n AND p.win = wins.win),
+words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
 }
-ORACLE_SQL: dict[str, str] = {}
