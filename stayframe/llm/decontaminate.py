@@ -184,23 +184,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     state = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("n_words"),
                         F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)").alias("spans"),
                         F.expr("cast(array() as array<string>)").alias("items"))
-    schema = f"_id {kind}, _text string, {_STATE}"
-    blocks = 0
+    schema, blocks, held = f"_id {kind}, {_STATE}, _text string", 0, None
+    state = state.select("_id", "n_words", "spans", "items", "_text")
     for block in _blocks(docs, items, window, text_col, item_text, item_id):
-        if blocks and blocks % BLOCKS_A_STAGE == 0:
-            state = staged(state, "decontaminate")
-        state, blocks = state.mapInArrow(_through(block), schema), blocks + 1
-    if not blocks:
+        if held is not None:
+            state, blocks = state.mapInArrow(_through(held), schema), blocks + 1
+            state = staged(state, "decontaminate") if blocks % BLOCKS_A_STAGE == 0 else state
+        held = block
+    if held is None:
         state = state.withColumn("n_words", F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("bigint"))
+    else:  # behind the last block the texts are not needed
+        state = state.mapInArrow(_through(held, last=True), f"_id {kind}, {_STATE}")
     return state.select(F.col("_id").alias(id_col), "n_words", "spans", "items")
 
 
-def _through(block):
+def _through(block, last: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = block.value
         for b in batches:
-            data, offsets = utf8(b.column(1))
-            counts, spans, items = np.zeros(b.num_rows, np.int64), b.column(3).to_pylist(), b.column(4).to_pylist()
+            data, offsets = utf8(b.column(4))
+            counts, spans, items = np.zeros(b.num_rows, np.int64), b.column(2).to_pylist(), b.column(3).to_pylist()
             for i, j in slices(offsets):
                 n, rows, first, wins = own.hits(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 counts[i:j] = n
@@ -212,8 +215,8 @@ def _through(block):
                     found += [(int(first[h]), int(first[h] + own.size[wins[h]])) for h in own_hits]
                     spans[i + r] = [{"first": a, "last": z} for a, z in _union(found)]
                     items[i + r] = sorted({*items[i + r], *(own.items[wins[h]] for h in own_hits)})
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts), pa.array(spans, b.schema.field(3).type), pa.array(items, b.schema.field(4).type)],
-                                             names=["_id", "_text", "n_words", "spans", "items"])
+            columns = [b.column(0), pa.array(counts), pa.array(spans, b.schema.field(2).type), pa.array(items, b.schema.field(3).type), b.column(4)]
+            yield pa.RecordBatch.from_arrays(columns[:4] if last else columns, names=["_id", "n_words", "spans", "items", "_text"][:4 if last else 5])
 
     return run
 
