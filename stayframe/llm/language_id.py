@@ -8,8 +8,9 @@ and a text's log probabilities are the mean over its windows, weighted by their
 prediction the first layers are tables: the response of a filter is a sum of entries for pairs
 of bytes.
 
-Training takes about ``SAMPLE`` windows in all, the same number for each language, from
-documents picked by a hash of their id; that bound is the only sample. Prediction reads
+Training takes about ``SAMPLE`` windows in all, the same number for each language (up to
+``WINDOWS_A_TEXT`` from a text where texts are few), from documents picked by a hash of their
+id; that bound is the only sample. Prediction reads
 whole texts in one pass without a shuffle. Null texts and texts without a letter give ``und``
 with score 0. With no labelled document every text gives ``und``. Null labels are not
 learned from; null ids are never learned from and count as not held out. Extra columns are not read.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ._text import LOWER_BYTE, slices, utf8
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
-SAMPLE, EPOCHS, BATCH, RATE = 8000, 6, 64, 4e-3
+SAMPLE, STEPS, BATCH, RATE, WINDOWS_A_TEXT = 8000, 1000, 64, 4e-3, 16
 _REACH = max(WIDTHS) - 1
 UNKNOWN = "und"
 
@@ -87,7 +88,7 @@ class Model:
         return np.concatenate(out) if out else np.zeros((0, len(self.labels)))
 
 
-def train(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 1, epochs: int = EPOCHS) -> Model:
+def train(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 1, steps: int = STEPS) -> Model:
     """Adam on the cross-entropy; gradients pass each pooled filter only where its maximum stands."""
     rng, n = np.random.default_rng(seed), len(x)
     p = {"bytes": rng.normal(0, 0.5, (256, DIM)), "out": rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(labels))), "out_b": np.zeros(len(labels))}
@@ -95,10 +96,13 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 1, epochs
         p |= {f"w{w}": rng.normal(0, 0.4, (w, DIM, FILTERS)), f"b{w}": np.zeros(FILTERS)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
+            if step >= steps:
+                break
             pick = order[i:i + BATCH]
+            rate = np.float32(RATE * (1 - step / steps))
             xb, yb = x[pick], y[pick]
             g = {k: np.zeros_like(a) for k, a in p.items()}
             pooled, places = [], []
@@ -125,7 +129,7 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 1, epochs
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                p[k] = p[k] - np.float32(RATE) * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+                p[k] = p[k] - rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
     return Model(labels, {k: a.astype(np.float32) for k, a in p.items()})
 
 
@@ -137,7 +141,9 @@ def fit(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
     if not counts:
         return None
     labels = sorted(counts)
-    share = F.create_map(*[F.lit(v) for x in labels for v in (x, min(1.0, 0.5 * sample / len(labels) / counts[x]))])
+    wanted = sample / len(labels)
+    many = {x: 2 * max(1, min(WINDOWS_A_TEXT // 2, int(wanted / 2 / counts[x]))) for x in labels}
+    share = F.create_map(*[F.lit(v) for x in labels for v in (x, min(1.0, wanted / many[x] / counts[x]))])
     uniform = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     picked = known.filter((F.length("_text") > 0) & (uniform < share[F.col("_lang")]))
 
@@ -148,7 +154,7 @@ def fit(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
             for k, h in enumerate(b.column(0).to_pylist()):
                 text = data[offsets[k]:offsets[k + 1]]
                 rng = np.random.default_rng([seed, h & 0xFFFFFFFF])
-                for size in (WINDOW, int(rng.integers(24, WINDOW))):  # a whole window and a short one
+                for size in (WINDOW, int(rng.integers(24, WINDOW))) * (many[langs[k]] // 2):  # whole windows and short ones
                     at = int(rng.integers(0, max(1, len(text) - size + 1)))
                     w = np.zeros(WINDOW + _REACH, np.uint8)
                     part = text[at:at + size + (_REACH if size == WINDOW else 0)]

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from stayframe.llm import language_id as li
@@ -32,11 +33,11 @@ def test_edge_cases(spark, documents):
     rows = [(1, None, "en", None), (2, "", "en", None), (3, "12 !? 3", "en", None), (4, "the cat and the dog " * 3000, "en", None), (5, "é", None, None),
             (6, "der hund und die katze", "de", None), (6, "der hund und die katze", "de", None), (None, "the dog", "en", None)]
     docs = documents(rows)
-    model = li.fit(docs, docs.doc_id.isNotNull())
+    model = li.fit(docs, F.col("doc_id").isNotNull())
     got = [(r.doc_id, r.lang_pred, r.score) for r in li.predict(docs, model).collect()]
     assert {g[1:] for g in got if g[0] in (1, 2, 3)} == {("und", 0.0)}
     assert {g[1] for g in got if g[0] in (4, 5, 6, None)} <= {"en", "de"}
-    assert li.fit(documents([]), docs.doc_id.isNotNull()) is None
+    assert li.fit(documents([]), F.col("doc_id").isNotNull()) is None
     assert [r.lang_pred for r in li.predict(documents([(1, "text")]), None).collect()] == ["und"]
     assert {r.doc_id for r in li.keep_known(docs, model, 0.0).collect()} == {4, 5, 6, None}
 
@@ -51,7 +52,7 @@ def test_windows_cover_every_byte():
 def test_model_tables_equal_the_plain_network():
     r = np.random.default_rng(2)
     x = r.integers(0, 256, (20, li.WINDOW + 3)).astype(np.uint8)
-    model = li.train(x, r.integers(0, 3, 20), ["a", "b", "c"], epochs=1)
+    model = li.train(x, r.integers(0, 3, 20), ["a", "b", "c"], steps=3)
     p, pooled = model.params, []
     for w in li.WIDTHS:
         seen = p["bytes"][x]
