@@ -120,7 +120,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _url_filter_sql(order: int = _uf.ORDER) -> str:
+    """The URL filter in DuckDB SQL: rules, counts and smoothing from order to order, scores, threshold."""
+    by_length = sorted(URL_RULES, key=lambda r: -len(r[0]))
+    fits = {r: f"((host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[r.index('/'):]}'))" for r, _ in by_length}
+    rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r, _ in by_length) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{v}'" for r, v in by_length) + " END"
+    levels = []
+    for k in range(order + 1):
+        low = (lambda x: f"l.q{x}") if k else (lambda x: f"{1 / _uf.ALPHABET}")
+        smooth = lambda x: f"CASE WHEN n{x} > 0 THEN ({x} + t{x} * {low(x)}) / (n{x} + t{x}) ELSE {low(x)} END AS q{x}"  # noqa: B023, E731
+        levels.append(f"""g{k} AS (SELECT substr(gram, {order + 1 - k}, {k + 1}) AS g, sum(a) AS a, sum(b) AS b FROM grams GROUP BY 1),
+c{k} AS (SELECT substr(g, 1, {k}) AS c, sum(a) AS na, sum(b) AS nb, sum(CAST(a > 0 AS INTEGER)) AS ta, sum(CAST(b > 0 AS INTEGER)) AS tb FROM g{k} GROUP BY 1),
+m{k} AS (SELECT g{k}.g AS g, {smooth('a')}, {smooth('b')} FROM g{k} JOIN c{k} ON substr(g{k}.g, 1, {k}) = c""" + (f" JOIN m{k - 1} l ON l.g = substr(g{k}.g, 2, {k})" if k else "") + ")")
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(url, '') AS t, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+r AS (SELECT *, CASE WHEN mark > 0 THEN substr(t, mark + 3) ELSE '' END AS rest FROM p),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+b AS (SELECT row_number() OVER () AS rid, page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+v AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM b),
+chars AS (SELECT rid, ruled, substr(t, i, {order + 1}) AS gram
+  FROM (SELECT rid, ruled, repeat(chr(2), {order}) || lower(url) AS t, unnest(range(1, length(url) + 1)) AS i FROM v WHERE length(url) > 0)),
+grams AS (SELECT gram, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM chars GROUP BY gram),
+{", ".join(levels)},
+s AS (SELECT rid, round(sum(ln(qa / qb)) / count(*), 6) AS s FROM chars JOIN m{order} ON gram = g GROUP BY rid),
+n AS (SELECT count(*) FILTER (ruled = 'allow') AS na, count(*) FILTER (ruled = 'block') AS nb FROM v),
+scored AS (SELECT v.*, CASE WHEN na > 0 AND nb > 0 THEN coalesce(s, 0.0) ELSE 0.0 END AS score FROM v LEFT JOIN s USING (rid), n),
+span AS (SELECT min(score) AS lo, max(score) AS hi, (max(score) - min(score)) / {_uf.BINS} AS step FROM scored WHERE ruled IS NOT NULL),
+bins AS (SELECT floor((score - lo) / step) AS bin, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+  FROM scored, span WHERE ruled IS NOT NULL AND step > 0 GROUP BY 1),
+cut AS (SELECT bin, coalesce(sum(a) OVER w, 0) AS a, coalesce(sum(b) OVER w, 0) AS b FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+threshold AS (SELECT lo + bin * step AS x FROM cut, n, span ORDER BY abs(a / na - (nb - b) / nb), bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT x FROM threshold), 0.0) THEN 'allow' ELSE 'block' END) AS verdict, score FROM scored"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": _url_filter_sql(),
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
