@@ -7,6 +7,7 @@ rows a batch holds. Nothing here drops or shortens a text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,20 +59,44 @@ def codepoints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return cp, starts[offsets]
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span [start, end) of ``values``; the spans are disjoint, ascending and not empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = ends - starts
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum()))
-    inside = (at - np.repeat(starts, lens)).astype(np.uint64)
-    mixed = mix64((values[at].astype(np.uint64) + np.uint64(1)) * _C1 + inside * _C3)
-    return mix64(np.add.reduceat(mixed, np.concatenate([[0], np.cumsum(lens)[:-1]])) + lens.astype(np.uint64))
+class Rolling:
+    """Hashes of substrings: sums of random values times powers of an odd base, modulo 2**64.
+    ``table`` maps the data's values to random ones; without it the data are taken as they are."""
+
+    base = np.uint64(0xD6E8FEB86659FD93)
+    powers = inverse = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray, table: np.ndarray | None = None):
+        n = len(data) + 1
+        if len(Rolling.powers) < n:
+            ahead = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))])
+            Rolling.powers, Rolling.inverse = ahead(Rolling.base), ahead(np.uint64(pow(int(Rolling.base), -1, 1 << 64)))
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum((data if table is None else table[data]) * Rolling.powers[:n - 1], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * Rolling.inverse[start]
+
+
+def random_table(size: int, seed: int) -> np.ndarray:
+    """Odd random 64-bit values."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@functools.lru_cache(maxsize=1)
+def _codepoint_table() -> np.ndarray:
+    return random_table(0x110000, 3)
+
+
+def span_hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every span [start, end) of code points."""
+    return mix64(Rolling(cp, _codepoint_table())(starts, ends) + (ends - starts).astype(np.uint64))
 
 
 #: ASCII letters and digits and every byte of a non-ASCII character.
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LOWER_BYTE = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_LOWERED = random_table(256, 4)[LOWER_BYTE]
 
 
 def byte_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +118,8 @@ def byte_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last[inner] = True
     last &= word
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, span_hash(LOWER_BYTE[data], starts, ends), np.searchsorted(starts, offsets)
+    hashes = mix64(Rolling(data, _LOWERED)(starts, ends) + (ends - starts).astype(np.uint64))
+    return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
 class Memo:

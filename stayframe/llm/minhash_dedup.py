@@ -9,10 +9,12 @@ gives ``BANDS`` keys of ``ROWS`` samples each; texts that share a key are candid
 links are verified by the exact weighted Jaccard similarity of the texts.
 
 Texts with the same words are one class before anything else. In a bucket of texts that share
-a key, all are compared to the first; then, round by round, each to its neighbour in a changing
-order, as long as texts of the bucket stand in different groups; what then is still apart is
-compared in full. So a bucket of thousands of copies costs comparisons in proportion to its
-size, and no candidate pair that could join two groups is left out. Groups are the connected
+a key, all are compared to its center, the text with the largest buckets. Where texts of a bucket then
+stand in different groups, those of a large bucket are compared, round by round, to their neighbours in
+order of the similarity to the center, and what then is still apart in full, but for pairs that cannot
+be similar: one minus the weighted Jaccard similarity is a metric, so two texts whose distances to the
+center differ by more than the limit are farther apart than it. So a bucket of thousands of copies costs
+comparisons in proportion to its size, and no candidate pair that could join two groups is left out. Groups are the connected
 components of the links.
 
 Texts without words (null, empty, only punctuation) are groups of their own. Rows of the same id are
@@ -30,33 +32,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._stage import staged
-from ._text import byte_words, mix64, slices, utf8
+from ._text import Rolling, byte_words, mix64, slices, utf8
 from .components import components
 
-BANDS, ROWS, DF_BUCKETS, RARE, LEAST_IDF, ROUNDS = 6, 2, 1 << 16, 0.05, 0.05, 4
+BANDS, ROWS, DF_BUCKETS, RARE, LEAST_IDF, ROUNDS, SMALL = 6, 2, 1 << 16, 0.05, 0.05, 2, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of the rows, ascending within each row: row, hash, term frequency; and the words of each row."""
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of the rows, ascending within each row: row, hash, term frequency; and the
+    words' hashes with the rows' offsets in them. At most 2**20 rows."""
     _, _, words, at = byte_words(data, offsets)
     n = np.diff(at)
     many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
     row = np.repeat(np.arange(len(n)), many)
     first = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    length = np.minimum(n[row], size)
-    h, power = length.astype(np.uint64), np.uint64(1)
-    for j in range(size):
-        power = power * _ODD
-        inside = j < length
-        h = h + np.where(inside, words[np.minimum(first + j, max(len(words) - 1, 0))] if len(words) else np.uint64(0), np.uint64(0)) * power
-    h = mix64(h)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    length = np.minimum(n, size)[row]
+    h = mix64(Rolling(words)(first, first + length) + length.astype(np.uint64))
+    # a shingle's name is 44 bits; the row stands above it, so one plain sort groups and orders them
+    key = np.sort(row.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     edge = np.flatnonzero(new)
-    return row[edge], h[edge], np.diff(np.append(edge, len(h))), n
+    key = key[edge]
+    return (key >> np.uint64(44)).astype(np.int64), key << np.uint64(20), np.diff(np.append(edge, len(h))), (words, at)
 
 
 def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -95,7 +94,7 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, many:
     log_w, unit = np.log(weight).astype(np.float32), np.float32(2.0 ** -24)
     low = (mix64(h) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     for k in range(many):
-        x = mix64(h + np.uint64(2 * k + 1) * _ODD)
+        x = mix64(h + np.uint64((2 * k + 1) * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
         y = mix64(x ^ _ODD)
         u = lambda bits, shift: ((bits >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.float32) * unit + unit / 2
         r = -np.log(u(x, 40) * u(x, 16) + np.float32(1e-30))
@@ -121,9 +120,8 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int, id_col: str, text_co
             n_words, keys, bands = np.zeros(b.num_rows, np.int64), np.zeros((2, b.num_rows), np.int64), np.zeros((b.num_rows, BANDS), np.int64)
             for i, j in slices(offsets):
                 part, off = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-                row, h, tf, n = shingles(part, off, size)
-                n_words[i:j] = n
-                _, _, words, at = byte_words(part, off)
+                row, h, tf, (words, at) = shingles(part, off, size)
+                n = n_words[i:j] = np.diff(at)
                 place = (np.arange(len(words)) - np.repeat(at[:-1], n)).astype(np.uint64)
                 some = np.flatnonzero(n)
                 for s in range(2):  # two 64-bit sums over (word, place)
@@ -143,30 +141,36 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int, id_col: str, text_co
         run, "id bigint, n_words bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def weighted_jaccard(a: str, b: str, idf: np.ndarray, size: int) -> float:
-    """The exact similarity of two texts."""
-    data, offsets = utf8(pa.array([a, b], pa.string()))
-    row, h, tf, _ = shingles(data, offsets, size)
-    w = weights(h, tf, idf)
-    cut = int(np.searchsorted(row, 1))
-    ha, wa, hb, wb = h[:cut], w[:cut], h[cut:], w[cut:]
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    common = float(np.minimum(wa[i], wb[j]).sum())
-    total = float(wa.sum() + wb.sum()) - common
-    return common / total if total else 0.0
+def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray, size: int) -> np.ndarray:
+    """The exact weighted Jaccard similarity of the texts in each row (0 where neither has words)."""
+    sides = [utf8(a), utf8(b)]
+    out = np.zeros(len(a))
+    for i, j in slices(sides[0][1] + sides[1][1]):
+        named, weight, total = [], [], np.zeros(j - i)
+        for data, offsets in sides:
+            row, h, tf, _ = shingles(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], size)
+            named.append(row.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+            weight.append(weights(h, tf, idf))
+            total += np.bincount(row, weight[-1], j - i)
+        at = np.searchsorted(named[1], named[0])
+        at[at == len(named[1])] = 0
+        both = np.flatnonzero(named[1][at] == named[0]) if len(named[1]) else np.zeros(0, np.int64)
+        common = np.bincount((named[0][both] >> np.uint64(44)).astype(np.int64), np.minimum(weight[0][both], weight[1][at[both]]), j - i)
+        rest = total - common
+        out[i:j] = np.divide(common, rest, out=np.zeros(j - i), where=rest > 0)
+    return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, least: float) -> DataFrame:
-    """(a, b, linked) of the pairs, by their texts."""
+def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
+    """(a, b, sim) of the pairs, by their texts."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked = [weighted_jaccard(x or "", y or "", shared.value, size) >= least - 1e-12 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(similarities(b.column(2), b.column(3), shared.value, size))], names=["a", "b", "sim"])
 
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return staged(both.mapInArrow(run, "a bigint, b bigint, linked boolean"), "minhash-tested")
+    return staged(both.mapInArrow(run, "a bigint, b bigint, sim double"), "minhash-tested")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,36 +180,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col:
     exact = signed.filter("n_words > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     exact = staged(exact, "minhash-classes")
     members = exact.select("rep", F.explode("bands").alias("key"))
-    shared_keys = members.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center <> last")
-    members = staged(members.join(shared_keys, "key").select("key", "rep", "center").distinct(), "minhash-members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = staged(members.join(sizes, "key"), "minhash-members")
+    rank = members.groupBy("rep").agg(F.sum("n").alias("rank"))
+    best = members.join(rank, "rep").groupBy("key").agg(F.min(F.struct((-F.col("rank")).alias("r"), "rep"))["rep"].alias("center"))
+    members = staged(members.join(best, "key").select("key", "rep", "center"), "minhash-members")
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text")) \
         .join(members.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
     texts = staged(texts, "minhash-texts")
     ordered = lambda df, a, b: df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    tested = _verified(ordered(members, "rep", "center"), texts, idf, size, least)
-    groups = components(tested.filter("linked"), "a", "b")
+    tested = _verified(ordered(members, "rep", "center"), texts, idf, size)
+    linked = F.col("sim") >= least - 1e-12
+    groups = components(tested.filter(linked), "a", "b")
+    members = staged(members.withColumn("a", F.least("rep", "center")).withColumn("b", F.greatest("rep", "center")).join(tested, ["a", "b"], "left")
+                     .select("key", "rep", F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("far")), "minhash-members")
     for k in range(ROUNDS + 1):
         # keys whose texts stand in different groups; groups may still meet there
-        open_ = members.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left") \
-            .select("key", "rep", F.coalesce("component", "rep").alias("grp"))
-        apart = open_.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("key")
-        open_ = staged(open_.join(apart, "key"), "minhash-open")
-        if k < ROUNDS:
-            # the hashed order is cut into runs, so a key's texts are no single task's window
-            run = Window.partitionBy("key", "slot").orderBy("h")
-            slots = open_.groupBy("key").agg(F.ceil(F.count("*") / 1000).alias("n_slots"))
-            near = open_.join(slots, "key").withColumn("h", F.xxhash64(F.lit(k), "rep")).withColumn("slot", F.pmod("h", "n_slots")) \
-                .withColumn("b", F.lead("rep").over(run)).withColumn("grp_b", F.lead("grp").over(run))
-            pairs = ordered(near.filter("b IS NOT NULL AND grp <> grp_b"), "rep", "b")
-        else:
-            other = open_.select("key", F.col("rep").alias("b"), F.col("grp").alias("grp_b"))
-            pairs = ordered(open_.join(other, "key").filter("grp < grp_b"), "rep", "b")
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty() and k == ROUNDS:
+        placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "far", F.coalesce("component", "rep").alias("grp"))
+        apart = placed.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("n")).filter("x <> y").select("key", "n")
+        open_ = staged(placed.join(apart, "key"), "minhash-open")
+        if open_.isEmpty():
             break
-        tested = tested.unionByName(_verified(pairs, texts, idf, size, least))
-        groups = components(tested.filter("linked"), "a", "b")
+        in_full = F.lit(True) if k == ROUNDS else F.col("n") <= SMALL
+        few = open_.filter(in_full)
+        other = few.select("key", F.col("rep").alias("b"), F.col("grp").alias("grp_b"), F.col("far").alias("far_b"))
+        pairs = ordered(few.join(other, "key").filter((F.col("grp") < F.col("grp_b")) & (F.abs(F.col("far") - F.col("far_b")) <= 1 - least + 1e-9)), "rep", "b")
+        members = open_.filter(~in_full).select("key", "rep", "far")  # the others are done with
+        # the order of a large key is cut into runs, so its texts are no single task's window
+        run = Window.partitionBy("key", "slot").orderBy("far", "rep")
+        near = open_.filter(~in_full).withColumn("slot", F.pmod(F.xxhash64(F.lit(k), "rep"), F.ceil(F.col("n") / 1000))) \
+            .withColumn("b", F.lead("rep", k + 1).over(run)).withColumn("grp_b", F.lead("grp", k + 1).over(run))
+        pairs = pairs.unionByName(ordered(near.filter("b IS NOT NULL AND grp <> grp_b"), "rep", "b")).distinct()
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(_verified(pairs, texts, idf, size))
+        groups = components(tested.filter(linked), "a", "b")
     classes = exact.select("k1", "k2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("id", F.when(F.col("n_words") > 0, F.col("k1")).alias("k1"), "k2").join(classes, ["k1", "k2"], "left")
