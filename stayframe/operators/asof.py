@@ -36,6 +36,7 @@ from stayframe.functions.time import HOUR_US, epoch_us
 DEFAULT_BUCKET_US = 6 * HOUR_US
 DEFAULT_HOT_ROWS = 2_000_000
 SUB_LEVELS = 20
+HOT_LIST_ROWS = 100_000
 
 
 def split_hot_buckets(u: DataFrame, part: list[str], bucket_us: int, hot_rows: int,
@@ -45,15 +46,21 @@ def split_hot_buckets(u: DataFrame, part: list[str], bucket_us: int, hot_rows: i
     equal-time sub-buckets (k = ceil(log2(n / hot_rows)), at most 2^20).
     The new key ``bucket * 2^20 + sub * 2^(20 - k)`` keeps time order, so the
     bucket logic downstream is unchanged. The list of hot buckets has at most
-    rows / hot_rows entries. Costs one extra aggregation over the (pruned)
-    rows to count them. (Rows sharing one instant cannot be split by time;
+    rows / hot_rows entries; it is written once, and joined by a broadcast up to
+    ``HOT_LIST_ROWS`` entries (else by a shuffle). Costs one extra aggregation
+    over the (pruned) rows to count them, combined before its shuffle. (Rows sharing one instant cannot be split by time;
     they stay together.)"""
-    hot = (u.groupBy(*part, bucket_col).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_rows)
-           .select(*part, bucket_col,
-                   F.least(F.ceil(F.log2(F.col("_n") / F.lit(float(hot_rows)))), F.lit(SUB_LEVELS))
-                   .cast("int").alias("_lv")))
-    j = u.join(hot, [*part, bucket_col], "left")
+    hot = _materialize(u.groupBy(*part, bucket_col).agg(F.count(F.lit(1)).alias("_n"))
+                       .where(F.col("_n") > hot_rows)
+                       .select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate([*part, bucket_col])],
+                               F.least(F.ceil(F.log2(F.col("_n") / F.lit(float(hot_rows)))), F.lit(SUB_LEVELS))
+                               .cast("int").alias("_lv")))
+    n_hot = hot.count()
+    if not n_hot:
+        return u.withColumn(bucket_col, F.col(bucket_col) * F.lit(1 << SUB_LEVELS))
+    # re-keyed where the rows lie, so the rows are shuffled once, by the new key
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate([*part, bucket_col])])
+    j = u.join(F.broadcast(hot) if n_hot <= HOT_LIST_ROWS else hot, on, "left").drop(*[f"_h{i}" for i in range(len(part) + 1)])
     within = F.col(time_col) - F.col(bucket_col) * F.lit(bucket_us)          # [0, bucket_us)
     sub = F.when(F.col("_lv").isNull(), F.lit(0).cast("long")).otherwise(
         F.floor(within * F.pow(F.lit(2.0), F.col("_lv")) / F.lit(float(bucket_us))).cast("long")
@@ -71,8 +78,7 @@ def _materialize(df: DataFrame) -> DataFrame:
 def tag_features(events: DataFrame, spec: DataFrame, item_col: str = "itemid", value_col: str = "valuenum",
                  spec_item: str = "item", spec_feature: str = "feature") -> DataFrame:
     """P03 for all features at once: events joined to the (feature, item) spec.
-    The spec is a short metadata table; it is broadcast only after its size is
-    checked (``checked_broadcast``) by the caller, or left to AQE."""
+    The spec is a short metadata table; Spark broadcasts it when it is small."""
     s = spec.select(F.col(spec_item).alias("_item"), F.col(spec_feature).alias("feature"))
     return (events.where(F.col(value_col).isNotNull())
             .join(s, F.col(item_col) == F.col("_item")).drop("_item"))
@@ -102,6 +108,7 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
         F.struct(ev_t.alias("t"), F.col(tiebreak).alias("tb"), F.col(value_col).alias("value"),
                  F.col(event_time).alias("time"), F.col(item_col).alias("item")).alias("_ev"),
     ).where(F.col("_t").isNotNull() & F.col("_ev.value").isNotNull())   # never a candidate (BETWEEN is false)
+    ev = ev.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key]))   # an equi-join never matches NULL
     an_t = epoch_us(anchor_time)
     lo = epoch_us(lower_bound) if lower_bound else F.lit(None).cast("long")
     an = anchors.select(

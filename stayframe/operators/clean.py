@@ -94,6 +94,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
                        if isinstance(types[c], (T.FloatType, T.DoubleType)) else F.col(c) for c in df.columns])
 
 
-def size_report(df: DataFrame) -> tuple[int, int]:
-    """(rows, columns) — an action."""
-    return df.count(), len(df.columns)
+def size_report(df: DataFrame) -> DataFrame:
+    """One row (n_rows, n_cols)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_cols"))

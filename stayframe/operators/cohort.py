@@ -32,12 +32,18 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, point_time:
     Both sides get a time-bucket column; each interval is repeated once per
     bucket it overlaps, so the equi-join key is (key, bucket) and a point meets
     only the intervals that overlap its own bucket. A subject with a long
-    history is spread over many (key, bucket) groups instead of one.
+    history is spread over many (key, bucket) groups instead of one. An
+    interval is repeated only over the span of its key's points, so an
+    open-ended one costs no more than the points it can meet.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("interval_join takes how='inner' or 'left'")
     b_pt = F.floor(epoch_us(point_time) / F.lit(bucket_us)).cast("long")
     b_lo = F.floor(epoch_us(start) / F.lit(bucket_us)).cast("long")
     b_hi = F.floor(epoch_us(end) / F.lit(bucket_us)).cast("long")
-    iv = intervals.withColumn("_b", F.explode(F.sequence(b_lo, b_hi)))
+    reach = points.groupBy(F.col(key).alias("_pk")).agg(F.min(b_pt).alias("_p_lo"), F.max(b_pt).alias("_p_hi"))
+    iv = intervals.join(reach, F.col(key) == F.col("_pk")).withColumn("_lo", F.greatest(b_lo, "_p_lo")).withColumn("_hi", F.least(b_hi, "_p_hi"))
+    iv = iv.where("_lo <= _hi").withColumn("_b", F.explode(F.sequence("_lo", "_hi"))).drop("_pk", "_p_lo", "_p_hi", "_lo", "_hi")
     pt = points.withColumn("_b", b_pt)
     cond = [pt[key] == iv[key], pt["_b"] == iv["_b"],
             pt[point_time] >= iv[start], pt[point_time] <= iv[end]]
@@ -137,20 +143,27 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
 
 
 def apply_inclusion(df: DataFrame, keys: list[str] = ("icustay_id", "creatinine_time"),
-                    order: list | None = None, observation: Observation | None = None) -> DataFrame:
+                    order: list | None = None, observations: tuple[Observation, ...] = ()) -> DataFrame:
     """Keep rows whose every ``inclusion*`` column is 1, drop those columns,
     and keep one row per (stay, anchor time). The flags are constant per stay,
     so filtering before the de-duplication gives the same rows and lets the
-    filter reach the stay table."""
+    filter reach the stay table. ``observations`` (up to three) receive the
+    counts ``initial``, ``included`` and ``unique`` when the result is computed.
+    Without ``anchor_event_id`` an ``order`` is required: the kept row must not be arbitrary."""
+    names = ("initial", "included", "unique")
+
+    def observed(d, i):
+        return d.observe(observations[i], F.count(F.lit(1)).alias(names[i])) if i < len(observations) else d
+
     flags = [c for c in df.columns if "inclusion" in c]
-    if observation is not None:
-        df = df.observe(observation, F.count(F.lit(1)).alias("initial"))
+    df = observed(df, 0)
     kept = df.where(reduce(lambda a, b: a & b, [F.col(c) == 1 for c in flags])) if flags else df
-    kept = kept.drop(*flags)
+    kept = observed(kept.drop(*flags), 1)
     if order is None:
-        # Q4: among duplicates of (stay, time) keep the highest event id.
-        order = [-F.col("anchor_event_id")] if "anchor_event_id" in kept.columns else [F.lit(0)]
-    return keep_first(kept, list(keys), order)
+        if "anchor_event_id" not in kept.columns:
+            raise ValueError("order is required without anchor_event_id")
+        order = [-F.col("anchor_event_id")]   # Q4: among duplicates of (stay, time) keep the highest event id
+    return observed(keep_first(kept, list(keys), order), 2)
 
 
 def attach_admission(df: DataFrame, admissions: DataFrame, patients: DataFrame, match: str = "admission") -> DataFrame:

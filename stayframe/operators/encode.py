@@ -10,16 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dummy_values(df: DataFrame, cols: list[str], max_values: int = 10_000) -> dict[str, list]:
-    """Sorted distinct non-NULL values per column (a bounded category list;
-    a column with more than ``max_values`` values is refused)."""
-    out = {}
-    for c in cols:
-        vals = df.where(F.col(c).isNotNull()).select(c).distinct().limit(max_values + 1).collect()
-        if len(vals) > max_values:
-            raise ValueError(f"{c}: more than {max_values} categories")
-        out[c] = sorted(r[0] for r in vals)
-    return out
+def dummy_values(df: DataFrame, cols: list[str]) -> dict[str, list]:
+    """Sorted distinct non-NULL values per column, in one job. Each becomes a
+    column of the result, so the list is as long as the schema it makes; for
+    columns of very many values use ``indexed`` (one vector column)."""
+    if not cols:
+        return {}
+    sets = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols]).first()
+    return {c: list(sets[c]) for c in cols}
+
+
+def indexed(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Columns of any number of values as one sparse 0/1 vector each
+    (``<c>_vector``; NULL and the last value of the order give zeros)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    index = [f"_i_{c}" for c in cols]
+    out = StringIndexer(inputCols=cols, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc").fit(df).transform(df)
+    return OneHotEncoder(inputCols=index, outputCols=[f"{c}_vector" for c in cols]).fit(out).transform(out).drop(*index, *cols)
 
 
 def dummies(df: DataFrame, cols: list[str], values: dict[str, list] | None = None) -> DataFrame:

@@ -107,8 +107,10 @@ class _Plain:
 
 def boosted_trees(step: float = 0.1, depth: int = 3, min_instances: int = 1, max_iter: int = 20, seed: int = 44):
     """Gradient-boosted trees for 3 classes as one-vs-rest of binary GBTs
-    (MLlib's GBT is binary; step sizes above 1 are not accepted)."""
-    gbt = GBTClassifier(stepSize=min(step, 1.0), maxDepth=depth, minInstancesPerNode=min_instances,
+    (MLlib's GBT is binary). A step above 1 raises: MLlib takes (0, 1] only."""
+    if not 0 < step <= 1:
+        raise ValueError(f"step {step}: MLlib's boosted trees take a step in (0, 1]")
+    gbt = GBTClassifier(stepSize=step, maxDepth=depth, minInstancesPerNode=min_instances,
                         maxIter=max_iter, seed=seed)
     return _Plain(OneVsRest(classifier=gbt, parallelism=3))
 
@@ -194,14 +196,20 @@ class _WithMissingModel:
 # ---- AdaBoost over random forests (M08) ---------------------------------------
 
 class AdaBoostForest:
-    """Discrete multi-class boosting (SAMME) with random forests as base
-    learners. Row weights live in a column updated by a DataFrame expression
-    each round; the weighted table is checkpointed every round so the lineage
-    stays one round long (and survives lost executors)."""
+    """Multi-class boosting with random forests as base learners, each forest
+    class-balanced by itself. ``form='probability'`` (SAMME.R, the study's
+    default) updates the row weights by the forests' class probabilities;
+    ``'discrete'`` (SAMME) by their predictions. Row weights live in a column
+    updated by a DataFrame expression each round; the weighted table is
+    checkpointed every round so the lineage stays one round long (and survives
+    lost executors)."""
 
     def __init__(self, rounds: int = 50, rate: float = 0.5, trees: int = 10, depth: int = 5, seed: int = 42,
-                 n_classes: int = 3):
+                 n_classes: int = 3, form: str = "probability"):
+        if form not in ("probability", "discrete"):
+            raise ValueError(f"form {form}: probability or discrete")
         self.rounds, self.rate, self.trees, self.depth, self.seed, self.k = rounds, rate, trees, depth, seed, n_classes
+        self.form = form
 
     def fit(self, df: DataFrame) -> "AdaBoostForestModel":
         from stayframe.session import ensure_checkpoint_dir
@@ -211,14 +219,27 @@ class AdaBoostForest:
         bal = F.lit(1.0)
         for cls, c in counts.items():
             bal = F.when(F.col("label") == cls, n / (k * c)).otherwise(bal)
-        cur = df.select("features", "label", bal.alias("_w")).checkpoint()
+        cur = df.select("features", "label", F.lit(1.0).alias("_w")).checkpoint()
         models, alphas = [], []
         for m in range(self.rounds):
             rf = RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=self.seed + m,
-                                        weightCol="_w", predictionCol="_p", rawPredictionCol="_r",
+                                        weightCol="_bw", predictionCol="_p", rawPredictionCol="_r",
                                         probabilityCol="_q")
-            model = rf.fit(cur)
+            model = rf.fit(cur.withColumn("_bw", F.col("_w") * bal))
             scored = model.transform(cur)
+            if self.form == "probability":
+                logs = _log_probabilities()
+                true, rest = logs[F.col("label").cast("int")], F.aggregate(logs, F.lit(0.0), lambda a, x: a + x)
+                models.append(model)
+                alphas.append(1.0)
+                # exp(-rate * (k-1)/k * sum_j y_j log p_j) with y = 1 for the label, -1/(k-1) else
+                upd = F.col("_w") * F.exp(F.lit(-self.rate * (self.k - 1) / self.k) * (true - (rest - true) / F.lit(self.k - 1.0)))
+                nxt = scored.select("features", "label", upd.alias("_w"), (F.col("_p") != F.col("label")).cast("double").alias("_bad")).checkpoint()
+                total, wrong = nxt.agg(F.sum("_w"), F.sum("_bad")).first()
+                if not wrong or not total:
+                    break
+                cur = nxt.select("features", "label", (F.col("_w") * (n / total)).alias("_w"))
+                continue
             tot, bad = scored.agg(F.sum("_w"), F.sum(F.when(F.col("_p") != F.col("label"), F.col("_w")).otherwise(0.0))).first()
             err = (bad or 0.0) / tot
             if err >= 1 - 1.0 / self.k:
@@ -232,20 +253,31 @@ class AdaBoostForest:
             nxt = scored.select("features", "label", upd.alias("_w"))
             s = nxt.agg(F.sum("_w")).first()[0]
             cur = nxt.select("features", "label", (F.col("_w") * (n / s)).alias("_w")).checkpoint()
-        return AdaBoostForestModel(models, alphas, self.k)
+        return AdaBoostForestModel(models, alphas, self.k, self.form)
+
+
+def _log_probabilities():
+    """Logarithms of the forest's class probabilities (bounded below, as usual)."""
+    return F.transform(vector_to_array(F.col("_q")), lambda p: F.log(F.greatest(p, F.lit(2.2e-16))))
 
 
 class AdaBoostForestModel:
-    def __init__(self, models, alphas, k):
-        self.models, self.alphas, self.k = models, alphas, k
+    def __init__(self, models, alphas, k, form="discrete"):
+        self.models, self.alphas, self.k, self.form = models, alphas, k, form
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("_score", F.array(*[F.lit(0.0)] * self.k))
         for i, (m, a) in enumerate(zip(self.models, self.alphas)):
             m = m.copy().setPredictionCol("_p").setRawPredictionCol("_r").setProbabilityCol("_q")
-            out = m.transform(out).withColumn(
-                "_score", F.transform("_score", lambda s, j: s + F.when(F.col("_p") == j, F.lit(a)).otherwise(0.0))) \
-                .drop("_p", "_r", "_q")
+            out = m.transform(out)
+            if self.form == "probability":
+                logs = _log_probabilities()
+                mean = F.aggregate(logs, F.lit(0.0), lambda x, y: x + y) / F.lit(float(self.k))
+                out = out.withColumn("_score", F.zip_with("_score", logs, lambda s, g: s + F.lit(self.k - 1.0) * (g - mean)))
+            else:
+                out = out.withColumn(
+                    "_score", F.transform("_score", lambda s, j: s + F.when(F.col("_p") == j, F.lit(a)).otherwise(0.0)))
+            out = out.drop("_p", "_r", "_q")
         best = F.array_max(F.transform("_score", lambda s, j: F.struct(s.alias("s"), (-j).alias("t"))))
         return out.withColumn("prediction", (-best["t"]).cast("double")).drop("_score")
 
@@ -274,10 +306,16 @@ class Spec:
     """A registry entry (G05): estimator factory + grid of keyword values."""
     factory: Callable[..., object]
     grid: dict = field(default_factory=dict)
+    unsupported: dict = field(default_factory=dict)   # values of the study that MLlib cannot take, by name
 
-    def points(self):
+    def all_points(self):
+        """Every point of the study's grid and whether it can be fitted here."""
         keys = list(self.grid)
-        return [dict(zip(keys, v)) for v in itertools.product(*[self.grid[k] for k in keys])] or [{}]
+        out = [dict(zip(keys, v)) for v in itertools.product(*[self.grid[k] for k in keys])] or [{}]
+        return [(p, all(v not in self.unsupported.get(k, ()) for k, v in p.items())) for p in out]
+
+    def points(self):
+        return [p for p, fits in self.all_points() if fits]
 
 
 def grid_search(spec: Spec, df: DataFrame, fold_col: str = "fold", metric: str = "accuracy",
@@ -346,20 +384,32 @@ def generalisation_table(compare: DataFrame, test: DataFrame) -> DataFrame:
     return j.select("*", *[(F.col(f"test_{m}") - F.col(f"compare_{m}")).alias(f"delta_{m}") for m in METRICS])
 
 
-def default_registry(n_features: int, quick: bool = False) -> dict[str, Spec]:
-    """The study's models and grids (quick=True keeps one point each)."""
+def default_registry(n_features: int) -> dict[str, Spec]:
+    """The study's models and grids. Values that MLlib cannot take stay in
+    the grid and are named in ``unsupported``: a step above 1, and minimum child
+    weights that are no whole number of rows."""
     from stayframe import presets as P
-    g = (lambda xs: xs[:1]) if quick else (lambda xs: xs)
     return {
-        "linear_SVM": Spec(lambda reg=1e-4: linear_svm(reg), {"reg": g(P.SVM_ALPHAS)}),
-        "logreg": Spec(lambda reg=1e-4: logreg(reg), {"reg": g(P.LOGREG_ALPHAS)}),
+        "linear_SVM": Spec(lambda reg=1e-4: linear_svm(reg), {"reg": P.SVM_ALPHAS}),
+        "logreg": Spec(lambda reg=1e-4: logreg(reg), {"reg": P.LOGREG_ALPHAS}),
         "logreg_elasticnet": Spec(lambda reg=1e-4, l1=0.15: logreg(reg, l1),
-                                  {"reg": g(P.ENET_ALPHAS), "l1": g(P.ENET_L1_RATIOS)}),
-        "boosted_trees": Spec(lambda step=0.1, depth=3, mi=1: boosted_trees(step, depth, mi, max_iter=10 if quick else 20),
-                              {"step": g([r for r in P.BOOST_RATES if r <= 1.0]), "depth": g(P.BOOST_DEPTHS),
-                               "mi": g([1, 3])}),
-        "perceptron_1hl": Spec(lambda h=10: perceptron(n_features, [h], max_iter=50 if quick else 100),
-                               {"h": g(P.MLP1_UNITS)}),
-        "perceptron_2hl": Spec(lambda h1=10, h2=10: perceptron(n_features, [h1, h2], max_iter=50 if quick else 100),
-                               {"h1": g(P.MLP2_UNITS_1), "h2": g(P.MLP2_UNITS_2)}),
+                                  {"reg": P.ENET_ALPHAS, "l1": P.ENET_L1_RATIOS}),
+        "boosted_trees": Spec(lambda step=0.1, depth=3, mi=1: boosted_trees(step, depth, int(mi)),
+                              {"step": P.BOOST_RATES, "depth": P.BOOST_DEPTHS, "mi": P.BOOST_MIN_CHILD_WEIGHTS},
+                              {"step": [r for r in P.BOOST_RATES if r > 1.0],
+                               "mi": [w for w in P.BOOST_MIN_CHILD_WEIGHTS if w != int(w)]}),
+        "perceptron_1hl": Spec(lambda h=10: perceptron(n_features, [h]), {"h": P.MLP1_UNITS}),
+        "perceptron_2hl": Spec(lambda h1=10, h2=10: perceptron(n_features, [h1, h2]),
+                               {"h1": P.MLP2_UNITS_1, "h2": P.MLP2_UNITS_2}),
+        "adaboost_forest": Spec(lambda rate=0.5: AdaBoostForest(P.ADABOOST_ROUNDS, rate), {"rate": P.ADABOOST_RATES}),
     }
+
+
+def search_plan(registry: dict[str, Spec], df: DataFrame, fold_col: str = "fold") -> DataFrame:
+    """G05 as a table: every grid point of every model on every fold, with the
+    rows it trains and scores on and whether it can be fitted here."""
+    folds = sorted((r[0], r[1]) for r in df.groupBy(fold_col).count().collect())
+    total = sum(n for _, n in folds)
+    rows = [(name, i, repr(sorted(p.items())), fits, f, total - n, n)
+            for name, spec in registry.items() for i, (p, fits) in enumerate(spec.all_points()) for f, n in folds]
+    return df.sparkSession.createDataFrame(rows, "model string, point int, params string, supported boolean, fold int, n_train long, n_test long")

@@ -58,6 +58,7 @@ def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str
             items.append(F.struct(F.lit(off).cast("long").alias("off"), F.lit(0).alias("k"), F.lit(name).alias("q"),
                                   F.lit(side).alias("side")))
     base = df.select(*partition, rid.alias("_rid"), t.alias("_t0"), F.col(value_col).cast("double").alias("_v0"))
+    base = base.withColumn("_v0", F.when(~F.isnan("_v0"), F.col("_v0")))   # NaN is missing
     u = (base.select("*", F.explode(F.array(*items)).alias("_e"))
          .where((F.col("_e.k") == 0) | (F.col("_v0").isNotNull() & F.col("_t0").isNotNull()))
          .select(*partition, (F.col("_t0") + F.col("_e.off")).alias("_t"), F.col("_e.k").alias("_k"),
@@ -98,21 +99,19 @@ def range_max(df: DataFrame, partition: list[str], time_col: str, value_col: str
                         .otherwise(F.greatest("_edge", "_fwd"))))
     summary = subs.groupBy(*partition, "_b").agg(F.max("_smax").alias("_bmax"))
 
-    # whole buckets strictly inside the frame
-    mids = []
+    # whole buckets strictly inside each frame: all frames in one pass over the
+    # summary (equal windows are computed once), joined once
+    inner = {}
     for name, (lo, hi) in frames.items():
         n = (hi - lo) // bucket_us
         if n > 1:
-            wm = Window.partitionBy(*partition).orderBy("_b").rangeBetween(1, n - 1)
-            mids.append(summary.select(*partition, "_b", F.lit(name).alias("_q"), F.lit(0).alias("_side"),
-                                       F.max("_bmax").over(wm).alias("_mid")))
-    if mids:
-        mid = mids[0]
-        for m in mids[1:]:
-            mid = mid.unionByName(m)
-        edge = edge.join(mid, [*partition, "_b", "_q", "_side"], "left")
-    else:
-        edge = edge.withColumn("_mid", F.lit(None).cast("double"))
+            inner[name] = F.max("_bmax").over(Window.partitionBy(*partition).orderBy("_b").rangeBetween(1, n - 1))
+    mid = F.lit(None).cast("double")
+    if inner:
+        edge = edge.join(summary.select(*partition, "_b", *[w.alias(f"_mid_{name}") for name, w in inner.items()]), [*partition, "_b"], "left")
+        for name in inner:
+            mid = F.when((F.col("_q") == name) & (F.col("_side") == 0), F.col(f"_mid_{name}")).otherwise(mid)
+    edge = edge.withColumn("_mid", mid)
 
     part_max = F.greatest(F.col("_edge"), F.col("_mid"))
     aggs = [F.max(F.when(F.col("_q") == name, part_max)).alias(prefix + name) for name in frames]

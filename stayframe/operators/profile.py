@@ -8,94 +8,88 @@ numeric column set.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayframe.operators.clean import NUMERIC
+from stayframe.operators.clean import NUMERIC, nan_to_null
 
 
 QUANTILE_BINS = 1024
-QUANTILE_COLLECT_MAX = 50_000
+
+
+def finite(c: str) -> Column:
+    """The column as a double, NULL where it is NaN (missing, as in pandas)."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _bin(x: Column, lo: float, hi: float) -> Column:
+    """Monotone bin number of ``x`` in [lo, hi], at least two bins when lo < hi:
+    infinities and signs first, then equal widths, on a log scale where the
+    magnitudes differ much (so the number of levels is bounded)."""
+    inf = float("inf")
+    if lo == -inf or hi == inf:
+        return F.when(x == -inf, 0).when(x == inf, 2).otherwise(1)
+    if lo < 0 < hi or lo == 0 < hi or lo < 0 == hi:
+        return F.when(x < 0, 0).when(x == 0, 1).otherwise(2)
+    if lo < 0:
+        return F.lit(QUANTILE_BINS) - _bin(-x, -hi, -lo)
+    if hi / lo > 1e6:
+        top = math.log(hi) - math.log(lo)
+        return F.least(F.floor((F.log(x) - F.lit(math.log(lo))) / F.lit(top / QUANTILE_BINS)), F.lit(QUANTILE_BINS - 1)).cast("int")
+    return F.when(x == hi, QUANTILE_BINS).otherwise(F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(QUANTILE_BINS))), F.lit(QUANTILE_BINS - 1))).cast("int")
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], q: float = 0.5) -> dict[str, float | None]:
     """Exact quantile (linear interpolation, as ``percentile`` / DuckDB
-    ``quantile_cont``) of each column, without gathering a column's values in
-    one task: each level counts the values of all columns in 1,024
-    equal-width bins (one aggregation job), keeps the bin holding the wanted
-    rank, and repeats inside it until the bin holds few distinct values,
-    which are then counted exactly."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x"))
-                                         for c in cols])).alias("r")).select("r.c", "r.x") \
-             .where(F.col("x").isNotNull() & ~F.isnan("x"))
-    stats = {r.c: (r.n, r.lo, r.hi) for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n"),
-                                                                     F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
-    out: dict[str, float | None] = {c: None for c in cols}
-    # wanted 0-based ranks per column, each narrowed independently
-    todo = {}
-    for c in cols:
-        if c not in stats:
-            continue
-        n, lo, hi = stats[c]
-        pos = (n - 1) * q
-        for k in sorted({int(pos // 1), int(-(-pos // 1))}):
-            todo[(c, k)] = {"cond": [], "lo": lo, "hi": hi, "skip": 0, "k": k, "pos": pos}
+    ``quantile_cont``) of each column's non-missing values (NaN is missing),
+    without gathering a column's values in one task. Each level is one job for
+    all columns: the values inside every open range are counted in at most
+    1,025 bins, and the bin with the wanted rank is the next range, until its
+    smallest and largest value are equal. The number of jobs does not grow with
+    the number of columns or rows."""
+    stats = df.agg(*[f(finite(c)).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     found: dict[tuple, float] = {}
+    todo, pos = {}, {}
+    for i, c in enumerate(cols):
+        n, lo, hi = stats[f"n_{i}"], stats[f"lo_{i}"], stats[f"hi_{i}"]
+        if not n:
+            continue
+        pos[c] = (n - 1) * q
+        for k in {math.floor(pos[c]), math.ceil(pos[c])}:
+            if lo == hi:
+                found[c, k] = lo
+            else:
+                todo[c, k] = (lo, hi, 0)
     while todo:
-        # levels: bin every open range of every column in one job
-        open_ = list(todo.items())
-        parts = []
-        for i, ((c, k), st) in enumerate(open_):
-            w = (st["hi"] - st["lo"]) / QUANTILE_BINS
-            cond = reduce(lambda a, b: a & b, st["cond"], F.col("c") == c)
-            b = (F.least(F.floor((F.col("x") - F.lit(st["lo"])) / F.lit(w)), F.lit(QUANTILE_BINS - 1))
-                 if w > 0 else F.lit(0)).cast("int")
-            parts.append(F.when(cond, F.struct(F.lit(i).alias("q"), b.alias("b"))))
-        tagged = long.select(F.explode(F.array(*parts)).alias("t"), "x").where(F.col("t").isNotNull())
-        counts = tagged.groupBy("t.q", "t.b").agg(F.count(F.lit(1)).alias("n"),
-                                                  F.min("x").alias("mn"), F.max("x").alias("mx")).collect()
-        by_q: dict[int, list] = {}
+        ranges = list(todo.items())
+        tags = []
+        for i, ((c, _), (lo, hi, _)) in enumerate(ranges):
+            x = finite(c)
+            tags.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("i"), _bin(x, lo, hi).alias("b"), x.alias("x"))))
+        tagged = df.select(F.explode(F.array_compact(F.array(*tags))).alias("t"))
+        counts = tagged.groupBy("t.i", "t.b").agg(F.count(F.lit(1)).alias("n"), F.min("t.x").alias("lo"), F.max("t.x").alias("hi")).collect()
+        by_range: dict[int, list] = {}
         for r in counts:
-            by_q.setdefault(r.q, []).append(r)
-        small = []
-        for i, ((c, k), st) in enumerate(open_):
-            acc = st["skip"]
-            for r in sorted(by_q.get(i, []), key=lambda r: r.b):
-                if acc + r.n > k:
-                    w = (st["hi"] - st["lo"]) / QUANTILE_BINS
-                    b = r.b
-                    if r.mn == r.mx:
-                        found[(c, k)] = r.mn
-                        del todo[(c, k)]
+            by_range.setdefault(r.i, []).append(r)
+        for i, ((c, k), (_, _, skip)) in enumerate(ranges):
+            del todo[c, k]
+            for r in sorted(by_range[i], key=lambda r: r.b):
+                if skip + r.n > k:
+                    if r.lo == r.hi:
+                        found[c, k] = r.lo
                     else:
-                        bexpr = (F.least(F.floor((F.col("x") - F.lit(st["lo"])) / F.lit(w)),
-                                         F.lit(QUANTILE_BINS - 1)).cast("int") == b) if w > 0 else F.lit(True)
-                        st["cond"] = st["cond"] + [bexpr]
-                        st["skip"], st["lo"], st["hi"] = acc, r.mn, r.mx
-                        if r.n <= QUANTILE_COLLECT_MAX:
-                            small.append((i, c, k, st))
+                        todo[c, k] = (r.lo, r.hi, skip)
                     break
-                acc += r.n
-        for i, c, k, st in small:
-            cond = reduce(lambda a, b: a & b, st["cond"], F.col("c") == c)
-            vals = sorted((r.x, r.n) for r in long.where(cond).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect())
-            acc = st["skip"]
-            for x, n in vals:
-                if acc + n > k:
-                    found[(c, k)] = x
-                    break
-                acc += n
-            del todo[(c, k)]
-    for c in cols:
-        if c not in stats:
-            continue
-        pos = (stats[c][0] - 1) * q
-        lo_k, hi_k = int(pos // 1), int(-(-pos // 1))
-        a, b = found[(c, lo_k)], found[(c, hi_k)]
-        out[c] = a + (pos - lo_k) * (b - a)
+                skip += r.n
+    out: dict[str, float | None] = dict.fromkeys(cols)
+    for c, at in pos.items():
+        a, b = found[c, math.floor(at)], found[c, math.ceil(at)]
+        x = a if a == b else a + (at - math.floor(at)) * (b - a)
+        out[c] = None if math.isnan(x) else x   # above -inf there is no value in between
     return out
 
 
@@ -138,9 +132,9 @@ def numeric_summary(df: DataFrame, cols: list[str], exact_median: bool = True) -
     """A10: one row per column: median, mean, min, max. The exact median is
     found by distributed bin refinement (``exact_quantiles``); the approximate
     one by ``percentile_approx``."""
-    row = df.agg(*[F.avg(c).alias(f"{c}__mean") for c in cols], *[F.min(c).cast("double").alias(f"{c}__min") for c in cols],
-                 *[F.max(c).cast("double").alias(f"{c}__max") for c in cols],
-                 *([] if exact_median else [F.percentile_approx(c, 0.5).cast("double").alias(f"{c}__med") for c in cols]))
+    row = df.agg(*[F.avg(finite(c)).alias(f"{c}__mean") for c in cols], *[F.min(finite(c)).alias(f"{c}__min") for c in cols],
+                 *[F.max(finite(c)).alias(f"{c}__max") for c in cols],
+                 *([] if exact_median else [F.percentile_approx(finite(c), 0.5).alias(f"{c}__med") for c in cols]))
     meds = exact_quantiles(df, cols) if exact_median else None
     structs = [F.struct(F.lit(c).alias("column"),
                         (F.lit(meds[c]).cast("double") if meds is not None else F.col(f"{c}__med")).alias("median"),
@@ -164,14 +158,20 @@ def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins of the non-NULL values: (bin 1..bins, lo, hi,
-    count). Pass 1 finds min/max (two scalars), pass 2 bins and counts."""
-    lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
-    if lo is None:
+    """Equal-width bins of the non-missing values (NaN is missing): (bin
+    1..bins, lo, hi, count). The range is that of the finite values; -inf and inf
+    count in the first and the last bin. Pass 1 finds min/max (two scalars),
+    pass 2 bins and counts."""
+    x = finite(col)
+    inside = F.when(F.abs(x) != float("inf"), x)
+    lo, hi, n = df.agg(F.min(inside), F.max(inside), F.count(x)).first()
+    if not n:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count long")
-    width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
-    return (df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    width = hi / bins - lo / bins if hi > lo else 1.0
+    b = (F.when(x == float("inf"), bins).when(x == -float("inf"), 1)
+         .otherwise(F.least(F.floor((x - F.lit(lo)) / F.lit(width)) + 1, F.lit(bins))).cast("int"))
+    return (df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
             .select("bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("lo"),
                     (F.lit(lo) + F.col("bin") * F.lit(width)).alias("hi"), "count").orderBy("bin"))
 
@@ -197,7 +197,9 @@ def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False
     (``empty`` / ``useless`` / ``ok``), numeric stats, and the mode of
     non-numeric columns. Exact distinct counts of many columns in one
     aggregate replicate each row once per column in the shuffle;
-    ``approx_distinct=True`` uses HLL sketches instead (no replication)."""
+    ``approx_distinct=True`` uses HLL sketches instead (no replication). NaN is
+    missing."""
+    df = nan_to_null(df)
     fields = df.schema.fields
     numeric = [f.name for f in fields if isinstance(f.dataType, NUMERIC)]
     aggs = [F.count(F.lit(1)).alias("__n")]

@@ -9,6 +9,8 @@ per sub-group).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,11 @@ def strata_rank(df: DataFrame, strata: list[str], key_cols: list[str], seed: int
                          F.coalesce(F.sum("_c").over(ws.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)),
                                     F.lit(0)).alias("_off"),
                          F.sum("_c").over(ws).alias("_n"))
-    return (d.join(offs, [*strata, "_hb"]).withColumn("_rank", F.col("_off") + F.col("_rn"))
-            .drop("_h", "_hb", "_rn", "_off"))
+    # null-safe on the strata: rows without a label form a stratum of their own
+    offs = offs.select(*[F.col(c).alias(f"_s_{c}") for c in strata], F.col("_hb").alias("_ob"), "_off", "_n")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in strata], F.col("_hb") == F.col("_ob"))
+    return (d.join(offs, on).withColumn("_rank", F.col("_off") + F.col("_rn"))
+            .drop("_h", "_hb", "_rn", "_off", "_ob", *[f"_s_{c}" for c in strata]))
 
 
 def _strata(label):

@@ -10,14 +10,14 @@ rows (one per stay x anchor time).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayframe.operators import asof as A
 from stayframe.operators import cohort as C
-from stayframe.operators.clean import drop_columns, drop_matching
+from stayframe.operators.clean import drop_columns, drop_matching, nan_to_null
 from stayframe.operators.label import add_labels
 from stayframe.operators.offsets import drop_singletons
 
@@ -48,14 +48,13 @@ class Params:
     bucket_us: int = A.DEFAULT_BUCKET_US
     hot_rows: int | None = A.DEFAULT_HOT_ROWS   # cut time buckets holding more rows than this
     materialize: bool = True          # checkpoint the cohort and the merged stage
-    extra: dict = field(default_factory=dict)
 
 
 ANCHOR_ID = ["icustay_id", "creatinine_time"]
 
 
 def included_cohort(t: Tables, p: Params) -> DataFrame:
-    co = C.cohort(t.icustays, t.chartevents, t.patients, t.rrt, t.diagnoses_icd, anchor_item=p.anchor_item,
+    co = C.cohort(t.icustays, nan_to_null(t.chartevents), t.patients, t.rrt, t.diagnoses_icd, anchor_item=p.anchor_item,
                   excluded_codes=p.excluded_codes, min_age=p.min_age, min_stay_hours=p.min_stay_hours,
                   keep_flagged=p.keep_flagged, with_codes=False)
     return C.apply_inclusion(co)
@@ -66,18 +65,21 @@ def feature_events(t: Tables, p: Params) -> DataFrame:
     tiny and fixed, so it becomes an ``isin`` filter pushed to the scan plus a
     map lookup, not a join."""
     item_to_feature = {i: f for f, items in p.features.items() for i in items}
-    ev = t.chartevents.where(F.col("itemid").isin(list(item_to_feature)) & F.col("valuenum").isNotNull())
+    ev = nan_to_null(t.chartevents).where(F.col("itemid").isin(list(item_to_feature)) & F.col("valuenum").isNotNull())
     m = F.create_map(*[x for kv in item_to_feature.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     return ev.withColumn("feature", m[F.col("itemid")])
 
 
-def feature_table(cohort: DataFrame, t: Tables, p: Params) -> DataFrame:
-    """Wide table of every feature for every anchor, in one pass."""
+def feature_table(cohort: DataFrame, t: Tables, p: Params, staged: bool = False) -> DataFrame:
+    """Wide table of every feature for every anchor, in one pass. The
+    cohort is written first (unless it is ``staged``), not computed by each branch."""
     feats = list(p.features)
+    cohort = cohort if staged else _stage(cohort, p)
     long = A.asof_latest(cohort, feature_events(t, p), key=["subject_id"], anchor_id=ANCHOR_ID,
                          anchor_time="creatinine_time", event_time="storetime", value_col="valuenum",
                          item_col="itemid", tiebreak="event_id", lower_bound="intime", feature_col="feature",
-                         features=feats, how="left", bucket_us=p.bucket_us, hot_rows=p.hot_rows)
+                         features=feats, how="left", bucket_us=p.bucket_us, hot_rows=p.hot_rows,
+                         materialize=p.materialize)
     if p.as_coded:
         long = A.asof_as_coded(long.where(F.col("value").isNotNull()), "creatinine_time")
     return A.pivot_features(long, ANCHOR_ID, feats, require_any=True)
@@ -88,7 +90,7 @@ def merged_table(t: Tables, p: Params) -> DataFrame:
     anchors, helper columns dropped, singleton stays dropped, one row per
     (stay, anchor time)."""
     co = _stage(included_cohort(t, p), p)
-    wide = feature_table(co, t, p)
+    wide = feature_table(co, t, p, staged=True)
     static = C.attach_admission(co, t.admissions, t.patients, p.admission_match)
     static_keys = static.select(*ANCHOR_ID, "ethnicity", "diagnosis", "gender", F.lit(True).alias("_st"))
     if p.admission_match == "subject":
@@ -127,7 +129,8 @@ def _any_found(p: Params):
 def labelled_dataset(t: Tables, p: Params) -> DataFrame:
     """The final table: merged rows of night anchors with yesterday / day
     before values and the label; unlabelled rows dropped."""
-    return add_labels(merged_table(t, p), band=p.label_band, hours=p.hours, hot_rows=p.hot_rows)
+    return add_labels(merged_table(t, p), band=p.label_band, hours=p.hours, bucket_us=p.bucket_us,
+                      hot_rows=p.hot_rows, materialize=p.materialize)
 
 
 def clinical_params(spark, spec_path: str | None = None, **overrides) -> Params:

@@ -7,6 +7,7 @@ places.
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from stayframe.functions import time as TF
@@ -123,11 +124,16 @@ def s01_table_scan(spark, d):
 
 
 def s02_namespace(spark, d):
-    # a session namespace: register the tables under their names, then resolve by name
-    for name in ("orders", "customer"):
-        _t(spark, d, name).createOrReplaceTempView(name)
-    return spark.table("orders").join(spark.table("customer"), F.col("o_custkey") == F.col("c_custkey")) \
-        .select("o_orderkey", "c_name")
+    name, before = f"ns_{_tag(d)}", spark.catalog.currentDatabase()
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    for t in ("orders", "customer"):
+        spark.sql(f"CREATE OR REPLACE VIEW {name}.{t} AS SELECT * FROM parquet.`{d}/{t}.parquet`")
+    try:
+        IO.use_namespace(spark, name)
+        orders, customer = IO.read_table(spark, "orders"), IO.read_table(spark, "customer")
+    finally:
+        IO.use_namespace(spark, before)
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
 def s03_csv_scan(spark, d):
@@ -151,13 +157,7 @@ Nothing,events,value,,
 
 
 def s05_feature_spec(spark, d):
-    import csv
-    import io
-    rows = list(csv.DictReader(io.StringIO(SPEC_CSV_STANDIN)))
-    wide = spark.createDataFrame([(r["name"], r["item_id"] or None, r["item_id_2"] or None) for r in rows],
-                                 "name string, item_id string, item_id_2 string")
-    spec = (wide.unpivot(["name"], ["item_id", "item_id_2"], "slot", "item").where(F.col("item").isNotNull())
-            .select(F.lower("name").alias("feature"), "item"))
+    spec = IO.load_feature_spec(spark, csv_text=SPEC_CSV_STANDIN, item_type="string")
     tagged = A.tag_features(S.chartevents(spark, d), spec)
     return tagged.groupBy("feature", "itemid").agg(F.count(F.lit(1)).alias("n"), R6(F.sum("valuenum")).alias("total"))
 
@@ -215,6 +215,16 @@ def p08_apply_inclusion(spark, d):
     return inc.select("icustay_id", "creatinine_time", "creatinine", "anchor_event_id", R6(F.col("age")).alias("age"))
 
 
+def p08b_inclusion_counts(spark, d):
+    """The three counts that the inclusion filter reports."""
+    seen = tuple(Observation() for _ in range(3))
+    C.apply_inclusion(_cohort(spark, d, with_codes=False), observations=seen).write.format("noop").mode("overwrite").save()
+    counts = {}
+    for o in seen:
+        counts.update(o.get)
+    return spark.createDataFrame([(counts["initial"], counts["included"], counts["unique"])], "initial long, included long, n_unique long")
+
+
 def j01_interval_join(spark, d):
     return C.anchor_rows(_attrs(spark, d), S.chartevents(spark, d), anchor_item=S.ANCHOR_ITEM) \
         .select("icustay_id", "anchor_event_id", "creatinine", "creatinine_time")
@@ -420,6 +430,9 @@ SQL = {
     "p07_array_overlap": W(DIAG, DIAGSET) + "SELECT subject_id, has_excluded, codes FROM diagset",
     "p08_apply_inclusion": W(*BASE, INCLUDED) + """SELECT icustay_id, creatinine_time, creatinine, anchor_event_id,
         round(age, 6) AS age FROM included""",
+    "p08b_inclusion_counts": W(*BASE, INCLUDED) + """SELECT (SELECT count(*) FROM cohort) AS initial,
+        (SELECT count(*) FROM cohort WHERE inclusion_age = 1 AND inclusion_length_of_stay = 1 AND inclusion_rrt = 1
+         AND inclusion_diagnoses = 1) AS included, (SELECT count(*) FROM included) AS n_unique""",
     "j01_interval_join": W(*BASE) + "SELECT icustay_id, anchor_event_id, creatinine, creatinine_time FROM cohort",
     "j02_dimension_join": W(STAYS, PATIENTS) + "SELECT icustay_id, dob, gender FROM stays JOIN patients USING (subject_id)",
     "j03_left_flag_join": W(STAYS, RRT) + """SELECT s.icustay_id, r.icustay_id IS NOT NULL AS has_flag

@@ -1,14 +1,15 @@
 """Registered checks, part 3: feature vector, PCA, classifiers, tuning and
-comparison on lineitem (label = return flag A/N/R -> 0/1/2; features = the
-four numeric columns, standardised). The tables are synthetic, so these check
-shape and repeatability, not accuracy. The feature vector has an oracle; the
-fitted models have none (rows-only)."""
+comparison on lineitem (label = return flag A/N/R -> 0/1/2). The checks with an
+oracle are fitted where the label is a function of the features, so predictions
+and scores are known; the ``_noisy`` ones on the four numeric columns, which say
+little about it (rows only)."""
 
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from stayframe import presets as P
 from stayframe.operators import encode as EN
 from stayframe.operators import model as M
 from stayframe.operators import split as SP
@@ -19,18 +20,8 @@ NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
-_DATA_MEMO: dict = {}
-
-
 def _data(spark, d, nulls: bool = False):
-    """Model input (checkpointed); built once per session and input."""
-    key = (id(spark), d, nulls)
-    if key not in _DATA_MEMO:
-        _DATA_MEMO[key] = _data_build(spark, d, nulls)
-    return _DATA_MEMO[key]
-
-
-def _data_build(spark, d, nulls: bool = False):
+    """Model input, checkpointed: the fits below scan it several times."""
     li = IO.read_table(spark, "lineitem", d)
     label = (F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0))
     df = li.select(*KEY, *[F.col(c).alias(f"x_{c}") for c in NUM], label.alias("label"))
@@ -48,11 +39,36 @@ def _data_build(spark, d, nulls: bool = False):
     return df.checkpoint(), cols
 
 
-def _fit_predict(spark, d, est, nulls=False):
+EXACT = ["x_a", "x_n", "x_r", "x_tax"]
+
+
+def _exact(spark, d, nulls: bool = False):
+    """Model input whose label is a function of the features (one indicator per
+    return flag, plus a column that says nothing), so the right predictions and
+    scores are known. ``nulls`` empties one indicator in some rows; the others
+    still tell the class."""
+    li = IO.read_table(spark, "lineitem", d)
+    flag = F.col("l_returnflag")
+    a = F.when(flag == "A", 1.0).otherwise(0.0)
+    df = li.select(*KEY, (F.when(F.col("l_linenumber") != 2, a) if nulls else a).alias("x_a"), F.when(flag == "N", 1.0).otherwise(0.0).alias("x_n"),
+                   F.when(flag == "R", 1.0).otherwise(0.0).alias("x_r"), F.col("l_tax").alias("x_tax"),
+                   F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0).alias("label"))
+    df = SP.kfold(SP.stratified_split(df, "label", KEY, seed=44), "label", KEY, seed=44, k=3)
+    ensure_checkpoint_dir(spark)
+    return (df if nulls else EN.assemble(df, EXACT)).checkpoint()
+
+
+def _noisy_predictions(spark, d, est, nulls=False):
+    """Fitted on a label that the features tell little about: rows only."""
     df, _ = _data(spark, d, nulls)
     model = est.fit(df.where(F.col("split") == "hyperopt"))
-    pred = model.transform(df.where(F.col("split") == "compare"))
-    return pred.select("l_orderkey", "l_linenumber", "label", "prediction")
+    return model.transform(df.where(F.col("split") == "compare")).select("l_orderkey", "l_linenumber", "label", "prediction")
+
+
+def _exact_predictions(spark, d, est, nulls=False):
+    """Fitted on the training part, predicted for all rows."""
+    df = _exact(spark, d, nulls)
+    return est.fit(df.where(F.col("split") == "hyperopt")).transform(df).select("l_orderkey", "l_linenumber", "label", "prediction")
 
 
 def e09_assemble(spark, d):
@@ -62,74 +78,53 @@ def e09_assemble(spark, d):
 
 
 def e10_pca(spark, d):
-    df, cols = _data(spark, d)
-    return EN.pca_table(df, cols).withColumn("explained_variance", F.round("explained_variance", 6))
-
-
-def m01_linear_svm_ovr(spark, d):
-    return _fit_predict(spark, d, M.linear_svm(1e-4, max_iter=20))
-
-
-def m02_logreg_l2_ovr(spark, d):
-    return _fit_predict(spark, d, M.logreg(1e-4, 0.0, max_iter=50))
-
-
-def m03_logreg_elasticnet_ovr(spark, d):
-    return _fit_predict(spark, d, M.logreg(1e-4, 0.15, max_iter=50))
-
-
-def m04_boosted_trees(spark, d):
-    return _fit_predict(spark, d, M.boosted_trees(0.1, 3, 1, max_iter=10))
-
-
-def m05_perceptron_1hl(spark, d):
-    return _fit_predict(spark, d, M.perceptron(len(NUM), [10], max_iter=50))
-
-
-def m06_perceptron_2hl(spark, d):
-    return _fit_predict(spark, d, M.perceptron(len(NUM), [32, 16], max_iter=50, balanced=True))
-
-
-def m07_boosted_with_missing(spark, d):
-    cols = [f"x_{c}" for c in NUM]
-    return _fit_predict(spark, d, M.WithMissing(cols, M.boosted_trees(0.1, 3, 1, max_iter=10).est), nulls=True)
-
-
-def m08_adaboost_forest(spark, d):
-    return _fit_predict(spark, d, M.AdaBoostForest(rounds=3, rate=0.5, trees=10, depth=4))
+    """Two standardised columns: the explained variances are (1 +- |r|) / 2."""
+    df = EN.standardize(IO.read_table(spark, "lineitem", d).select("l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
+    return EN.pca_table(df, ["l_quantity", "l_extendedprice"]).select("component", F.round("explained_variance", 6).alias("explained_variance"))
+
+
+#: Model checks: name -> (estimator of the feature columns, whether NULLs are kept).
+ESTIMATORS = {
+    "m01_linear_svm_ovr": (lambda cols: M.linear_svm(1e-4, max_iter=20), False),
+    "m02_logreg_l2_ovr": (lambda cols: M.logreg(1e-4, 0.0, max_iter=50), False),
+    "m03_logreg_elasticnet_ovr": (lambda cols: M.logreg(1e-4, 0.15, max_iter=50), False),
+    "m04_boosted_trees": (lambda cols: M.boosted_trees(0.1, 3, 1), False),
+    "m05_perceptron_1hl": (lambda cols: M.perceptron(len(cols), [10], max_iter=50), False),
+    "m06_perceptron_2hl": (lambda cols: M.perceptron(len(cols), [32, 16], max_iter=50, balanced=True), False),
+    "m07_boosted_with_missing": (lambda cols: M.WithMissing(cols, M.boosted_trees(0.1, 3, 1).est), True),
+    "m08_adaboost_forest": (lambda cols: M.AdaBoostForest(rounds=P.ADABOOST_ROUNDS, rate=0.5, trees=10, depth=5), False),
+    "m09_random_forest": (lambda cols: M.random_forest(20, 5), False),
+    "m10_predict": (lambda cols: M.logreg(1e-4, max_iter=50), False),
+}
 
 
-def m09_random_forest(spark, d):
-    return _fit_predict(spark, d, M.random_forest(20, 5))
+def _exact_check(make, nulls):
+    return lambda spark, d: _exact_predictions(spark, d, make(EXACT), nulls)
 
 
-def m10_predict(spark, d):
-    df, _ = _data(spark, d)
-    model = M.logreg(1e-4, max_iter=50).fit(df.where(F.col("split") == "hyperopt"))
-    return model.transform(df).select("l_orderkey", "l_linenumber", "split", "label", "prediction")
+def _noisy_check(make, nulls):
+    return lambda spark, d: _noisy_predictions(spark, d, make([f"x_{c}" for c in NUM]), nulls)
 
 
-def _small_registry():
-    return {"logreg": M.Spec(lambda reg=1e-4: M.logreg(reg, max_iter=30), {"reg": [1e-4, 0.1]}),
-            "linear_SVM": M.Spec(lambda reg=1e-4: M.linear_svm(reg, max_iter=20), {"reg": [1e-4]})}
+MODELS = {name: _exact_check(make, nulls) for name, (make, nulls) in ESTIMATORS.items()}
+NOISY = {f"{name}_noisy": _noisy_check(make, nulls) for name, (make, nulls) in ESTIMATORS.items()}
 
 
-_SEARCH_MEMO: dict = {}
+def _searched():
+    """The study's logistic grid, whole; g05 lists the points of all models."""
+    return {k: v for k, v in M.default_registry(len(NUM)).items() if k == "logreg"}
 
 
 def _search(spark, d):
-    """Grid search shared by g01-g04 and o04 (memoised per session and input)."""
-    key = (id(spark), d)
-    if key not in _SEARCH_MEMO:
-        _SEARCH_MEMO[key] = _search_run(spark, d)
-    return _SEARCH_MEMO[key]
+    """The grid search of g01-g04 and o04, on the input whose scores are known."""
+    return _searched_on(_exact(spark, d))
 
 
-def _search_run(spark, d):
-    df, _ = _data(spark, d)
+def _searched_on(df):
+    spark = df.sparkSession
     hyper = df.where(F.col("split") == "hyperopt")
     best, tables = {}, []
-    for name, spec in _small_registry().items():
+    for name, spec in _searched().items():
         b, table = M.grid_search(spec, hyper, "fold", "accuracy")
         best[name] = b
         tables.append(M.grid_table(spark, name, table))
@@ -148,19 +143,23 @@ def g02_grid_table(spark, d):
     return _search(spark, d)[2]
 
 
+def g02b_grid_table_noisy(spark, d):
+    return _searched_on(_data(spark, d)[0])[2]
+
+
 def o04_best_of_grid(spark, d):
     return M.best_of_grid(_search(spark, d)[2])
 
 
 def g03_compare_table(spark, d):
     df, best, _ = _search(spark, d)
-    return M.compare_table(spark, _small_registry(), best, df.where(F.col("split") == "hyperopt"),
+    return M.compare_table(spark, _searched(), best, df.where(F.col("split") == "hyperopt"),
                            df.where(F.col("split") == "compare"))
 
 
 def g04_generalisation_table(spark, d):
     df, best, _ = _search(spark, d)
-    reg = _small_registry()
+    reg = _searched()
     comp = M.compare_table(spark, reg, best, df.where(F.col("split") == "hyperopt"), df.where(F.col("split") == "compare"))
     test = M.compare_table(spark, reg, best, df.where(F.col("split").isin("hyperopt", "compare")),
                            df.where(F.col("split") == "test"))
@@ -169,14 +168,45 @@ def g04_generalisation_table(spark, d):
 
 def g05_registry(spark, d):
     df, _ = _data(spark, d)
-    reg = M.default_registry(len(NUM), quick=True)
-    return M.compare_table(spark, reg, {}, df.where(F.col("split") == "hyperopt"), df.where(F.col("split") == "compare"))
+    return M.search_plan(M.default_registry(len(NUM)), df.where(F.col("split") == "hyperopt")).drop("params")
 
 
 QUERIES = {k: v for k, v in dict(globals()).items()
-           if callable(v) and k[:1] in "emgo" and k[1:3].isdigit() and "_" in k}
+           if callable(v) and k[:1] in "emgo" and k[1:3].isdigit() and "_" in k} | MODELS | NOISY
+
+def _grid_sql(name, *sizes, unsupported="false"):
+    """(model, point, supported) of a grid with these numbers of values."""
+    n = 1
+    for k in sizes:
+        n *= k
+    return f"SELECT '{name}' AS model, CAST(point AS INTEGER) AS point, NOT ({unsupported}) AS supported FROM range({n}) AS r(point)"
+
+
+_PREDICTED = """SELECT l_orderkey, l_linenumber, label, label AS prediction FROM (SELECT *, CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS DOUBLE) AS label
+        FROM lineitem)"""
+_REGS = [repr([("reg", v)]).replace("'", "''") for v in P.LOGREG_ALPHAS]
+_GRID = " UNION ALL ".join(f"SELECT 'logreg' AS model, '{r}' AS params, 1.0::DOUBLE AS mean, 0.0::DOUBLE AS std" for r in _REGS)
+_FIRST = min(range(len(_REGS)), key=lambda i: _REGS[i])   # equal means: the first of the sorted texts
 
 SQL = {
+    **dict.fromkeys(MODELS, _PREDICTED),
+    # every point of the grid scores 1 on every fold; the first one is the best
+    "g01_grid_search": f"SELECT 'logreg' AS model, '{_REGS[0]}' AS params FROM (SELECT count(*) FROM lineitem)",
+    "g02_grid_table": _GRID,
+    "o04_best_of_grid": f"SELECT * FROM ({_GRID}) WHERE params = '{_REGS[_FIRST]}'",
+    "g03_compare_table": """SELECT 'logreg' AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS sensitivity_increase, 1.0::DOUBLE AS specificity_decrease
+        FROM (SELECT count(*) FROM lineitem)""",
+    "g04_generalisation_table": """SELECT 'logreg' AS model, """ + ", ".join(
+        f"{v}::DOUBLE AS {p}_{m}" for p, v in (("compare", 1.0), ("test", 1.0), ("delta", 0.0)) for m in M.METRICS) + " FROM (SELECT count(*) FROM lineitem)",
+    "g05_registry": "WITH g AS (" + " UNION ALL ".join([
+        _grid_sql("linear_SVM", 11), _grid_sql("logreg", 11), _grid_sql("logreg_elasticnet", 7, 4),
+        _grid_sql("boosted_trees", 7, 5, 4, unsupported="point // 20 = 6 OR point % 4 < 2"),
+        _grid_sql("perceptron_1hl", 4), _grid_sql("perceptron_2hl", 3, 3), _grid_sql("adaboost_forest", 2)]) + """),
+        r AS (SELECT unnest(range(0, CAST(round(0.8 * n) AS BIGINT))) AS k FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag)),
+        f AS (SELECT CAST(k % 3 AS INTEGER) AS fold, count(*) AS n_test FROM r GROUP BY 1)
+        SELECT model, point, supported, fold, CAST((SELECT sum(n_test) FROM f) AS BIGINT) - n_test AS n_train, n_test FROM g, f""",
+    "e10_pca": """SELECT CAST(c AS INTEGER) AS component, round((1 + CASE c WHEN 1 THEN 1 ELSE -1 END * abs(r)) / 2, 6) AS explained_variance
+        FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), range(1, 3) AS t(c)""",
     "e09_assemble": """WITH s AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_extendedprice) AS m2,
         stddev_pop(l_extendedprice) AS s2, avg(l_discount) AS m3, stddev_pop(l_discount) AS s3, avg(l_tax) AS m4,
         stddev_pop(l_tax) AS s4 FROM lineitem)

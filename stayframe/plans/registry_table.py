@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stayframe.functions import recode as RC
 from stayframe.operators import clean as CL
+from stayframe.operators.cohort import codes_text
 from stayframe.operators import encode as EN
 from stayframe.operators import metrics as K
 from stayframe.operators import profile as PR
@@ -122,8 +123,7 @@ def p22_column_subset(spark, d):
 
 
 def p23_size_report(spark, d):
-    li = _t(spark, d, "lineitem")
-    return li.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(li.columns)).alias("n_cols"))
+    return CL.size_report(_t(spark, d, "lineitem"))
 
 
 def a05_value_counts(spark, d):
@@ -182,7 +182,7 @@ def a15_profile(spark, d):
 
 def o01_sort_inside_array(spark, d):
     li = _t(spark, d, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ", ").alias("flags"))
+    return li.groupBy("l_orderkey").agg(codes_text(F.collect_set("l_returnflag")).alias("flags"))
 
 
 def o02_order_by_frequency(spark, d):
@@ -411,7 +411,7 @@ SQL = {
     "p21_type_cast": "SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS cust, CAST(CAST(o_orderdate AS VARCHAR) AS TIMESTAMP) AS order_ts FROM orders",
     "p21b_nan_to_null": f"SELECT {LI_KEY_SQL}, CASE WHEN l_tax = 0 THEN NULL ELSE l_tax END AS x FROM lineitem",
     "p22_column_subset": "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem",
-    "p23_size_report": "SELECT count(*) AS n_rows, 11 AS n_cols FROM lineitem",
+    "p23_size_report": """SELECT count(*) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE SELECT * FROM lineitem)) AS n_cols FROM lineitem""",
     "a05_value_counts": "SELECT p_type, count(*) AS count FROM part WHERE p_type IS NOT NULL GROUP BY p_type",
     "a05b_value_counts_with_null": f"WITH {LI_NULLS} SELECT qty, count(*) AS count FROM li GROUP BY qty",
     "a06_class_proportions": """SELECT l_returnflag, count(*) AS count,

@@ -42,25 +42,31 @@ def recode_categories(df: DataFrame, ethnicity_map: dict = P.ETHNICITY_GROUPS, n
     return out
 
 
-def prepare_dense(df: DataFrame, max_missing: float = P.MAX_MISSING, fit_on_split: bool = False) -> DataFrame:
-    """Dense path: ids dropped, sparse columns dropped, rows with any NULL
-    dropped, categories recoded and dummy-encoded, open-range outliers
+def prepare_dense(df: DataFrame, max_missing: float = P.MAX_MISSING, fit_on_split: bool = False,
+                  seed: int = P.SEED_SPLIT) -> DataFrame:
+    """Dense path: ids dropped, sparse columns dropped, rows with any NULL or
+    NaN dropped, categories recoded and dummy-encoded, open-range outliers
     dropped, numerics standardised one by one and delays with one shared
-    scaler (fitted on all rows, as in the study)."""
-    df = drop_ids(add_row_key(df))
+    scaler: fitted on all rows, as in the study, or (``fit_on_split``, Q12) on
+    the training part of the split, whose column ``split`` is then added."""
+    df = drop_ids(add_row_key(CL.nan_to_null(df)))
     df, _ = CL.drop_sparse_columns(df, max_missing)
     df = CL.drop_null_rows(df)
     df = recode_categories(df)
     df = EN.dummies(df, [c for c in P.DUMMY_COLUMNS if c in df.columns])
     df = CL.range_filter(df, P.FEATURE_RANGES)
-    df = EN.standardize(df, [c for c in P.NUMERIC_SCALED if c in df.columns])
-    return EN.standardize_shared(df, [c for c in df.columns if "_delay" in c])
+    fit = None
+    if fit_on_split:
+        df = SP.stratified_split(df, "label", [ROW_KEY], seed=seed)
+        fit = df.where(F.col("split") == "hyperopt")
+    df = EN.standardize(df, [c for c in P.NUMERIC_SCALED if c in df.columns], fit)
+    return EN.standardize_shared(df, [c for c in df.columns if "_delay" in c], fit)
 
 
 def prepare_with_nulls(df: DataFrame) -> DataFrame:
     """Null-kept path: empty columns dropped, NULL diagnosis as text ``nan``
     (then OTHER), null-tolerant outlier filter, null-aware scaling."""
-    df = drop_ids(add_row_key(df))
+    df = drop_ids(add_row_key(CL.nan_to_null(df)))
     df, _ = CL.drop_empty_columns(df)
     df = recode_categories(df, nan_text=True)
     df = EN.dummies(df, [c for c in P.DUMMY_COLUMNS if c in df.columns])
@@ -73,7 +79,8 @@ def model_input(df: DataFrame, seed: int = P.SEED_SPLIT, folds: int = 3, with_nu
     """Split (80/10/10 stratified), fold column, ``features`` vector and a
     double ``label``; the null-kept path leaves assembling to ``WithMissing``."""
     df = df.withColumn("label", F.col("label").cast("double"))
-    df = SP.stratified_split(df, "label", [ROW_KEY], seed=seed)
+    if "split" not in df.columns:
+        df = SP.stratified_split(df, "label", [ROW_KEY], seed=seed)
     df = SP.kfold(df, "label", [ROW_KEY], seed=seed, k=folds)
     feats = [c for c in df.columns if c not in (ROW_KEY, "label", "split", "fold")]
     if not with_nulls:

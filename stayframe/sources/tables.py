@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Broadcast only below this many rows (a checked bound, see checked_broadcast).
-BROADCAST_MAX_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, name: str, base: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -17,6 +15,11 @@ def read_table(spark: SparkSession, name: str, base: str | None = None, fmt: str
     return spark.read.format(fmt).load(f"{base.rstrip('/')}/{name}.{fmt}")
 
 
+def use_namespace(spark: SparkSession, name: str) -> None:
+    """Unqualified table names resolve in this catalog namespace from now on."""
+    spark.catalog.setCurrentDatabase(name)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, num_partitions: int = 64,
               properties: dict | None = None) -> DataFrame:
@@ -64,14 +67,11 @@ SPEC_SCHEMA = ("name string, `table` string, variable string, item_id long, item
                "item_id_3 long, item_id_4 long, item_id_5 long, item_id_6 long")
 
 
-def spec_items(spec: DataFrame, max_rows: int = 100_000) -> dict[str, list]:
-    """The long spec as {feature: [items]} (a short metadata table; refused
-    beyond ``max_rows``)."""
-    rows = spec.select("feature", "item").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("feature spec too large to use as a constant")
+def spec_items(spec: DataFrame) -> dict[str, list]:
+    """The long spec as {feature: [items]}: one column set per feature follows
+    from it, so it is metadata and held by the driver."""
     out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.feature, r.item)):
+    for r in sorted(spec.select("feature", "item").collect(), key=lambda r: (r.feature, r.item)):
         out.setdefault(r.feature, []).append(r.item)
     return out
 
@@ -103,19 +103,6 @@ def load_feature_spec(spark: SparkSession, path: str | None = None, csv_text: st
             .select(F.lower("name").alias("feature"), "table", "variable", F.col("item").cast(item_type).alias("item")))
 
 
-def spec_from_rows(spark: SparkSession, mapping: dict[str, list], item_type: str = "string") -> DataFrame:
-    """A spec given inline: {feature: [item, ...]} -> (feature, item)."""
-    rows = [(f, i) for f, items in mapping.items() for i in items]
-    return spark.createDataFrame(rows, f"feature string, item {item_type}")
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise return it as is
-    so that Spark plans a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def fixed_size_sample(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
     """A repeatable sample of exactly ``min(n, count)`` rows: the ``n`` rows
     with the smallest md5(key|seed).

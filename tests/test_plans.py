@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-FAST = [k for k in sorted(E.queries()) if k[0] not in "mg" and k not in ("e09_assemble", "e10_pca", "o04_best_of_grid")]
+FAST = [k for k in sorted(E.queries()) if k[0] not in "mg" and k not in ("e09_assemble", "e10_pca", "o04_best_of_grid", "pipeline") and k[:2] != "op"]
 
 
 def _plan(df):
@@ -34,9 +34,44 @@ def test_inclusion_filter_below_interval_join(spark):
     assert plan.index(">= 192.0)", join_at) > join_at
 
 
-def test_asof_scans_feature_events_once(spark):
-    """The as-of pass is checkpointed right after its one window; the
-    remaining plan reads the checkpoint, not the events."""
-    from stayframe.plans import registry_cohort as R
-    plan = _plan(R.j08_asof_latest_prior(spark, SF))
-    assert "event_type IN (click,view)" not in plan
+def _passes(monkeypatch, run):
+    """Plans of the frames that the as-of step writes, before they are written."""
+    from stayframe.operators import asof as A
+    plans, write = [], A._materialize
+
+    def record(df):
+        plans.append(_plan(df))
+        return write(df)
+
+    monkeypatch.setattr(A, "_materialize", record)
+    run()
+    return plans
+
+
+def _events(spark):
+    return spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id AS subject_id", "event_id", "event_type", "ts", "value")
+
+
+@pytest.mark.parametrize("hot_rows", [2_000_000, 20])
+def test_asof_scans_and_shuffles_feature_events_once(spark, monkeypatch, hot_rows):
+    from stayframe.operators import asof as A
+    ev = _events(spark)
+    anchors = spark.range(50).selectExpr("id AS subject_id", "id AS aid", "timestamp_ntz'2024-02-01 00:00:00' AS at")
+
+    def run():
+        A.asof_latest(anchors, ev.where("event_type IN ('click', 'view')"), key=["subject_id"], anchor_id=["aid"], anchor_time="at",
+                      event_time="ts", value_col="value", item_col="event_type", tiebreak="event_id", hot_rows=hot_rows)
+
+    counted, passed = _passes(monkeypatch, run)
+    # the pre-pass shuffles partial counts only
+    assert counted.count("FileScan") == 1 and "partial_count" in counted and counted.count("Exchange hashpartitioning") == 1
+    # the pass itself: one scan of the events, one shuffle of events and anchors together
+    assert passed.count("FileScan") == 1 and passed.count("Exchange") - passed.count("BroadcastExchange") == 1
+    assert "SortMergeJoin" not in passed
+
+
+def test_day_offsets_join_few_times(spark):
+    from stayframe.operators import label as L
+    df = _events(spark).selectExpr("subject_id", "ts", "value", "event_id")
+    plan = _plan(L.day_offsets(df, "subject_id", "ts", "value", ["event_id"]))
+    assert plan.count("Window") <= 4 and plan.count("FileScan") <= 1

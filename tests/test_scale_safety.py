@@ -86,9 +86,8 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch):
     vals_b = [rnd.gauss(0, 1e6) for _ in range(1000)] + [42.0] * 600     # a hot value, even n
     rows = [(i, vals_a[i] if i < len(vals_a) else None, vals_b[i]) for i in range(len(vals_b))]
     df = spark.createDataFrame(rows, "id long, a double, b double")
-    for bins, cap in ((1024, 50_000), (4, 10)):
+    for bins in (1024, 4):
         monkeypatch.setattr(PR, "QUANTILE_BINS", bins)
-        monkeypatch.setattr(PR, "QUANTILE_COLLECT_MAX", cap)
         for q in (0.5, 0.1, 0.9):
             got = PR.exact_quantiles(df, ["a", "b"], q)
             assert abs(got["a"] - float(np.quantile(vals_a, q))) < 1e-9
