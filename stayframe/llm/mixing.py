@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._stage import staged
 from ._text import mix64
 
-BLOCK_WORDS, SLOTS_A_SHARD, GROUP_ROWS, MAX_SOURCES = 128, 4096, 10_000, 1_000_000
+BLOCK_WORDS, SLOTS_A_SHARD, SLOTS_A_TASK, GROUP_ROWS, MAX_SOURCES = 128, 4096, 250_000, 10_000, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -155,7 +155,8 @@ def _slots(spark: SparkSession, sources: list[Source], seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["shard"])), pa.array(j), pa.array(number), pa.array(epoch), pa.array(block)],
                                                  names=["shard", "slot", "number", "epoch", "block"])
 
-    return counts.select("shard", "number", "n", "base").mapInArrow(fill, "shard bigint, slot bigint, number bigint, epoch bigint, block bigint")
+    dealt = counts.select("shard", "number", "n", "base").repartition(max(1, -(-total // SLOTS_A_TASK)), "shard", "number")
+    return dealt.mapInArrow(fill, "shard bigint, slot bigint, number bigint, epoch bigint, block bigint")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 1,
@@ -179,7 +180,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     pieces = placed.select("number", "_mix_row", "size", "at", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))).alias("block")) \
         .select("number", "block", "_mix_row", F.greatest(F.lit(0), F.col("block") * b - F.col("at")).alias("first_word"),
                 (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("at"), F.col("block") * b)).alias("n_words"))
-    taken = _slots(spark, sources, seed).join(pieces, ["number", "block"])
+    # both sides grow with the input (a plan sees only the small table that the slots come from): no broadcast
+    taken = _slots(spark, sources, seed).hint("merge").join(pieces, ["number", "block"])
     words = taken.groupBy(F.col("_mix_row").alias("_r")).agg(F.sum("n_words").alias("_t"))
     documents = sized.join(words, F.col("_mix_row") == F.col("_r"), "left").select(
         "_mix_row", F.col("_mix_id").alias(id_col), "size", "source_size", "target", F.coalesce("_t", F.lit(0)).alias("taken"))
