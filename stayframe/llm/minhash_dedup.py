@@ -10,11 +10,10 @@ links are verified by the exact weighted Jaccard similarity of the texts.
 
 Texts with the same words are one class before anything else. In a bucket of texts that share
 a key, all are compared to its center, the text with the largest buckets. Where texts of a bucket then
-stand in different groups, those of a large bucket are compared, round by round, to their neighbours in
-order of the similarity to the center, and what then is still apart in full, but for pairs that cannot
-be similar: one minus the weighted Jaccard similarity is a metric, so two texts whose distances to the
-center differ by more than the limit are farther apart than it. So a bucket of thousands of copies costs
-comparisons in proportion to its size, and no candidate pair that could join two groups is left out. Groups are the connected
+stand in different groups, all pairs of different groups are compared: one by one where the bucket has at
+most ``SMALL`` texts, else in blocks, the texts outside the largest group with each other and with that group.
+No rows of pairs are made of a large bucket, no task holds more than two blocks, and no candidate pair that
+could join two groups is left out. Groups are the connected
 components of the links.
 
 Texts without words (null, empty, only punctuation) are groups of their own. Rows of the same id are
@@ -27,15 +26,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import staged
 from ._text import Rolling, byte_words, mix64, slices, utf8
 from .components import components
 
-BANDS, ROWS, DF_BUCKETS, RARE, LEAST_IDF, ROUNDS, SMALL = 6, 2, 1 << 16, 0.05, 0.05, 2, 16
+BANDS, ROWS, DF_BUCKETS, RARE, LEAST_IDF, SMALL, BLOCK, COLUMNS = 6, 2, 1 << 16, 0.05, 0.05, 16, 256, 8192
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,6 +173,82 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int) ->
     return staged(both.mapInArrow(run, "a bigint, b bigint, sim double"), "minhash-tested")
 
 
+def _linked_in(row: np.ndarray, h: np.ndarray, w: np.ndarray, apart: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) of texts with ``apart[u, v]`` whose weighted Jaccard similarity is at least ``least``, from their
+    (row, shingle, weight). The sum of products of square roots bounds what two texts have in common from
+    above; pairs that pass it are computed exactly. Shingles are taken in groups of bounded size."""
+    n = len(apart)
+    total = np.bincount(row, w, n)
+    name, column, count = np.unique(h, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)  # no other text has the rest
+    place = np.full(len(name), -1)
+    place[common] = np.arange(len(common))
+    held = place[column] >= 0
+    row, column, w = row[held], place[column[held]], w[held]
+    order = np.argsort(column, kind="stable")
+    row, column, w = row[order], column[order], w[order]
+    edges = np.searchsorted(column, np.arange(0, len(common) + COLUMNS, COLUMNS))
+
+    def parts(values: np.ndarray) -> Iterator[np.ndarray]:
+        for k, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
+            dense = np.zeros((n, COLUMNS), np.float32)
+            dense[row[a:z], column[a:z] - k * COLUMNS] = values[a:z]
+            yield dense
+
+    bound = np.zeros((n, n), np.float32)
+    for dense in parts(np.sqrt(w)):
+        bound += dense @ dense.T
+    u, v = np.nonzero(apart & (bound * (1 + least) >= least * (total[:, None] + total[None]) * (1 - 1e-4)))
+    same = np.zeros(len(u))
+    for dense in parts(w):
+        for c in range(0, len(u), 512):
+            same[c:c + 512] += np.minimum(dense[u[c:c + 512]], dense[v[c:c + 512]]).sum(1, dtype=np.float64)
+    fits = same * (1 + least) >= least * (total[u] + total[v]) * (1 - 1e-6)
+    return u[fits], v[fits]
+
+
+def _compared(open_: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, least: float) -> DataFrame:
+    """(a, b): links that unite the texts of large keys. ``open_``: key, rep, grp. The texts outside a key's largest
+    group are compared to each other and to the largest group, block by block, each pair of blocks by a task."""
+    spark = open_.sparkSession
+    shared = spark.sparkContext.broadcast(idf)
+    sizes = open_.groupBy("key", "grp").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "grp")).alias("m"), F.sum("c").alias("all")).select(
+        "key", F.col("m.grp").alias("main"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("others"))
+    placed = open_.join(most, "key").withColumn("in_main", F.col("grp") == F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    task = lambda i, main, j, side: F.struct(i.alias("i"), F.lit(main).alias("main"), j.alias("j"), side.cast("int").alias("side"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    of_main = F.transform(every("others"), lambda x: task(x, True, F.col("block"), F.lit(1)))
+    of_other = F.concat(F.transform(every("others"), lambda x: task(F.least(x, F.col("block")), False, F.greatest(x, F.col("block")), x < F.col("block"))),
+                        F.transform(every("mains"), lambda x: task(F.col("block"), True, x, F.lit(0))))
+    tasks = placed.select("key", "rep", "grp", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_other)).alias("t"))
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        data, offsets = utf8(pa.array(df["_text"].tolist(), pa.string()))
+        found = [(i, shingles(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], size)) for i, j in slices(offsets)]
+        row, h, tf = (np.concatenate([x[k] + i if k == 0 else x[k] for i, x in found]) for k in range(3))
+        side, grp, reps = df["side"].to_numpy(), df["grp"].to_numpy(), df["rep"].to_numpy()
+        apart = grp[:, None] != grp[None]
+        if (side == 1).any():
+            apart &= (side[:, None] == 0) & (side[None] == 1)
+        else:
+            apart &= np.triu(np.ones_like(apart), 1)
+        u, v = _linked_in(row, h, weights(h, tf, shared.value), apart, least)
+        root = reps.copy()
+        while len(u):  # the smallest text linked with each here
+            low = np.minimum(root[u], root[v])
+            if (low == root[u]).all() and (low == root[v]).all():
+                break
+            np.minimum.at(root, u, low)
+            np.minimum.at(root, v, low)
+        tied = root != reps
+        return pd.DataFrame({"a": root[tied], "b": reps[tied]})
+
+    return tasks.select("key", "t.i", "t.main", "t.j", "t.side", "rep", "grp").join(texts.select(F.col("id").alias("rep"), "_text"), "rep") \
+        .groupBy("key", "i", "main", "j").applyInPandas(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (smallest id of its group), kept (whether that is its own)."""
     idf = document_frequencies(docs, size, text_col)
@@ -187,36 +263,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col:
     members = staged(members.join(best, "key").select("key", "rep", "center"), "minhash-members")
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text")) \
-        .join(members.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
+        .join(members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id").dropDuplicates(["id"])  # dealt by id at every size
     texts = staged(texts, "minhash-texts")
     ordered = lambda df, a, b: df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     tested = _verified(ordered(members, "rep", "center"), texts, idf, size)
     linked = F.col("sim") >= least - 1e-12
     groups = components(tested.filter(linked), "a", "b")
-    members = staged(members.withColumn("a", F.least("rep", "center")).withColumn("b", F.greatest("rep", "center")).join(tested, ["a", "b"], "left")
-                     .select("key", "rep", F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("far")), "minhash-members")
-    for k in range(ROUNDS + 1):
-        # keys whose texts stand in different groups; groups may still meet there
-        placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "far", F.coalesce("component", "rep").alias("grp"))
-        apart = placed.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("n")).filter("x <> y").select("key", "n")
-        open_ = staged(placed.join(apart, "key"), "minhash-open")
-        if open_.isEmpty():
-            break
-        in_full = F.lit(True) if k == ROUNDS else F.col("n") <= SMALL
-        few = open_.filter(in_full)
-        other = few.select("key", F.col("rep").alias("b"), F.col("grp").alias("grp_b"), F.col("far").alias("far_b"))
-        pairs = ordered(few.join(other, "key").filter((F.col("grp") < F.col("grp_b")) & (F.abs(F.col("far") - F.col("far_b")) <= 1 - least + 1e-9)), "rep", "b")
-        members = open_.filter(~in_full).select("key", "rep", "far")  # the others are done with
-        # the order of a large key is cut into runs, so its texts are no single task's window
-        run = Window.partitionBy("key", "slot").orderBy("far", "rep")
-        near = open_.filter(~in_full).withColumn("slot", F.pmod(F.xxhash64(F.lit(k), "rep"), F.ceil(F.col("n") / 1000))) \
-            .withColumn("b", F.lead("rep", k + 1).over(run)).withColumn("grp_b", F.lead("grp", k + 1).over(run))
-        pairs = pairs.unionByName(ordered(near.filter("b IS NOT NULL AND grp <> grp_b"), "rep", "b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(_verified(pairs, texts, idf, size))
-        groups = components(tested.filter(linked), "a", "b")
+    # keys whose texts stand in different groups; groups may still meet there
+    placed = members.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("grp"))
+    apart = placed.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("n")).filter("x <> y").select("key", "n")
+    open_ = staged(placed.join(apart, "key"), "minhash-open")
+    few = open_.filter(F.col("n") <= SMALL)
+    other = few.select("key", F.col("rep").alias("b"), F.col("grp").alias("grp_b"))
+    pairs = ordered(few.join(other, "key").filter("grp < grp_b"), "rep", "b").join(tested, ["a", "b"], "left_anti")
+    in_pairs = _verified(staged(pairs, "minhash-pairs"), texts, idf, size).filter(linked).select("a", "b")
+    in_blocks = staged(_compared(open_.filter(F.col("n") > SMALL).drop("n"), texts, idf, size, least), "minhash-tested")
+    groups = components(tested.filter(linked).select("a", "b").unionByName(in_pairs).unionByName(in_blocks), "a", "b")
     classes = exact.select("k1", "k2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("id", F.when(F.col("n_words") > 0, F.col("k1")).alias("k1"), "k2").join(classes, ["k1", "k2"], "left")
