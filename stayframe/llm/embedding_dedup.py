@@ -6,7 +6,7 @@ their projections, fitted on a bounded sample of at most ``SAMPLE`` vectors, spl
 again and again until a leaf holds about ``LEAF`` of them; a vector within ``SPILL`` (a share of
 the node) of a split goes to both sides. Every class is put in its leaves of all ``TREES`` trees
 and compared exactly, in double precision, with all others of each leaf. A pair is counted in
-the first tree that has it in one leaf, so counts are exact without a table of pairs. What
+the first tree, and there in the first leaf, that has both (a split's overlap puts both in several), so counts are exact without a table of pairs. What
 leaves a leaf is one row per vector: its number of links, and the smallest vector of its linked
 group there, whose links are then united over all leaves.
 
@@ -100,7 +100,8 @@ def _forest(classes: DataFrame, trees: int, seed: int) -> dict:
 
 
 def _routed(classes: DataFrame, forest: dict, trees: int) -> DataFrame:
-    """One row per class, tree and leaf; ``seen`` holds its leaves in the trees before, as tree << 32 | leaf."""
+    """One row per class, tree and leaf; ``seen`` holds its leaves in the trees before
+    and its smaller-numbered leaves in this one, as tree << 32 | leaf."""
     shared = classes.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
@@ -112,13 +113,15 @@ def _routed(classes: DataFrame, forest: dict, trees: int) -> DataFrame:
                 x = _unit(own["vector"]) if known else None
                 for t in range(trees if known else 1):  # a small label is one leaf
                     row, leaf = known[t].leaves(x) if known else (np.arange(len(own)), np.zeros(len(own), np.int64))
+                    order = np.lexsort((leaf, row))
+                    row, leaf = row[order], leaf[order]
+                    edge = np.searchsorted(row, np.arange(len(own) + 1))
+                    before = [len(s) for s in seen]
+                    seen = [np.concatenate([s, t << 32 | leaf[a:z]]) for s, a, z in zip(seen, edge[:-1], edge[1:])]
                     out = own.iloc[row].copy()
                     out["tree"], out["leaf"] = t, leaf
-                    out["seen"] = [seen[r] for r in row]
+                    out["seen"] = [seen[r][:before[r] + k - edge[r]] for k, r in enumerate(row)]
                     yield out[["label", "dim", "tree", "leaf", "rep", "n", "vector", "seen"]]
-                    order = np.argsort(row, kind="stable")
-                    edge = np.searchsorted(row[order], np.arange(len(own) + 1))
-                    seen = [np.concatenate([s, t << 32 | leaf[order[a:z]]]) for s, a, z in zip(seen, edge[:-1], edge[1:])]
 
     kinds = dict(classes.dtypes)
     return classes.select("label", "dim", "rep", "n", "vector").mapInPandas(
@@ -126,7 +129,7 @@ def _routed(classes: DataFrame, forest: dict, trees: int) -> DataFrame:
 
 
 def _pairs(x: np.ndarray, side: np.ndarray, seen: list, within: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked pairs (i, j) of one group and whether this tree is the first to show each."""
+    """Linked pairs (i, j) of one group and whether no earlier leaf or tree has shown each."""
     width = max((len(s) for s in seen), default=0)
     marks = np.full((len(x), max(width, 1)), -1, np.int64)
     for k, s in enumerate(seen):
@@ -142,11 +145,11 @@ def _pairs(x: np.ndarray, side: np.ndarray, seen: list, within: bool, least: flo
             u, v = u[u < v], v[u < v]
         for c in range(0, len(u), 1 << 16):
             p, q = u[c:c + (1 << 16)], v[c:c + (1 << 16)]
-            before = np.zeros(len(p), bool)
+            fresh = np.ones(len(p), bool)
             for w in range(width):
-                mark = marks[p, w]
-                before |= (mark >= 0) & (marks[q] == mark[:, None]).any(1)
-            found.append((p, q, ~before))
+                left_over = np.flatnonzero(fresh & (marks[p, w] >= 0))
+                fresh[left_over] = ~(marks[q[left_over]] == marks[p[left_over], w][:, None]).any(1)
+            found.append((p, q, fresh))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, bool)

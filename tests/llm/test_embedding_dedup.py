@@ -75,6 +75,18 @@ def test_one_dense_group_in_blocks(spark, monkeypatch):
     assert all(x.n_links <= 299 for x in got) and sum(x.n_links for x in got) >= 0.97 * 300 * 299
 
 
+def test_links_in_overlaps_count_once(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(2000, 64))  # more than LEAF: several splits, each with an overlap
+    x = np.concatenate([base, base + r.normal(size=base.shape) * 0.2])
+    rows = [(k, [float(c) for c in v.astype(np.float32)], 1) for k, v in enumerate(x)]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in ed.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert want.sum() > 3900 and all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_recall_on_the_given_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
