@@ -4,9 +4,15 @@ Only vectors with the same (not null) label are compared. Equal vectors of a lab
 class with a count. For each label and tree, random directions (one per level) and medians of
 their projections, fitted on a bounded sample of at most ``SAMPLE`` vectors, split the vectors
 again and again until a leaf holds about ``LEAF`` of them; a vector within ``SPILL`` (a share of
-the node) of a split goes to both sides. Every class is put in its leaves of all ``TREES`` trees
-and compared exactly, in double precision, with all others of each leaf. A pair is counted in
-the first tree, and there in the first leaf, that has both (a split's overlap puts both in several), so counts are exact without a table of pairs. What
+the node) or ``margin(least)`` (a distance, whichever is more) of a split goes to both sides. The
+projections of a linked pair differ by a normal number of deviation ``sqrt(2 - 2 * least)`` at most,
+so whatever the data, a random direction parts at most 4.6 % of the linked pairs (those beyond
+``REACH`` deviations), and the trees are independent. A node that no split of ``TRIES`` makes much
+smaller (its vectors are nearly as near each other as linked ones: a dense group) is not split
+further: it stays one leaf. Every class is put in its leaves of all trees (of one, if that is a
+single leaf) and compared exactly, in double precision, with all others of each leaf. A pair is
+counted in the first tree, and there in the first leaf, that has both (a split's overlap puts both
+in several), so a found pair counts once without a table of pairs. What
 leaves a leaf is one row per vector: its number of links, and the smallest vector of its linked
 group there, whose links are then united over all leaves.
 
@@ -30,45 +36,68 @@ from ._stage import staged
 from .components import components
 
 TREES, LEAF, SPILL, BLOCK, SAMPLE, NODE_SAMPLE = 5, 700, 0.12, 2048, 100_000, 40
+#: Deviations of a linked pair's difference that a split's overlap spans; the share of a node's comparisons that a split may leave,
+#: and the directions tried for one that leaves less.
+REACH, WORTH, TRIES = 2.0, 0.9, 8
+
+
+def margin(least: float) -> float:
+    """Half the overlap of a split: directions are normal, so the projections of unit vectors u, v differ by a normal
+    number of deviation ``|u - v|``, which is ``sqrt(2 - 2 * least)`` at most for a linked pair."""
+    return REACH / 2 * float(np.sqrt(max(0.0, 2 - 2 * least)))
 
 
 @dataclasses.dataclass
 class Tree:
-    """Splits by level (one direction each) and node (in heap order): below ``high`` to the left, from ``low`` on to the right."""
+    """One direction a level; a node's vectors below ``high`` by that of its ``level`` (-1: a leaf) go to ``left``, from ``low`` on to ``right``."""
 
     directions: np.ndarray
+    level: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of unit vectors; a row may stand in several leaves."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for d in self.directions:
-            p = (x @ d)[row]
-            left, right = p < self.high[node], p >= self.low[node]
-            row = np.concatenate([row[left], row[right]])
-            node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+        for k, d in enumerate(self.directions):
+            split = self.level[node] == k
+            p, at = (x @ d)[row[split]], node[split]
+            left, right = p < self.high[at], p >= self.low[at]
+            row, node = (np.concatenate([old[~split], a[left], b[right]]) for old, a, b in
+                         ((row, row[split], row[split]), (node, self.left[at], self.right[at])))
         return row, node
 
 
-def grow(x: np.ndarray, total: int, rng: np.random.Generator, leaf: int = LEAF, spill: float = SPILL) -> Tree:
+def grow(x: np.ndarray, total: int, rng: np.random.Generator, least: float, leaf: int | None = None, spill: float = SPILL) -> Tree:
     """A tree for ``total`` vectors of which ``x`` (unit vectors) is a sample."""
-    held, depth = float(total), 0
-    while held > leaf and len(x) / 2 ** (depth + 1) >= NODE_SAMPLE:
-        held, depth = held * (0.5 + spill), depth + 1
-    directions = rng.normal(size=(depth, x.shape[1]))
-    low, high = np.full(2 ** depth - 1, -np.inf), np.full(2 ** depth - 1, np.inf)
-    parts = {0: np.arange(len(x))}
-    for level in range(depth):
-        below = {}
-        for node, own in parts.items():
-            p = x[own] @ directions[level]
-            if len(own):
-                at = rng.uniform(0.45, 0.55)
-                low[node], high[node] = np.quantile(p, [at - spill, at + spill])
-            below[2 * node + 1], below[2 * node + 2] = own[p < high[node]], own[p >= low[node]]
-        parts = below
-    return Tree(directions, low, high)
+    leaf = LEAF if leaf is None else leaf
+    directions, level_of, low, high, left, right = [], [-1], [np.inf], [np.inf], [-1], [-1]
+    enough = max(leaf * len(x) / max(total, 1), 2 * NODE_SAMPLE)
+    level = [(0, np.arange(len(x)), 1)] if len(x) > enough else []
+    while level:
+        d, below = rng.normal(size=x.shape[1]), []
+        for node, own, tried in level:
+            p = x[own] @ d
+            at = rng.uniform(0.45, 0.55)
+            lower, cut, upper = np.quantile(p, [at - spill, at, at + spill])
+            lower, upper = min(lower, cut - margin(least)), max(upper, cut + margin(least))
+            parts = own[p < upper], own[p >= lower]
+            if sum(len(part) ** 2 for part in parts) > WORTH * len(own) ** 2:
+                if tried < TRIES:  # else linked pairs stand across any split: left to the exact comparison
+                    below.append((node, own, tried + 1))
+                continue
+            level_of[node] = len(directions)
+            low[node], high[node], left[node], right[node] = lower, upper, len(left), len(left) + 1
+            for part in parts:
+                if len(part) > enough:
+                    below.append((len(left), part, 1))
+                for column, empty in ((low, np.inf), (high, np.inf), (left, -1), (right, -1), (level_of, -1)):
+                    column.append(empty)
+        directions.append(d)
+        level = below
+    return Tree(np.array(directions).reshape(-1, x.shape[1]), np.array(level_of), np.array(low), np.array(high), np.array(left), np.array(right))
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -83,7 +112,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _forest(classes: DataFrame, trees: int, seed: int) -> dict:
+def _forest(classes: DataFrame, trees: int, seed: int, least: float) -> dict:
     """Trees by (label, length), from a sample chosen by hash."""
     counts = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).collect()}
     total = sum(counts.values())
@@ -95,11 +124,13 @@ def _forest(classes: DataFrame, trees: int, seed: int) -> dict:
     for (label, dim), own in sample.groupby(["label", "dim"]):
         if (label, dim) in counts:
             x = _unit(own["vector"])
-            out[label, dim] = [grow(x, counts[label, dim], np.random.default_rng([seed, t, int(dim)])) for t in range(trees)]
+            own = [grow(x, counts[label, dim], np.random.default_rng([seed, t, int(dim)]), least) for t in range(trees)]
+            whole = [t for t in own if len(t.left) == 1]  # one leaf has every pair
+            out[label, dim] = whole[:1] or own
     return out
 
 
-def _routed(classes: DataFrame, forest: dict, trees: int) -> DataFrame:
+def _routed(classes: DataFrame, forest: dict) -> DataFrame:
     """One row per class, tree and leaf; ``seen`` holds its leaves in the trees before
     and its smaller-numbered leaves in this one, as tree << 32 | leaf."""
     shared = classes.sparkSession.sparkContext.broadcast(forest)
@@ -111,7 +142,7 @@ def _routed(classes: DataFrame, forest: dict, trees: int) -> DataFrame:
                 known = shared.value.get((label, dim))
                 seen = [np.zeros(0, np.int64)] * len(own)
                 x = _unit(own["vector"]) if known else None
-                for t in range(trees if known else 1):  # a small label is one leaf
+                for t in range(len(known) if known else 1):  # a small label is one leaf
                     row, leaf = known[t].leaves(x) if known else (np.arange(len(own)), np.zeros(len(own), np.int64))
                     order = np.lexsort((leaf, row))
                     row, leaf = row[order], leaf[order]
@@ -200,7 +231,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES,
         .withColumn("k1", F.xxhash64("label", "vector", F.lit(1))).withColumn("k2", F.xxhash64(F.lit(2), "vector", "label"))
     classes = staged(keyed.groupBy("k1", "k2").agg(F.min("id").cast("bigint").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"),
                                                    F.first("dim").alias("dim"), F.first("vector").alias("vector")), "vector-classes")
-    found = staged(_compared(staged(_routed(classes, _forest(classes, trees, seed), trees), "vector-leaves"), least), "vector-links")
+    found = staged(_compared(staged(_routed(classes, _forest(classes, trees, seed, least)), "vector-leaves"), least), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.filter("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
     known = classes.select("k1", "k2", "rep", "n").join(counts, "rep", "left").join(groups, "rep", "left") \

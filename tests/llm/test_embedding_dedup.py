@@ -87,6 +87,31 @@ def test_links_in_overlaps_count_once(spark):
     assert want.sum() > 3900 and all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum()
 
 
+def test_dense_group_of_thousands_loses_no_link(spark):
+    r = np.random.default_rng(6)
+    center = r.normal(size=64)
+    dense = center / np.linalg.norm(center) + r.normal(size=(2500, 64)) * 0.03  # near copies of one vector, but no two equal
+    x = np.concatenate([dense, r.normal(size=(2000, 64))])
+    rows = [(k, [float(c) for c in v.astype(np.float32)], 1) for k, v in enumerate(x)]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in ed.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert want.sum() > 2500 * 2000 and all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.999 * want.sum()
+
+
+def test_trees_part_no_dense_group_and_count_once_at_depth(spark, monkeypatch):
+    monkeypatch.setattr(ed, "LEAF", 60)
+    rows = cloud(1500)
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    tree = ed.grow(unit, len(unit), np.random.default_rng(1), 0.93)
+    assert len(tree.directions) >= 3 and len(set(tree.leaves(unit)[1].tolist())) >= 8  # LEAF is read when called
+    want = {i: n for i, n, _ in brute(rows, 0.93)}
+    got = {r.vec_id: r.n_links for r in ed.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values())
+
+
 def test_recall_on_the_given_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
