@@ -14,6 +14,13 @@ id; that bound is the only sample. Prediction reads
 whole texts in one pass without a shuffle. Null texts and texts without a letter give ``und``
 with score 0. With no labelled document every text gives ``und``. Null labels are not
 learned from; null ids are never learned from and count as not held out. Extra columns are not read.
+
+The softmax must choose some language, so its probability cannot tell a text of none. ``keep_known``
+also asks whether a text is like any language: the mean log probability of its letter pairs (a-z,
+bytes from 128 on and spaces; digits, signs and what stands beside them do not count) under the
+Witten-Bell smoothed byte pairs of the language that fits it best must reach a floor. Floors are by the
+number of pairs, since short texts vary more: the ``STRANGE`` quantile of windows of held-out labelled texts (two folds by
+document), less ``SLACK``. Texts without such a pair have nothing to judge and stay.
 """
 
 from __future__ import annotations
@@ -31,6 +38,10 @@ from ._text import LOWER_BYTE, slices, utf8
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 SAMPLE, STEPS, BATCH, RATE, WINDOWS_A_TEXT = 8000, 1000, 64, 4e-3, 16
 _REACH = max(WIDTHS) - 1
+#: Share of known windows below a floor, what is taken off it, and the numbers of letter pairs that have one (others: the next below).
+STRANGE, SLACK, SIZES = 0.001, 0.3, (1, 2, 4, 8, 16, 32, 64, 128, 192)
+_JUDGED = np.zeros(256, bool)
+_JUDGED[[32, *range(97, 123), *range(128, 256)]] = True
 UNKNOWN = "und"
 
 
@@ -57,6 +68,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 class Model:
     labels: list[str]
     params: dict[str, np.ndarray]
+    pairs: np.ndarray | None = None  # [languages, 65536] log probabilities of byte pairs
+    floors: np.ndarray | None = None  # least mean of a known text, by SIZES
 
     def tables(self) -> dict[int, list[tuple[int, np.ndarray]]]:
         """Per width, (offset, entries) by pairs of bytes; an odd width's last byte alone."""
@@ -133,9 +146,48 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 1, steps:
     return Model(labels, {k: a.astype(np.float32) for k, a in p.items()})
 
 
-def fit(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 1) -> Model | None:
+def _judged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte pairs of lower-cased bytes (along the last axis) and whether each counts."""
+    a, b = x[..., :-1], x[..., 1:]
+    return a.astype(np.int32) << 8 | b, _JUDGED[a] & _JUDGED[b] & ((a != 32) | (b != 32))
+
+
+def _pair_logs(x: np.ndarray, y: np.ndarray, many: int) -> np.ndarray:
+    """[many, 65536]: log probability of each byte given the one before, by language, from windows ``x`` of languages ``y``."""
+    out = np.zeros((many, 1 << 16), np.float32)
+    for k in range(many):
+        pair, counts = _judged(x[y == k])
+        c = np.bincount(pair[counts], minlength=1 << 16).reshape(256, 256).astype(np.float64)
+        alone, kinds = (c.sum(0) + 1) / (c.sum() + 256), (c > 0).sum(1, keepdims=True) + 1
+        out[k] = np.log((c + kinds * alone) / (c.sum(1, keepdims=True) + kinds)).ravel()
+    return out
+
+
+def _floors(x: np.ndarray, y: np.ndarray, fold: np.ndarray, many: int) -> np.ndarray:
+    """Per number of pairs in SIZES, the floor of a known text's mean; each fold is judged by the other's pairs."""
+    found = [[] for _ in SIZES]
+    for f in (0, 1):
+        logs, own = _pair_logs(x[fold != f], y[fold != f], many), x[fold == f]
+        for i in range(0, len(own), 1024):
+            pair, counts = _judged(own[i:i + 1024])
+            nth = np.cumsum(counts, 1)
+            sums = [np.cumsum(np.where(counts, logs[k][pair], 0), 1, dtype=np.float64) for k in range(many)]
+            for found_of, size in zip(found, SIZES):
+                row = np.flatnonzero(nth[:, -1] >= size)
+                at = (nth[row] >= size).argmax(1)
+                found_of.append(np.max([z[row, at] for z in sums], 0) / size)
+    found = [np.concatenate(v) for v in found]
+    floors = np.array([np.quantile(v, STRANGE) - SLACK if len(v) else -np.inf for v in found])
+    for k in range(1, len(floors)):  # texts longer than any known window: the floor of the longest
+        if floors[k] == -np.inf:
+            floors[k] = floors[k - 1]
+    return floors
+
+
+def fit(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 1,
+        floors: bool = False) -> Model | None:
     """A model of the languages of the ``learnable`` rows; None if there is none. About
-    ``sample`` windows reach the driver, as many for each language."""
+    ``sample`` windows reach the driver, as many for each language. With ``floors``, also what ``keep_known`` judges by."""
     known = docs.filter(learnable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_lang IS NOT NULL")
     counts = {r[0]: r[1] for r in known.filter(F.length("_text") > 0).groupBy("_lang").count().collect()}
     if not counts:
@@ -165,7 +217,11 @@ def fit(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
     rows = sorted(map(tuple, picked.select(F.xxhash64("_id").alias("h"), "_text", "_lang").mapInArrow(cut, "h bigint, lang string, w binary").collect()))
     x = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8).reshape(len(rows), -1)
     number = {x: k for k, x in enumerate(labels)}
-    return train(x, np.array([number[r[1]] for r in rows]), labels, seed) if rows else None
+    y = np.array([number[r[1]] for r in rows])
+    model = train(x, y, labels, seed) if rows else None
+    if model and floors:
+        model.pairs, model.floors = _pair_logs(x, y, len(labels)), _floors(x, y, np.array([r[0] & 1 for r in rows]), len(labels))
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,8 +265,29 @@ def _predict(model: Model, tables: dict, column: pa.Array) -> tuple[np.ndarray,
     return best, score
 
 
+def _like_known(model: Model, column: pa.Array) -> np.ndarray:
+    """Whether each text's letter pairs are as probable in some language as a known text's."""
+    data, offsets = utf8(column)
+    out = np.ones(len(offsets) - 1, bool)
+    for i, j in slices(offsets):
+        part, off = LOWER_BYTE[data[offsets[i]:offsets[j]]], offsets[i:j + 1] - offsets[i]
+        if len(part) < 2:
+            continue
+        pair, counts = _judged(part)
+        edges = off[1:-1]
+        counts[edges[(edges > 0) & (edges < len(part))] - 1] = False  # not from one text to the next
+        at = np.flatnonzero(counts)
+        row, pair = np.searchsorted(off, at, side="right") - 1, pair[at]
+        n = np.bincount(row, minlength=j - i)
+        some = np.flatnonzero(n)
+        mean = np.max([np.bincount(row, logs[pair], j - i)[some] for logs in model.pairs], 0) / n[some]
+        out[i + some] = mean >= model.floors[np.searchsorted(SIZES, n[some], side="right") - 1]
+    return out
+
+
 def keep_known(docs: DataFrame, model: Model | None, min_score: float, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of unknown language (no text, no letter) or of a score below ``min_score``."""
+    """``docs`` without the rows of unknown language (no text, no letter), of a score below ``min_score`` or,
+    where the model has floors, unlike every language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -219,7 +296,10 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float, text_col:
         for b in batches:
             if shared.value:
                 best, score = _predict(shared.value, tables, b.column(at))
-                b = b.filter(pa.array((best >= 0) & (score >= min_score)))
+                keep = (best >= 0) & (score >= min_score)
+                if shared.value.floors is not None:
+                    keep &= _like_known(shared.value, b.column(at))
+                b = b.filter(pa.array(keep))
             yield b
 
     return docs.filter(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

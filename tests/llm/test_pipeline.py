@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -47,6 +48,26 @@ def test_stages_take_effect(spark, documents, tmp_path):
     assert abs(total - 1.5 * sum(words[i] for i in ids[2])) < 0.03 * total
 
 
+def test_letter_gibberish_is_rejected_and_short_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    wild = [" ".join("".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(n)) for n in (4, 8, 20, 60, 200, 2000) for _ in range(20)]
+    clean = [t.text for t in docs.filter("length(text) > 300").orderBy("doc_id").limit(40).collect()]
+    mixed = ["".join(r.sample(t, len(t))) for t in clean]  # a language's letters in no order
+    short = [" ".join(t.split()[5:5 + n]) for t in clean for n in (1, 2, 3, 6)]
+    short = [t for t in short if any(c.isalpha() for c in t)]  # "|" and numbers are rejected as ever
+    first = 10 ** 9
+    added = [(first + k, t, None, "s0", len(t)) for k, t in enumerate(wild + mixed + short)]
+    kept = {x.doc_id for x in P.language(spark, docs.unionByName(spark.createDataFrame(added, docs.schema)), "").select("doc_id").collect()}
+    lettered = {x.doc_id for x in docs.filter(r"text rlike '\\p{L}'").collect()}
+    assert len(docs.select("lang").distinct().collect()) == 4 and len(lettered - kept) <= 0.002 * len(lettered)
+    gone = [k for k in range(len(added)) if first + k not in kept]
+    n = len(wild) + len(mixed)
+    assert sum(k < len(wild) for k in gone) >= 0.97 * len(wild) and sum(len(wild) <= k < n for k in gone) >= 0.9 * len(mixed)
+    assert sum(k >= n for k in gone) <= 0.01 * len(short)
+
+
 def test_run_equals_its_stages_and_takes_empty_tables(spark, documents, tmp_path):
     corpus(spark, documents, tmp_path)
     assert P.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
