@@ -159,7 +159,6 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((S
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": _url_filter_sql(),
-    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

@@ -5,6 +5,7 @@ import re
 import numpy as np
 from conftest import prose
 
+import __spark_entry__ as E
 from stayframe.llm import minhash_dedup as md
 
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
@@ -102,3 +103,8 @@ def test_empty_and_repeated(spark, documents):
     assert md.near_duplicates(documents([])).collect() == []
     rows = md.near_duplicates(documents([(5, "a b c d e f"), (5, "a b c d e f"), (3, "A b c d e f"), (9, "z")])).collect()
     assert sorted(map(tuple, rows)) == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 9, True)]
+
+
+def test_every_claimed_oracle_is_sql():
+    assert "op9_minhash_dedup" in E.queries() and "op9_minhash_dedup" not in E.oracle_sql()
+    assert all(isinstance(sql, str) for sql in E.oracle_sql().values())
