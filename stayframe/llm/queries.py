@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import centroid_clustering as _cc
 from . import chat_repair as _cr
 from . import decontaminate as _dc
 from . import embedding_dedup as _ed
+from . import hard_negatives as _hn
 from . import language_id as _li
 from . import minhash_dedup as _md
 from . import mixing as _mx
@@ -18,6 +20,7 @@ from . import substring_dedup as _sd
 from . import token_counts as _tc
 from . import token_store as _ts
 from . import url_filter as _uf
+from . import warc as _wa
 from ._stage import ensure_package, new_path
 
 #: Files of public tokenizers lie outside the repository; their place is a parameter.
@@ -106,6 +109,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dc.digest(_dc.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW))
 
 
+@registered
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cc.digest(*_cc.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, salt="2"))
+
+
+@registered
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return _hn.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=relabelled)
+
+
+@registered
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    _wa.write_archives(table(spark, sf_dir, "pages"), path)
+    return _wa.read_archives(spark, path).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -117,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -157,7 +181,47 @@ threshold AS (SELECT lo + bin * step AS x FROM cut, n, span ORDER BY abs(a / na
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT x FROM threshold), 0.0) THEN 'allow' ELSE 'block' END) AS verdict, score FROM scored"""
 
 
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Centroid clustering in DuckDB SQL: a pair of subqueries for each round."""
+    steps = []
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(b.v, c.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+        steps.append(f"""a{r} AS (SELECT rid, vec_id, v, n, d FROM (SELECT b.*, c.n, CAST({far} AS BIGINT) AS d FROM b, c{r} c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, n) = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT n, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS m FROM (SELECT n, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY n, i),
+m{r} AS (SELECT n, list((s - ((s % m) + m) % m) // m ORDER BY i) AS v FROM s{r} GROUP BY n),
+c{r + 1} AS (SELECT c.n, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (n))""")
+    return f"""
+WITH b AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), v) - 1 AS n, v FROM b QUALIFY n < {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(n AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (n)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT a.rid, a.vec_id AS anchor_id, o.vec_id AS id, a.label = o.label AS alike,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.v, o.v), lambda t: coalesce(t[1], 0) * coalesce(t[2], 0))), 0) AS BIGINT) AS score
+  FROM e a JOIN e o ON a.rid <> o.rid WHERE a.vec_id % 100 = 0),
+positives AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS place FROM p WHERE alike QUALIFY place <= 5)
+SELECT q.anchor_id, q.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, q.score AS positive_score, n.score AS negative_score
+FROM positives q JOIN p n ON q.rid = n.rid AND NOT n.alike AND 80 * q.score <= 100 * n.score AND n.score <= q.score
+WINDOW w AS (PARTITION BY q.rid, q.place ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, n AS payload_bytes,
+  digest AS payload_digest, CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
     "op4_url_filter": _url_filter_sql(),
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
