@@ -15,6 +15,7 @@ from stayframe.functions.recode import three_way_label
 from stayframe.operators import asof as A
 from stayframe.operators import cohort as C
 from stayframe.operators import label as L
+from stayframe.operators import lookback as LB
 from stayframe.operators import offsets as O
 from stayframe.plans import dataset as D
 from stayframe.session import stage_path
@@ -264,6 +265,32 @@ def j07_argmin_as_coded(spark, d):
     return A.asof_as_coded(long, "creatinine_time", feature=False)
 
 
+def _lookback(spark, d, anchors=None, truncate=None):
+    ev = S.chartevents(spark, d)
+    an = anchors if anchors is not None else _cohort(spark, d)
+    if truncate:
+        ev = ev.withColumn("storetime", F.date_trunc(truncate, "storetime").cast("timestamp_ntz"))
+    return LB.Lookback(an, C.item_filter(ev, "itemid", ["click", "view"], "valuenum"), key=["subject_id"], anchor_id=["icustay_id", "creatinine_time"],
+                       anchor_time="creatinine_time", event_time="storetime", value_col="valuenum", item_col="itemid", tiebreak="event_id", lower_bound="intime")
+
+
+def j06b_candidate_summary(spark, d):
+    """Number and sum of every anchor's candidates, from its interval alone."""
+    return _lookback(spark, d).intervals.select("icustay_id", "creatinine_time", "n", R6("total").alias("total"), R6("delay").alias("delay"))
+
+
+def j06c_candidate_rows(spark, d):
+    """The candidates themselves, one row each."""
+    return _lookback(spark, d).expand().withColumn("delay", R6("delay"))
+
+
+def j07b_argmin_all_ties(spark, d):
+    """The argmin self-join as written, on days: many events share an instant, and every tie stays."""
+    co = _cohort(spark, d).select("subject_id", "icustay_id", F.date_trunc("day", "intime").cast("timestamp_ntz").alias("intime"),
+                                  F.date_trunc("day", "creatinine_time").cast("timestamp_ntz").alias("creatinine_time")).dropDuplicates()
+    return LB.argmin_as_coded(_lookback(spark, d, co, "day"), "creatinine_time").withColumn("delay", R6("delay"))
+
+
 def j08_asof_latest_prior(spark, d):
     return _asof(spark, d, ["click", "view"])
 
@@ -457,6 +484,22 @@ SQL = {
                   AND e.value IS NOT NULL AND e.ts BETWEEN a.intime AND a.creatinine_time
                  GROUP BY a.icustay_id, a.creatinine_time)
         SELECT * FROM best QUALIFY delay = min(delay) OVER (PARTITION BY creatinine_time)""",
+    "j06b_candidate_summary": J08_ANCH + """SELECT a.icustay_id, a.creatinine_time, count(e.ts) AS n, round(sum(e.value), 6) AS total,
+          round((epoch_us(a.creatinine_time) - epoch_us(max(e.ts))) / 1e6, 6) AS delay
+        FROM allanch a LEFT JOIN events e ON e.user_id = a.subject_id AND e.event_type IN ('click','view')
+          AND e.value IS NOT NULL AND e.ts BETWEEN a.intime AND a.creatinine_time
+        GROUP BY a.icustay_id, a.creatinine_time""",
+    "j06c_candidate_rows": J08_ANCH + """SELECT a.icustay_id, a.creatinine_time, e.value, round((epoch_us(a.creatinine_time) - epoch_us(e.ts)) / 1e6, 6) AS delay,
+          e.ts AS time, e.event_type AS item
+        FROM allanch a JOIN events e ON e.user_id = a.subject_id AND e.event_type IN ('click','view')
+          AND e.value IS NOT NULL AND e.ts BETWEEN a.intime AND a.creatinine_time""",
+    "j07b_argmin_all_ties": W(*BASE) + """,
+        anchors AS (SELECT DISTINCT subject_id, icustay_id, date_trunc('day', intime) AS intime, date_trunc('day', creatinine_time) AS creatinine_time FROM cohort),
+        ev AS (SELECT user_id, event_type, value, date_trunc('day', ts) AS ts FROM events WHERE event_type IN ('click','view') AND value IS NOT NULL),
+        feat AS (SELECT a.icustay_id, a.creatinine_time, e.value, round((epoch_us(a.creatinine_time) - epoch_us(e.ts)) / 1e6, 6) AS delay, e.ts AS time, e.event_type AS item
+                 FROM anchors a JOIN ev e ON e.user_id = a.subject_id AND e.ts BETWEEN a.intime AND a.creatinine_time)
+        SELECT a.* FROM feat a JOIN (SELECT creatinine_time, min(delay) AS delay FROM feat GROUP BY creatinine_time) b
+          ON a.creatinine_time = b.creatinine_time WHERE a.delay = b.delay""",
     "j08_asof_latest_prior": J08_ANCH + asof_sql(["click", "view"]),
     "j10_merge_outer": """WITH ev AS (SELECT *, CAST(ts AS DATE) AS day FROM events),
         buys AS (SELECT user_id, day, round(sum(value), 6) AS spent FROM ev WHERE event_type = 'purchase' GROUP BY ALL),

@@ -101,11 +101,9 @@ def run_study(data: DataFrame, registry: dict[str, M.Spec], metric: str = "accur
     ensure_checkpoint_dir(spark)
     data = data.checkpoint()
     hyper = data.where(F.col("split") == "hyperopt")
-    best, grids = {}, []
-    for name, spec in registry.items():
-        b, table = M.grid_search(spec, hyper, "fold", metric)
-        best[name] = b
-        grids.append(M.grid_table(spark, name, table))
+    found = M.grid_search_all(registry, hyper, "fold", metric)
+    best = {name: b for name, (b, _) in found.items()}
+    grids = [M.grid_table(spark, name, table) for name, (_, table) in found.items()]
     grid = grids[0]
     for g in grids[1:]:
         grid = grid.unionByName(g)

@@ -165,7 +165,10 @@ BOOST_RATES = [0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0]
 BOOST_MIN_CHILD_WEIGHTS = [0.1, 0.3, 1, 3]
 BOOST_DEPTHS = [3, 6, 8, 10, 12]
 MLP1_UNITS = [10, 20, 30, 40]
+MLP1_DROPOUT = [0.0, 0.1, 0.3, 0.5]
 MLP2_UNITS_1 = [10, 20, 40]
+MLP2_DROPOUT_1 = [0.0, 0.2]
 MLP2_UNITS_2 = [10, 20, 40]
+MLP2_DROPOUT_2 = [0.0, 0.2]
 ADABOOST_RATES = [0.2, 0.5]
 ADABOOST_ROUNDS = 50

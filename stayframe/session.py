@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ARCHIVE = "stayframe-src.zip"
+
+#: Python workers live on between tasks. They give large freed arrays back to the system at once, hold few heaps, and
+#: leave the cores to Spark's tasks, so what one stage needed does not add to the next one's memory.
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2",
+                      "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -53,3 +62,19 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for written stage tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "stages", name)
+
+
+def ensure_package(spark: SparkSession) -> None:
+    """Let the executors' Python import this library: its sources are sent along once per application.
+    Python functions made from here on run in workers of ``WORKER_ENVIRONMENT`` (values already set stay)."""
+    context = spark.sparkContext
+    for name, value in WORKER_ENVIRONMENT.items():
+        context.environment.setdefault(name, value)
+    if any(os.path.basename(f) == ARCHIVE for f in context.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="stayframe-src-"), ARCHIVE)
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(archive)
