@@ -30,8 +30,9 @@ from ._text import Memo, codepoints, slices, span_hash, utf8
 LETTER, NUMBER, OTHER, SPACE, UNSEEN = 1, 2, 3, 4, 0
 #: Pieces of at most so many bytes are computed together.
 TOGETHER = 48
-#: Id of no token; multiplier of the rolling hash; bits of it that address the sieve.
-NOTHING, BASE, SIEVE_SHIFT = 0x1FFFF, np.uint64(0xD6E8FEB86659FD93), np.uint64(42)
+#: Bits of a token's id where two are packed; id of no token; multiplier of the rolling hash; bits of it that address the sieve.
+PAIR_BITS = 31
+NOTHING, BASE, SIEVE_SHIFT = (1 << PAIR_BITS) - 1, np.uint64(0xD6E8FEB86659FD93), np.uint64(42)
 
 
 def byte_alphabet() -> list[str]:
@@ -144,7 +145,7 @@ class PrefixCounter:
         self.classes = CharClasses(probe)
         self.memo = Memo()
         self.names = {i: t for t, i in self.ids.items()} | {NOTHING: b""}
-        self.pair_memo = Memo(bool)
+        self.pair_memo, self.known = Memo(bool), {}
         self.powers = np.cumprod(np.full(TOGETHER + 1, BASE, np.uint64)) * pow(int(BASE), -1, 1 << 64)
         value = np.zeros(len(self.ids), np.uint64)
         for k, t in enumerate(self.ids):
@@ -173,16 +174,45 @@ class PrefixCounter:
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Counts of the len(piece) + 1 prefixes of one piece, by bytes."""
-        last, counts, ids = [b""], [0], self.ids
-        for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = piece[j:i]
-                if token in ids and self.apart(last[j], token):
-                    last.append(token)
-                    counts.append(counts[j] + 1)
-                    break
+        last, counts, known, names = [NOTHING], [0], self.known, self.names
+        for edge, length, token in self._endings(piece):
+            place = edge.tolist()
+            for k in range(len(place) - 1):
+                for c in range(place[k], place[k + 1]):  # the longest first, until one is kept apart from what precedes it
+                    before = len(last) - length[c]
+                    key = last[before] << PAIR_BITS | token[c]
+                    good = known.get(key)
+                    if good is None:
+                        if len(known) > 1_000_000:
+                            known.clear()
+                        good = known[key] = self.apart(names[last[before]], names[token[c]])
+                    if good:
+                        last.append(token[c])
+                        counts.append(counts[before] + 1)
+                        break
         return counts
 
+    def _endings(self, piece: bytes) -> Iterator[tuple[np.ndarray, list, list]]:
+        """For each end 1 .. len(piece), in steps: places of its tokens in (length, token), the longest first."""
+        data = np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)
+        n = len(data)
+        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BASE, np.uint64))])
+        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64))])
+        prefix = np.zeros(n + 1, np.uint64)
+        prefix[1:] = np.cumsum(data * back[1:]) * power[1:]
+        for a in range(1, n + 1, 1 << 15):
+            ends, found = np.arange(a, min(a + (1 << 15), n + 1)), []
+            for size in range(min(self.longest, int(ends[-1])), 0, -1):
+                i = ends[ends >= size]
+                sub = prefix[i] - prefix[i - size] * power[size]
+                maybe = np.flatnonzero(self.sieve[sub >> SIEVE_SHIFT])
+                at = np.minimum(np.searchsorted(self.token_hash, sub[maybe]), len(self.token_hash) - 1)
+                same = self.token_hash[at] == sub[maybe]
+                found.append((i[maybe[same]], np.full(int(same.sum()), size), self.token_of[at[same]]))
+            end, length, token = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(end, kind="stable")
+            yield np.searchsorted(end[order], np.append(ends, ends[-1] + 1)), length[order].tolist(), token[order].tolist()
+
     def totals(self, pieces: list[bytes]) -> np.ndarray:
         """Counts of many pieces: the same programme for all short ones together, position by position."""
         out = np.zeros(len(pieces), np.int64)
@@ -220,7 +250,7 @@ class PrefixCounter:
             while len(rest):  # the longest candidate first, until one is kept apart from what precedes it
                 j = (token[:, rest] >= 0).argmax(0)
                 pick = token[j, rest]
-                key = (last[low + j, rest] << 17 | pick).astype(np.uint64)
+                key = (last[low + j, rest] << PAIR_BITS | pick).astype(np.uint64)
                 keys, inverse = np.unique(key, return_inverse=True)
                 good = self.pair_memo.get(keys, lambda new: self._apart_ids(keys[new]))[inverse]  # noqa: B023
                 done = rest[good]
@@ -232,7 +262,7 @@ class PrefixCounter:
 
     def _apart_ids(self, keys: np.ndarray) -> np.ndarray:
         names = self.names
-        return np.array([self.apart(names[k >> 17], names[k & 0x1FFFF]) for k in keys.tolist()], bool)
+        return np.array([self.apart(names[k >> PAIR_BITS], names[k & NOTHING]) for k in keys.tolist()], bool)
 
     def count_pieces(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         keys, first, inverse = np.unique(span_hash(cp, starts, ends), return_index=True, return_inverse=True)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -51,3 +52,20 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert token_counts(documents([]), PATH, 5).collect() == []
     clash = documents([(1, "a b")]).withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "_text")
     assert [tuple(r) for r in token_counts(clash, PATH, 5).collect()] == [(1, 3, 2, False)]
+
+
+@pytest.mark.parametrize("text", ["=" * 300_000, "".join(random.Random(4).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)),
+                                  "".join(random.Random(5).choice(["the", "é", "ß", "漢", "qu", "ing"]) for _ in range(4000))], ids=["equal", "random", "mixed"])
+def test_long_unbroken_runs(text):
+    """In seconds, and every prefix as the library counts it (some of them compared)."""
+    from tokenizers import Tokenizer
+
+    from stayframe.llm.token_counts import PrefixCounter
+
+    library, raw = Tokenizer.from_file(PATH), text.encode()
+    start = time.time()
+    counts = PrefixCounter(PATH).prefixes(raw)
+    assert time.time() - start < 60
+    assert len(counts) == len(raw) + 1
+    for cut in (1, 7, 50, 333, 4000, len(text)):
+        assert counts[len(text[:cut].encode())] == len(library.encode(text[:cut], add_special_tokens=False).ids)
