@@ -70,12 +70,14 @@ class Rolling:
         n = len(data) + 1
         if len(Rolling.powers) < n:
             ahead = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))])
-            Rolling.powers, Rolling.inverse = ahead(Rolling.base), ahead(np.uint64(pow(int(Rolling.base), -1, 1 << 64)))
+            self.powers, self.inverse = ahead(Rolling.base), ahead(np.uint64(pow(int(Rolling.base), -1, 1 << 64)))
+            if n <= SLICE_BYTES + 1:  # those of longer texts go with them
+                Rolling.powers, Rolling.inverse = self.powers, self.inverse
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data if table is None else table[data]) * Rolling.powers[:n - 1], out=self.sums[1:])
+        np.cumsum((data if table is None else table[data]) * self.powers[:n - 1], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * Rolling.inverse[start]
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
 def random_table(size: int, seed: int) -> np.ndarray:

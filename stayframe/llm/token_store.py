@@ -26,6 +26,7 @@ text; equal rows are interchangeable. Empty input: an empty store. Extra columns
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 from ._text import Memo, codepoints, slices, span_hash, utf8
 from .token_counts import LETTER, NUMBER, OTHER, SPACE, CharClasses, byte_alphabet, contractions
 
-#: A pair is replaced if it occurs so often in its block; at most so many pairs in one round.
-MIN_COUNT, PAIRS_A_ROUND, ROUNDS, BLOCK_IDS = 24, 2000, 6, 1 << 20
+#: A pair is replaced if it occurs so often in its block.
+MIN_COUNT, BLOCK_IDS = 24, 1 << 20
+#: Bits of a word's number of ids where it is packed with its offset.
+LENGTH_BITS = 31
 
 
 class WordEncoder:
@@ -105,12 +108,12 @@ class WordEncoder:
         return starts[keep], ends[keep]
 
     def _compute(self, words: list[str]) -> np.ndarray:
-        """Places (offset << 20 | length) in ``flat`` of new words' ids."""
+        """Places (offset << LENGTH_BITS | length) in ``flat`` of new words' ids."""
         out, alphabet, found = np.zeros(len(words), np.int64), self.bytes, []
         base = self.used
         for k, w in enumerate(words):
             ids = [t.id for t in self.model.tokenize("".join([alphabet[b] for b in w.encode()]))]
-            out[k] = base << 20 | len(ids)
+            out[k] = base << LENGTH_BITS | len(ids)
             base += len(ids)
             found += ids
         if base > len(self.flat):
@@ -124,7 +127,7 @@ class WordEncoder:
         raw = data.tobytes()
         if any(s in raw for s in self.special_bytes):
             each = [self.library.encode(raw[s:e].decode(), add_special_tokens=False).ids for s, e in zip(offsets[:-1], offsets[1:])]
-            return np.array(sum(each, []), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            return np.array(list(itertools.chain.from_iterable(each)), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         text = raw.decode()
         if not text.isascii() and (not unicodedata.is_normalized("NFC", text) or "İ" in text):
             fixed = [self._row(raw[s:e].decode()).encode() for s, e in zip(offsets[:-1], offsets[1:])]
@@ -140,7 +143,7 @@ class WordEncoder:
             self.forget()
         keys, one, inverse = np.unique(span_hash(cp, starts, ends), return_index=True, return_inverse=True)
         place = self.memo.get(keys, lambda new: self._compute([cp[starts[k]:ends[k]].tobytes().decode("utf-32-le") for k in one[new]]))
-        where, lens = (place >> 20)[inverse], (place & 0xFFFFF)[inverse]
+        where, lens = (place >> LENGTH_BITS)[inverse], (place & ((1 << LENGTH_BITS) - 1))[inverse]
         total = np.concatenate([[0], np.cumsum(lens)])
         ids = self.flat[np.repeat(where - total[:-1], lens) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, rows)]
@@ -158,43 +161,41 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def re_pair(ids: np.ndarray, end_id: int, min_count: int = MIN_COUNT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, first rule's symbol) of one block. Each round counts all adjacent
-    pairs, makes the frequent ones nonterminals and replaces their occurrences from the left."""
+def re_pair(ids: np.ndarray, end_id: int, min_count: int = MIN_COUNT, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbols, rules, first rule's symbol) of one block. Each round makes every frequent pair a nonterminal and
+    replaces its occurrences from the left, until no pair is frequent. An occurrence that stays overlaps one that was
+    replaced, so it is none any more: after a round only pairs with a symbol of that round can be frequent, and only
+    these are counted in the next one. ``rounds`` ends it earlier."""
     seq = ids.astype(np.int64)
     first = top = int(seq.max(initial=end_id)) + 1
     rules: list[np.ndarray] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = seq[:-1] << 32 | seq[1:]
-        fits = (seq[:-1] != end_id) & (seq[1:] != end_id)
-        ordered = np.sort(key[fits])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(count >= min_count)
+    young = np.ones(len(seq), bool)  # symbols of the last round
+    while len(seq) > 1 and (rounds is None or len(rules) < rounds):
+        spot = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id) & (young[:-1] | young[1:]))
+        key = seq[spot] << 32 | seq[spot + 1]
+        ordered = np.sort(key)
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        often = np.flatnonzero(np.diff(np.append(edge, len(ordered))) >= min_count)
         if not len(often):
             break
-        if len(often) > PAIRS_A_ROUND:  # the most frequent pairs first; the others' turn comes in later rounds
-            often = np.sort(often[np.argsort(-count[often], kind="stable")[:PAIRS_A_ROUND]])
         pairs = ordered[edge[often]]
         sieve = np.zeros(1 << 20, bool)
         slot = lambda k: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
         sieve[slot(pairs)] = True
-        at = np.flatnonzero(sieve[slot(key)] & fits)
-        rule = np.searchsorted(pairs, key[at])
+        maybe = np.flatnonzero(sieve[slot(key)])
+        rule = np.searchsorted(pairs, key[maybe])
         rule[rule == len(pairs)] = 0
-        same = pairs[rule] == key[at]
-        at, rule = at[same], rule[same]
+        same = pairs[rule] == key[maybe]
+        at, rule = spot[maybe[same]], rule[same]
         # of overlapping occurrences every second one is replaced, from the left
         head = np.concatenate([[True], at[1:] != at[:-1] + 1])
         order = np.arange(len(at))
         nth = order - np.maximum.accumulate(np.where(head, order, 0))
         at, rule = at[nth % 2 == 0], rule[nth % 2 == 0]
         seq[at] = top + rule
-        seq = np.delete(seq, at + 1)
+        young = np.zeros(len(seq), bool)
+        young[at] = True
+        seq, young = np.delete(seq, at + 1), np.delete(young, at + 1)
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
         top += len(pairs)
     return seq, np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32), first

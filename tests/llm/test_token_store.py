@@ -47,6 +47,45 @@ def test_store_equals_the_library(spark, documents, library, block):
     assert some == {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows if i in (901, 903, 30)}
 
 
+def test_grammar_until_no_pair_is_frequent():
+    """A passage of 3,000 ids, forty times: some rounds more than doubling it takes, and nothing frequent is left."""
+    r = np.random.default_rng(3)
+    passage = r.integers(0, 50_000, 3000)
+    ids = np.concatenate([np.concatenate([passage, r.integers(0, 50_000, 20), [60_000]]) for _ in range(40)]).astype(np.uint32)
+    symbols, rules, first = re_pair(ids, 60_000)
+    assert (expand(symbols, rules, first, 60_000) == np.where(ids == first - 1, 60_000, ids)).all()
+    assert rule_lengths(rules, first).max() > 64  # deeper than six rounds of pairs reach
+    inner = (symbols[:-1] != 60_000) & (symbols[1:] != 60_000)
+    pairs, counts = np.unique(np.stack([symbols[:-1], symbols[1:]], 1)[inner], axis=0, return_counts=True)
+    # what counts as an occurrence does not overlap another one of the same pair
+    assert counts[pairs[:, 0] != pairs[:, 1]].max(initial=0) < 24
+    assert len(symbols) < len(ids) / 15
+
+
+def test_word_of_more_than_a_million_ids(spark, documents, library):
+    r = random.Random(11)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2_000_000))
+    rows = [(1, "before"), (2, long), (3, "behind " + long[:5000])]
+    path = new_path(spark, "test-store")
+    write_store(documents(rows), path, PATH, 2)
+    at = 0
+    for i, n_start, n, crc in sorted(map(tuple, read_store(spark, path).collect())):
+        ids = library.encode(dict(rows)[i], add_special_tokens=False).ids + [2]
+        assert (n_start, n, crc) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert at > 1 << 20
+
+
+def test_many_special_strings(library):
+    from stayframe.llm.token_store import encoder
+    import pyarrow as pa
+
+    texts = ["<|endoftext|>" * 30_000, "a<|endoftext|>b"]
+    (_, _, ids, offsets), = encoder(PATH).rows(pa.array(texts), 2)
+    want = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == want[0] + want[1] and offsets.tolist() == [0, len(want[0]), len(want[0]) + len(want[1])]
+
+
 def test_repeated_rows_and_empty_table(spark, documents):
     path = new_path(spark, "test-store")
     write_store(documents([(7, "same text"), (7, "same text"), (8, "x"), (None, "y")]).withColumnRenamed("lang", "shard"), path, PATH, 2)
