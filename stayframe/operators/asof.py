@@ -40,27 +40,33 @@ HOT_LIST_ROWS = 100_000
 
 
 def split_hot_buckets(u: DataFrame, part: list[str], bucket_us: int, hot_rows: int,
-                      bucket_col: str = "_b", time_col: str = "_t") -> DataFrame:
+                      bucket_col: str = "_b", time_col: str = "_t", bound: DataFrame | None = None) -> DataFrame:
     """Re-key ``bucket_col`` so that no bucket holds more than about
     ``hot_rows`` rows: a bucket with n > hot_rows rows is cut into 2^k
     equal-time sub-buckets (k = ceil(log2(n / hot_rows)), at most 2^20).
     The new key ``bucket * 2^20 + sub * 2^(20 - k)`` keeps time order, so the
     bucket logic downstream is unchanged. The list of hot buckets has at most
-    rows / hot_rows entries; it is written once, and joined by a broadcast up to
-    ``HOT_LIST_ROWS`` entries (else by a shuffle). Costs one extra aggregation
-    over the (pruned) rows to count them, combined before its shuffle. (Rows sharing one instant cannot be split by time;
-    they stay together.)"""
-    hot = _materialize(u.groupBy(*part, bucket_col).agg(F.count(F.lit(1)).alias("_n"))
-                       .where(F.col("_n") > hot_rows)
-                       .select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate([*part, bucket_col])],
-                               F.least(F.ceil(F.log2(F.col("_n") / F.lit(float(hot_rows)))), F.lit(SUB_LEVELS))
-                               .cast("int").alias("_lv")))
-    n_hot = hot.count()
-    if not n_hot:
+    rows / hot_rows entries; up to ``HOT_LIST_ROWS`` of them come to the driver and
+    are joined by a broadcast (beyond, they are written once and joined by a shuffle).
+    ``bound`` holds a superset of every bucket's rows in fewer columns (its bucket column and some
+    of ``part``): where that has no hot bucket, which is one light aggregation, the rows themselves are
+    not counted. (Rows sharing one instant cannot be split by time; they stay together.)"""
+    if bound is not None:
+        narrow = [c for c in part if c in bound.columns]
+        over = bound.groupBy(*narrow, bucket_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        if not _few(over, 1):
+            return u.withColumn(bucket_col, F.col(bucket_col) * F.lit(1 << SUB_LEVELS))
+    hot = (u.groupBy(*part, bucket_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+           .select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate([*part, bucket_col])],
+                   F.least(F.ceil(F.log2(F.col("_n") / F.lit(float(hot_rows)))), F.lit(SUB_LEVELS)).cast("int").alias("_lv")))
+    few = _few(hot, HOT_LIST_ROWS + 1)
+    if not few:
         return u.withColumn(bucket_col, F.col(bucket_col) * F.lit(1 << SUB_LEVELS))
+    small = len(few) <= HOT_LIST_ROWS
+    hot = F.broadcast(u.sparkSession.createDataFrame(few, hot.schema)) if small else _materialize(hot)
     # re-keyed where the rows lie, so the rows are shuffled once, by the new key
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate([*part, bucket_col])])
-    j = u.join(F.broadcast(hot) if n_hot <= HOT_LIST_ROWS else hot, on, "left").drop(*[f"_h{i}" for i in range(len(part) + 1)])
+    j = u.join(hot, on, "left").drop(*[f"_h{i}" for i in range(len(part) + 1)])
     within = F.col(time_col) - F.col(bucket_col) * F.lit(bucket_us)          # [0, bucket_us)
     sub = F.when(F.col("_lv").isNull(), F.lit(0).cast("long")).otherwise(
         F.floor(within * F.pow(F.lit(2.0), F.col("_lv")) / F.lit(float(bucket_us))).cast("long")
@@ -68,6 +74,11 @@ def split_hot_buckets(u: DataFrame, part: list[str], bucket_us: int, hot_rows: i
     return j.withColumn(bucket_col, F.col(bucket_col) * F.lit(1 << SUB_LEVELS) + sub).drop("_lv")
 
 
+def _few(df: DataFrame, n: int) -> list:
+    """At most ``n`` rows, on the driver."""
+    return df.limit(n).collect()
+
+
 def _materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared ``spark.checkpoint.dir``."""
     from stayframe.session import ensure_checkpoint_dir
@@ -117,12 +128,13 @@ def asof_latest(anchors: DataFrame, events: DataFrame, *, key: list[str], anchor
         F.lit(1).alias("_k"),
         F.struct(*[F.col(c) for c in anchor_id], an_t.alias("t"), lo.alias("lo")).alias("_a"),
     )
+    bucket = F.floor(F.col("_t") / F.lit(bucket_us)).cast("long").alias("_b")
+    bound = ev.select(*key, bucket).unionByName(an.select(*key, bucket))   # no features: every anchor once
     if feat:
         an = an.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-    u = ev.unionByName(an, allowMissingColumns=True)
-    u = u.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)).cast("long"))
+    u = ev.unionByName(an, allowMissingColumns=True).select("*", bucket)
     if hot_rows:
-        u = split_hot_buckets(u, part, bucket_us, hot_rows)
+        u = split_hot_buckets(u, part, bucket_us, hot_rows, bound=bound)
     u = u.repartition(*part, "_b")
 
     # (2)+(3a) one window pass per (key, feature, bucket): the latest event up

@@ -119,8 +119,8 @@ def _rows_of(batch: pa.RecordBatch, folds: int) -> Iterator[Rows]:
                    np.frombuffer(part.as_buffer(), np.int8).reshape(n, folds), np.frombuffer(key.as_buffer(), np.int64))
 
 
-def summed(blocks: Blocks, each: Callable[[Rows], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all blocks of ``each(rows)``, flat arrays of ``size`` doubles."""
+def summed(blocks: Blocks, each: Callable[[Rows], np.ndarray], size: int, merge: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray:
+    """The sum over all blocks of ``each(rows)``, flat arrays of ``size`` doubles (or what ``merge`` makes of two of them, from zeros on)."""
     folds = blocks.folds
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def summed(blocks: Blocks, each: Callable[[Rows], np.ndarray], size: int) -> np.
         total, some = np.zeros(size), False
         for b in source:
             for rows in _rows_of(b, folds):
-                total += each(rows)
+                total = merge(total, each(rows))
                 some = True
         if some:
             yield _sum_row(TaskContext.get().partitionId(), total)
@@ -138,7 +138,7 @@ def summed(blocks: Blocks, each: Callable[[Rows], np.ndarray], size: int) -> np.
         group = group.sort_by("place")
         total = np.zeros(size)
         for s in group.column("sum"):
-            total += np.frombuffer(s.as_buffer(), np.float64)
+            total = merge(total, np.frombuffer(s.as_buffer(), np.float64))
         return pa.Table.from_batches([_sum_row(group.column("place")[0].as_py() // FAN, total)])
 
     schema = "place bigint, sum binary"
@@ -149,7 +149,7 @@ def summed(blocks: Blocks, each: Callable[[Rows], np.ndarray], size: int) -> np.
         tasks = -(-tasks // FAN)
     total = np.zeros(size)
     for r in sorted(out.collect()):
-        total += np.frombuffer(r["sum"], np.float64)
+        total = merge(total, np.frombuffer(r["sum"], np.float64))
     return total
 
 

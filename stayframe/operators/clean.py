@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,15 +56,20 @@ def drop_empty_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.drop(*empty), empty
 
 
-def range_filter(df: DataFrame, ranges: dict[str, tuple[float, float]], keep_null: bool = False) -> DataFrame:
-    """P17 (``keep_null=False``) / P18: keep ``lo < x < hi`` (strict) for each
-    listed column that exists; NULL is kept only in the null-tolerant form."""
-    conds = []
+def in_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]], keep_null: bool = False) -> Column:
+    """Whether ``lo < x < hi`` (strict) for each listed column that exists (or, ``keep_null``, NULL)."""
+    conds = [F.lit(True)]
     for c, (lo, hi) in ranges.items():
         if c in df.columns:
             inside = (F.col(c) > lo) & (F.col(c) < hi)
             conds.append((inside | F.col(c).isNull()) if keep_null else F.coalesce(inside, F.lit(False)))
-    return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
+    return reduce(lambda a, b: a & b, conds)
+
+
+def range_filter(df: DataFrame, ranges: dict[str, tuple[float, float]], keep_null: bool = False) -> DataFrame:
+    """P17 (``keep_null=False``) / P18: keep ``lo < x < hi`` (strict) for each
+    listed column that exists; NULL is kept only in the null-tolerant form."""
+    return df.where(in_ranges(df, ranges, keep_null))
 
 
 def one_sided_filter(df: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:

@@ -25,6 +25,10 @@ def item_filter(events: DataFrame, item_col: str, items, value_col: str) -> Data
     return events.where(cond & F.col(value_col).isNotNull())
 
 
+#: Buckets over which an interval is repeated without a look at the points.
+LONG_SPAN = 400
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, point_time: str,
                   start: str, end: str, bucket_us: int = DAY_US, how: str = "inner") -> DataFrame:
     """J01/J06 shape: ``points.key == intervals.key and start <= time <= end``.
@@ -32,18 +36,24 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, point_time:
     Both sides get a time-bucket column; each interval is repeated once per
     bucket it overlaps, so the equi-join key is (key, bucket) and a point meets
     only the intervals that overlap its own bucket. A subject with a long
-    history is spread over many (key, bucket) groups instead of one. An
-    interval is repeated only over the span of its key's points, so an
-    open-ended one costs no more than the points it can meet.
+    history is spread over many (key, bucket) groups instead of one (a group that is
+    still large is split by AQE's skew join, on the side of its points). Where some interval
+    spans more than ``LONG_SPAN`` buckets, intervals are repeated only over the span of their
+    key's points, found by one more scan of these, so an open-ended one costs no
+    more than the points it can meet.
     """
     if how not in ("inner", "left"):
         raise ValueError("interval_join takes how='inner' or 'left'")
     b_pt = F.floor(epoch_us(point_time) / F.lit(bucket_us)).cast("long")
     b_lo = F.floor(epoch_us(start) / F.lit(bucket_us)).cast("long")
     b_hi = F.floor(epoch_us(end) / F.lit(bucket_us)).cast("long")
-    reach = points.groupBy(F.col(key).alias("_pk")).agg(F.min(b_pt).alias("_p_lo"), F.max(b_pt).alias("_p_hi"))
-    iv = intervals.join(reach, F.col(key) == F.col("_pk")).withColumn("_lo", F.greatest(b_lo, "_p_lo")).withColumn("_hi", F.least(b_hi, "_p_hi"))
-    iv = iv.where("_lo <= _hi").withColumn("_b", F.explode(F.sequence("_lo", "_hi"))).drop("_pk", "_p_lo", "_p_hi", "_lo", "_hi")
+    if (intervals.agg(F.max(b_hi - b_lo)).first()[0] or 0) > LONG_SPAN:
+        reach = points.groupBy(F.col(key).alias("_pk")).agg(F.min(b_pt).alias("_p_lo"), F.max(b_pt).alias("_p_hi"))
+        iv = intervals.join(reach, F.col(key) == F.col("_pk")).withColumn("_lo", F.greatest(b_lo, "_p_lo")).withColumn("_hi", F.least(b_hi, "_p_hi"))
+        iv = iv.drop("_pk", "_p_lo", "_p_hi")
+    else:
+        iv = intervals.withColumn("_lo", b_lo).withColumn("_hi", b_hi)
+    iv = iv.where("_lo <= _hi").withColumn("_b", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
     pt = points.withColumn("_b", b_pt)
     cond = [pt[key] == iv[key], pt["_b"] == iv["_b"],
             pt[point_time] >= iv[start], pt[point_time] <= iv[end]]

@@ -6,7 +6,9 @@ as plain column arithmetic; the rows stay on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,6 +78,27 @@ def standardize_shared(df: DataFrame, cols: list[str], fit_on: DataFrame | None
     return apply_standard(df, {c: (m, s) for c in cols})
 
 
+def fit_together(df: DataFrame, categories: list[str], scaled: list[str], shared: list[str], inside: Column) -> tuple[dict[str, list], dict[str, tuple[float, float]]]:
+    """E01, E02 and E03 in one pass: the categories' values (of all rows), and mean and population std of each scaled column
+    and of all shared ones together (of the rows ``inside``)."""
+    part = [F.when(inside, F.col(c).cast("double")) for c in [*scaled, *shared]]
+    aggs = [f(x).alias(f"{n}{i}") for i, x in enumerate(part) for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))]
+    aggs += [F.sort_array(F.collect_set(c)).alias(f"v{i}") for i, c in enumerate(categories)]
+    if not aggs:
+        return {}, {}
+    row = df.agg(*aggs).first()
+    stats = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(scaled)}
+    own = [(row[f"n{i}"], row[f"m{i}"], row[f"s{i}"]) for i in range(len(scaled), len(part)) if row[f"n{i}"]]
+    if own:
+        n = sum(k for k, _, _ in own)
+        mean = sum(k * m for k, m, _ in own) / n
+        std = math.sqrt(sum(k * (s * s + (m - mean) ** 2) for k, m, s in own) / n)
+        stats.update({c: (mean, std) for c in shared})
+    else:
+        stats.update({c: (None, None) for c in shared})
+    return {c: list(row[f"v{i}"]) for i, c in enumerate(categories)}, stats
+
+
 def mean_range_normalize(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(x - mean) / (max - min)``."""
     row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],

@@ -78,10 +78,10 @@ class Lookback:
         p = points.join(self.carry, [*self.part, "_b"], "left")
         off = F.coalesce("_off", F.lit(0))
         own = F.when(F.col("_last").isNotNull(), F.struct(F.col("_last.t").alias("t"), (off + F.col("_last.before")).alias("before")))
-        p = p.select(*self.part, "_a", "_k", (off + F.col("_n")).alias("n"), (F.coalesce("_offs", F.lit(0.0)) + F.col("_s")).alias("s"), F.greatest(own, F.col("_carry")).alias("last"))
+        p = p.select(*self.part, "_a", "_k", (off + F.col("_n")).alias("_pn"), (F.coalesce("_offs", F.lit(0.0)) + F.col("_s")).alias("_ps"), F.greatest(own, F.col("_carry")).alias("_pl"))
         at = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
-        g = p.groupBy(*self.part, "_a").agg(F.coalesce(at(0, "n"), F.lit(0)).alias("first"), F.coalesce(at(0, "s"), F.lit(0.0)).alias("_fs"),
-                                            at(2, "n").alias("last"), at(2, "s").alias("_ls"), at(2, "last").alias("_latest"))
+        g = p.groupBy(*self.part, "_a").agg(F.coalesce(at(0, "_pn"), F.lit(0)).alias("first"), F.coalesce(at(0, "_ps"), F.lit(0.0)).alias("_fs"),
+                                            at(2, "_pn").alias("last"), at(2, "_ps").alias("_ls"), at(2, "_pl").alias("_latest"))
         g = g.withColumn("last", F.greatest("first", F.when(F.col("_a.t").isNotNull(), F.col("last")).otherwise(0)))
         some = F.col("last") > F.col("first")
         return g.select(*[F.col(f"_a.{c}").alias(c) for c in self.anchor_id], *[c for c in self.part if c not in self.anchor_id], F.col("_a.t").alias("_at"), "first", "last",

@@ -56,6 +56,8 @@ class _Plain:
 def boosted_trees(step: float = 0.1, depth: int = 3, min_child_weight: float = 1, max_iter: int = 20, features="features"):
     """Softmax gradient boosting, one tree per class and round; any positive step, children of at least ``min_child_weight``
     hessian. M07: with ``features`` a list of columns, whose nulls are missing values of learned direction."""
+    if step <= 0 or min_child_weight < 0:
+        raise ValueError(f"step {step}, min_child_weight {min_child_weight}: a positive step and no negative weight")
     return _Plain(BT.BoostedTrees(BT.Point(step, depth, min_child_weight), max_iter, features=features))
 
 

@@ -9,6 +9,7 @@ numeric column set.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +129,29 @@ def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     return df.agg(f(F.col(col)).alias("n_distinct"))
 
 
+#: A column with about so many distinct values, or fewer, is counted as one set per task.
+SET_VALUES = 10_000
+
+
+def distinct_counts(df: DataFrame, cols: list[str], about: dict[str, int]) -> dict[str, int]:
+    """Exact numbers of distinct non-NULL values of many columns, given estimates (``approx_count_distinct``). No row is
+    copied per column: columns of few values are sets, all in one aggregation; each of the others is a plain
+    distinct of that column alone (its scan reads nothing else), all in one job."""
+    kinds = dict(df.dtypes)
+    value = lambda c: F.col(c) + F.lit(0).cast(kinds[c]) if kinds[c] in ("float", "double") else F.col(c)  # noqa: E731  (-0.0 is 0.0)
+    few = [c for c in cols if about[c] <= SET_VALUES]
+    out = {}
+    if few:
+        row = df.agg(*[F.size(F.collect_set(value(c))).alias(str(i)) for i, c in enumerate(few)]).first()
+        out = {c: row[i] for i, c in enumerate(few)}
+    many = [c for c in cols if c not in out]
+    if many:
+        counts = [df.select(value(c).alias("v")).where("v is not null").groupBy("v").agg(F.lit(i).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")) for i, c in enumerate(many)]
+        out.update({c: 0 for c in many})
+        out.update({many[r["i"]]: r["n"] for r in reduce(lambda a, b: a.unionByName(b), counts).collect()})
+    return out
+
+
 def numeric_summary(df: DataFrame, cols: list[str], exact_median: bool = True) -> DataFrame:
     """A10: one row per column: median, mean, min, max. The exact median is
     found by distributed bin refinement (``exact_quantiles``); the approximate
@@ -195,9 +219,8 @@ def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False
             exact_median: bool = True) -> DataFrame:
     """One row per column: type, n, missing %, distinct, verdict
     (``empty`` / ``useless`` / ``ok``), numeric stats, and the mode of
-    non-numeric columns. Exact distinct counts of many columns in one
-    aggregate replicate each row once per column in the shuffle;
-    ``approx_distinct=True`` uses HLL sketches instead (no replication). NaN is
+    non-numeric columns. Distinct counts are exact (``distinct_counts``);
+    ``approx_distinct=True`` leaves them at the HLL sketches' estimates. NaN is
     missing."""
     df = nan_to_null(df)
     fields = df.schema.fields
@@ -205,14 +228,19 @@ def profile(df: DataFrame, truncate: bool = False, approx_distinct: bool = False
     aggs = [F.count(F.lit(1)).alias("__n")]
     for f in fields:
         c = f.name
-        nd = F.approx_count_distinct(c) if approx_distinct else F.count_distinct(c)
-        aggs += [F.count(c).alias(f"{c}__nn"), nd.alias(f"{c}__nd")]
+        aggs += [F.count(c).alias(f"{c}__nn"), F.approx_count_distinct(c).alias(f"{c}__nd")]
         if c in numeric:
             aggs += [F.avg(c).alias(f"{c}__mean"),
                      F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
             if not exact_median:
                 aggs.append(F.percentile_approx(c, 0.5).cast("double").alias(f"{c}__med"))
     one = df.agg(*aggs)
+    row = one.first()
+    one = df.sparkSession.createDataFrame([row], one.schema)
+    if not approx_distinct:
+        names = [f.name for f in fields]
+        exact = distinct_counts(df, names, {c: row[f"{c}__nd"] for c in names})
+        one = one.withColumns({f"{c}__nd": F.lit(exact[c]).cast("long") for c in names})
     meds = exact_quantiles(df, numeric) if (numeric and exact_median) else {}
     modes = _modes(df, [f.name for f in fields if f.name not in numeric])
     rows = []

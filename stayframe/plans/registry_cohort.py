@@ -19,6 +19,7 @@ from stayframe.operators import lookback as LB
 from stayframe.operators import offsets as O
 from stayframe.plans import dataset as D
 from stayframe.session import stage_path
+from stayframe.sources import infer as IN
 from stayframe.sources import standins as S
 from stayframe.sources import tables as IO
 
@@ -143,6 +144,25 @@ def s03_csv_scan(spark, d):
     return IO.read_csv(spark, path, "event_id long, user_id long, event_type string, value double")
 
 
+def _mixed_csv(spark, d):
+    """A CSV of text in which one column holds some words among its numbers, another is empty."""
+    path = stage_path(spark, f"s03_mixed_csv_{_tag(d)}")
+    e = _t(spark, d, "events")
+    IO.write_table(e.select("event_id", "user_id", "event_type", "value", "ts", F.to_date("ts").alias("day"), (F.col("value") > 100).alias("high"),
+                            F.when(F.col("event_id") % 50 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("mixed"),
+                            F.lit(None).cast("string").alias("nothing")), path, fmt="csv")
+    return IN.read_undeclared_csv(spark, path, max_bad=0.05)
+
+
+def s03b_undeclared_types(spark, d):
+    return _mixed_csv(spark, d)[1]
+
+
+def s03c_undeclared_rows(spark, d):
+    rows = _mixed_csv(spark, d)[0]
+    return rows.select("event_id", "user_id", "event_type", "value", "day", "high", "mixed", F.array_join("_bad", ",").alias("bad"))
+
+
 def s04_table_sink(spark, d):
     path = stage_path(spark, f"s04_lineitem_{_tag(d)}")
     IO.write_table(_t(spark, d, "lineitem"), path, partition_by=["l_returnflag"])
@@ -434,6 +454,12 @@ SQL = {
     "s01_table_scan": "SELECT event_id, user_id, event_type, value, ts FROM events",
     "s02_namespace": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "s03_csv_scan": "SELECT event_id, user_id, event_type, value FROM events",
+    "s03b_undeclared_types": " UNION ALL ".join(f"SELECT '{c}' AS column, '{t}' AS type, count({x}) AS n, {b} AS n_bad FROM events" for c, t, x, b in [
+        ("event_id", "bigint", "event_id", 0), ("user_id", "bigint", "user_id", 0), ("event_type", "string", "event_type", 0), ("value", "double", "value", 0),
+        ("ts", "timestamp_ntz", "ts", 0), ("day", "date", "ts", 0), ("high", "boolean", "value", 0),
+        ("mixed", "double", "CASE WHEN event_id % 50 = 0 THEN 0 ELSE value END", "count(*) FILTER (event_id % 50 = 0)"), ("nothing", "string", "NULL", 0)]),
+    "s03c_undeclared_rows": """SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS day, value > 100 AS high,
+        CASE WHEN event_id % 50 <> 0 THEN value END AS mixed, CASE WHEN event_id % 50 = 0 THEN 'mixed' ELSE '' END AS bad FROM events""",
     "s04_table_sink": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
     "s05_feature_spec": """SELECT CASE WHEN event_type IN ('click','view') THEN 'browse' ELSE event_type END AS feature,
         event_type AS itemid, count(*) AS n, round(sum(value), 6) AS total FROM events

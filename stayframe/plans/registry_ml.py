@@ -14,6 +14,7 @@ from stayframe import presets as P
 from stayframe.operators import encode as EN
 from stayframe.operators import model as M
 from stayframe.operators import split as SP
+from stayframe.operators import wide_pca as WP
 from stayframe.session import ensure_checkpoint_dir
 from stayframe.sources import tables as IO
 
@@ -84,6 +85,12 @@ def e10_pca(spark, d):
     return EN.pca_table(df, ["l_quantity", "l_extendedprice"]).select("component", F.round("explained_variance", 6).alias("explained_variance"))
 
 
+def e10b_pca_wide(spark, d):
+    """The same by randomised range finding, which needs no covariance matrix."""
+    df = EN.standardize(IO.read_table(spark, "lineitem", d).select("l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
+    return WP.wide_pca_table(df, ["l_quantity", "l_extendedprice"], 2).select("component", F.round("explained_variance", 6).alias("explained_variance"))
+
+
 #: Model checks: name -> (estimator of the feature columns, whether NULLs are kept).
 ESTIMATORS = {
     "m01_linear_svm_ovr": (lambda cols: M.linear_svm(1e-4, max_iter=20), False),
@@ -245,4 +252,6 @@ SQL = {
         round((l_discount - m3) / s3, 6) AS f2, round((l_tax - m4) / s4, 6) AS f3 FROM lineitem, s""",
 }
 
+SQL["e10b_pca_wide"] = SQL["e10_pca"]
+
 CHECKS = {k: (fn, SQL.get(k)) for k, fn in QUERIES.items()}

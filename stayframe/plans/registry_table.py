@@ -13,6 +13,7 @@ from stayframe.operators.cohort import codes_text
 from stayframe.operators import encode as EN
 from stayframe.operators import metrics as K
 from stayframe.operators import profile as PR
+from stayframe.operators import resample as RS
 from stayframe.operators import split as SP
 from stayframe.sources import standins as S
 from stayframe.sources import tables as IO
@@ -48,6 +49,9 @@ def _labelled(spark, d):
     return li.select(*LI_KEY, label.alias("label"), pred.alias("prediction"))
 
 
+SPREAD_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 PRED = """p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label,
   CASE WHEN l_discount < 0.03 THEN 0 WHEN l_discount < 0.07 THEN 1 ELSE 2 END AS prediction FROM lineitem),
 cm AS (SELECT CAST(g.i AS INTEGER) AS label, CAST(g.j AS INTEGER) AS prediction, count(p.label) AS count
@@ -334,6 +338,16 @@ def k06_classification_report(spark, d):
     return r.select("class", *[R6(F.col(c)).alias(c) for c in ("precision", "recall", "f_score")], "support")
 
 
+def k08_metric_spread(spark, d):
+    """Mean and deviation of the metrics of two predictions over 200 resampled tables."""
+    li = _t(spark, d, "lineitem")
+    other = F.when(F.col("l_quantity") < 17, 0).when(F.col("l_quantity") < 34, 1).otherwise(2)
+    df = li.select(*SPREAD_KEY, F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("label"),
+                   F.when(F.col("l_discount") < 0.03, 0).when(F.col("l_discount") < 0.07, 1).otherwise(2).alias("p1"), other.alias("p2"))
+    out = RS.metric_spread(df, SPREAD_KEY, replicates=200, seed=42, predictions={"by_discount": "p1", "by_quantity": "p2"})
+    return out.select("model", "metric", R6(F.col("mean")).alias("mean"), R6(F.col("std")).alias("std"))
+
+
 def k07_random_baseline(spark, d):
     b = K.random_baseline(_labelled(spark, d))
     return b.select(*[R6(F.col(c)).alias(c) for c in b.columns])
@@ -491,6 +505,17 @@ SQL = {
     "t04_kfold": "WITH " + _strata_sql(44) + " SELECT event_id, event_type, CAST((rk - 1) % 3 AS INTEGER) AS fold FROM r",
     "t05_split_balance": "WITH t AS (" + T01 + ") SELECT split, event_type, count(*) AS count FROM t GROUP BY ALL",
     "u01_union_splits": "WITH t AS (" + T01 + ") SELECT event_id, split FROM t WHERE split IN ('hyperopt', 'compare')",
+    "k08_metric_spread": """WITH p AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y,
+          CASE WHEN l_discount < 0.03 THEN 0 WHEN l_discount < 0.07 THEN 1 ELSE 2 END AS p1,
+          CASE WHEN l_quantity < 17 THEN 0 WHEN l_quantity < 34 THEN 1 ELSE 2 END AS p2 FROM lineitem),
+        h AS (SELECT y, p1, p2, g, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, '42', g)) AS h FROM p, range(25) r(g)),
+        u AS (SELECT y, p1, p2, 8 * g + j AS replicate, substr(h, CAST(4 * j + 1 AS BIGINT), 4) AS u FROM h, range(8) q(j)),
+        w AS (SELECT replicate, y, p1, p2, sum(""" + " + ".join(f"CAST(u >= '{s}' AS BIGINT)" for s in RS.STEPS) + """) AS w FROM u GROUP BY ALL),
+        c AS (SELECT 'by_discount' AS model, replicate, y, p1 AS p, w FROM w UNION ALL SELECT 'by_quantity', replicate, y, p2, w FROM w),
+        m AS (SELECT model, replicate, sum(w) FILTER (y = p) / sum(w) AS accuracy, sum(w) FILTER (y = 0 AND p = 0) / sum(w) FILTER (y = 0) AS sensitivity_increase,
+          sum(w) FILTER (y <> 1 AND p <> 1) / sum(w) FILTER (y <> 1) AS specificity_decrease FROM c GROUP BY ALL),
+        l AS (UNPIVOT m ON accuracy, sensitivity_increase, specificity_decrease INTO NAME metric VALUE v)
+        SELECT model, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM l GROUP BY ALL""",
     "k01_confusion_matrix": f"WITH {PRED} SELECT label, prediction, count FROM cm",
     "k02_accuracy": f"""WITH {PRED} SELECT round(sum(CASE WHEN label = prediction THEN count ELSE 0 END) / sum(count), 6)
         AS accuracy, CAST(sum(count) AS BIGINT) AS n FROM cm""",

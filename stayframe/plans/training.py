@@ -16,6 +16,7 @@ from stayframe.operators import clean as CL
 from stayframe.operators import encode as EN
 from stayframe.operators import model as M
 from stayframe.operators import split as SP
+from stayframe.session import ensure_checkpoint_dir
 
 ROW_KEY = "row_key"
 
@@ -49,18 +50,20 @@ def prepare_dense(df: DataFrame, max_missing: float = P.MAX_MISSING, fit_on_spli
     dropped, numerics standardised one by one and delays with one shared
     scaler: fitted on all rows, as in the study, or (``fit_on_split``, Q12) on
     the training part of the split, whose column ``split`` is then added."""
-    df = drop_ids(add_row_key(CL.nan_to_null(df)))
-    df, _ = CL.drop_sparse_columns(df, max_missing)
-    df = CL.drop_null_rows(df)
-    df = recode_categories(df)
-    df = EN.dummies(df, [c for c in P.DUMMY_COLUMNS if c in df.columns])
-    df = CL.range_filter(df, P.FEATURE_RANGES)
-    fit = None
+    df = CL.nan_to_null(df)
+    _, sparse = CL.drop_sparse_columns(drop_ids(df), max_missing)
+    df = recode_categories(CL.drop_null_rows(drop_ids(add_row_key(df)).drop(*sparse)))
+    categories, scaled, delays = ([c for c in cols if c in df.columns] for cols in (P.DUMMY_COLUMNS, P.NUMERIC_SCALED, [c for c in df.columns if "_delay" in c]))
     if fit_on_split:
+        df = CL.range_filter(EN.dummies(df, categories), P.FEATURE_RANGES)
         df = SP.stratified_split(df, "label", [ROW_KEY], seed=seed)
         fit = df.where(F.col("split") == "hyperopt")
-    df = EN.standardize(df, [c for c in P.NUMERIC_SCALED if c in df.columns], fit)
-    return EN.standardize_shared(df, [c for c in df.columns if "_delay" in c], fit)
+        return EN.standardize_shared(EN.standardize(df, scaled, fit), delays, fit)
+    # recoded once; the values and all moments come from one pass over that
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    values, stats = EN.fit_together(df, categories, scaled, delays, CL.in_ranges(df, P.FEATURE_RANGES))
+    return EN.apply_standard(CL.range_filter(EN.dummies(df, categories, values), P.FEATURE_RANGES), stats)
 
 
 def prepare_with_nulls(df: DataFrame) -> DataFrame:
@@ -97,7 +100,6 @@ def run_study(data: DataFrame, registry: dict[str, M.Spec], metric: str = "accur
     score compare) and generalisation table (fit hyperopt+compare, score
     test). Returns (grid table, compare, generalisation)."""
     spark = data.sparkSession
-    from stayframe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     data = data.checkpoint()
     hyper = data.where(F.col("split") == "hyperopt")

@@ -11,10 +11,8 @@ from pyspark.sql import SparkSession
 
 ARCHIVE = "stayframe-src.zip"
 
-#: Python workers live on between tasks. They give large freed arrays back to the system at once, hold few heaps, and
-#: leave the cores to Spark's tasks, so what one stage needed does not add to the next one's memory.
-WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2",
-                      "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+#: Python workers live on between tasks: few heaps, Arrow's memory from the same ones, and the cores left to Spark's tasks.
+WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",

@@ -89,12 +89,14 @@ def test_inclusion_counts_and_order(spark):
 
 
 def test_values_a_model_cannot_take(spark):
-    with pytest.raises(ValueError):
-        M.boosted_trees(3.0)
-    registry = M.default_registry(4)
-    sizes = {k: (len(s.all_points()), len(s.points())) for k, s in registry.items()}
-    assert sizes == {"linear_SVM": (11, 11), "logreg": (11, 11), "logreg_elasticnet": (28, 28), "boosted_trees": (140, 60),
-                     "perceptron_1hl": (4, 4), "perceptron_2hl": (9, 9), "adaboost_forest": (2, 2)}
+    for step, weight in ((0.0, 1), (-1.0, 1), (0.1, -1)):
+        with pytest.raises(ValueError):
+            M.boosted_trees(step, min_child_weight=weight)
+    # every point of every grid can be fitted, rates above 1 and fractional child weights among them
+    registry = {**M.default_registry(4), **M.missing_registry(["a"])}
+    assert {k: len(s.points()) for k, s in registry.items()} == {
+        "linear_SVM": 11, "logreg": 11, "logreg_elasticnet": 28, "boosted_trees": 140, "perceptron_1hl": 16, "perceptron_2hl": 36, "adaboost_forest": 2,
+        "boosted_trees_missing": 140}
 
 
 @pytest.mark.parametrize("form", ["probability", "discrete"])
