@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
+import functools
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from stayframe.session import stage_path
+from stayframe.session import ensure_package, stage_path
 
-ARCHIVE = "stayframe-src.zip"
+__all__ = ["ensure_package", "new_path", "released", "staged"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,14 +27,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_package(spark: SparkSession) -> None:
-    """Let the executors' Python import this package: its sources are sent along once per application."""
-    context = spark.sparkContext
-    if any(os.path.basename(f) == ARCHIVE for f in context.listFiles):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(prefix="stayframe-src-"), ARCHIVE)
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(archive)
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose task gives its freed memory back to the system at its end: workers live on, and what one stage
+    needed would else add to the next one's."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return task

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import released, staged
 from ._vectors import finite_rows, safe, scaled
 
 #: Vectors of one step of the tournament, which bounds its work arrays.
@@ -137,7 +137,7 @@ def _moved(base: DataFrame, centroids: list[list[int]], dim: int, scale: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, dim).astype(np.int32)), pa.array(place), pa.array(np.repeat(count[some], dim)),
                                           pa.array([Decimal(int(v)) for v in total[some].ravel()], pa.decimal128(38, 0))], names=["cluster", "place", "n", "s"])
 
-    sums = base.select("vector").mapInArrow(run, "cluster int, place int, n bigint, s decimal(38,0)").groupBy("cluster", "place").agg(
+    sums = base.select("vector").mapInArrow(released(run), "cluster int, place int, n bigint, s decimal(38,0)").groupBy("cluster", "place").agg(
         F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s"))
     out = [list(c) for c in centroids]
     for r in sums.collect():  # k x dim rows
@@ -162,7 +162,7 @@ def _assigned(base: DataFrame, centroids: list[list[int]], dim: int, scale: int)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(distance.astype(np.int64))],
                                              names=["id", "cluster", "distance"])
 
-    out = staged(base.select("id", "vector").mapInArrow(run, schema), "clusters")
+    out = staged(base.select("id", "vector").mapInArrow(released(run), schema), "clusters")
     shared.destroy()
     return out
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import released, staged
 from ._text import LOWER_BYTE, byte_words, slices, utf8
 
 #: Windows are taken in blocks of about so many bytes; after so many blocks the documents' state is written.
@@ -61,7 +61,7 @@ def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_co
                                                       pa.array(list(found.values()), pa.binary())], names=["item", "win", "hashes"])
 
     return items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("_text")).filter("item IS NOT NULL") \
-        .mapInArrow(run, _WINDOWS).dropDuplicates(["item", "win"])
+        .mapInArrow(released(run), _WINDOWS).dropDuplicates(["item", "win"])
 
 
 def _counted(docs: DataFrame, text_col: str, vocabulary) -> np.ndarray:
@@ -80,7 +80,7 @@ def _counted(docs: DataFrame, text_col: str, vocabulary) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["k", "n"])
 
     counts = np.zeros(len(vocabulary.value), np.int64)
-    total = docs.select(text_col).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    total = docs.select(text_col).mapInArrow(released(run), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
     for k, n in total.toLocalIterator():  # at most one row for each word of the block
         counts[k] = n
     return counts
@@ -167,7 +167,7 @@ def _blocks(docs: DataFrame, items: DataFrame, window: int, text_col: str, item_
     size = windows.agg(F.sum(F.length("win") + F.length("hashes") + F.length("item"))).first()[0]
     n = -(-(size or 0) // BLOCK_BYTES)
     for k in range(n):
-        part = windows.filter(F.pmod(F.xxhash64("win"), F.lit(n)) == k)
+        part = windows.filter(F.pmod(F.xxhash64("win", "item"), F.lit(n)) == k)  # a passage of many items is dealt too
         rows = [tuple(r) for r in part.toLocalIterator()]
         if not rows:
             continue
@@ -188,13 +188,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     state = state.select("_id", "n_words", "spans", "items", "_text")
     for block in _blocks(docs, items, window, text_col, item_text, item_id):
         if held is not None:
-            state, blocks = state.mapInArrow(_through(held), schema), blocks + 1
+            state, blocks = state.mapInArrow(released(_through(held)), schema), blocks + 1
             state = staged(state, "decontaminate") if blocks % BLOCKS_A_STAGE == 0 else state
         held = block
     if held is None:
         state = state.withColumn("n_words", F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("bigint"))
     else:  # behind the last block the texts are not needed
-        state = state.mapInArrow(_through(held, last=True), f"_id {kind}, {_STATE}")
+        state = state.mapInArrow(released(_through(held, last=True)), f"_id {kind}, {_STATE}")
     return state.select(F.col("_id").alias(id_col), "n_words", "spans", "items")
 
 
@@ -235,7 +235,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
     for block in _blocks(docs, items, window, text_col, item_text, item_id):
         if blocks and blocks % BLOCKS_A_STAGE == 0:
             out = staged(out, "decontaminate")
-        out, blocks = out.mapInArrow(_clean(block, docs.columns.index(text_col)), docs.schema), blocks + 1
+        out, blocks = out.mapInArrow(released(_clean(block, docs.columns.index(text_col))), docs.schema), blocks + 1
     return out
 
 

@@ -1,14 +1,16 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
 Only vectors with the same (not null) label are compared. Equal vectors of a label are one
-class with a count. For each label and tree, random directions (one per level) and medians of
+class with a count. For each label and tree, random directions (one per level) and cuts of
 their projections, fitted on a bounded sample of at most ``SAMPLE`` vectors, split the vectors
-again and again until a leaf holds about ``LEAF`` of them; a vector within ``SPILL`` (a share of
-the node) or ``margin(least)`` (a distance, whichever is more) of a split goes to both sides. The
-projections of a linked pair differ by a normal number of deviation ``sqrt(2 - 2 * least)`` at most,
-so whatever the data, a random direction parts at most 4.6 % of the linked pairs (those beyond
-``REACH`` deviations), and the trees are independent. A node that no split of ``TRIES`` makes much
-smaller (its vectors are nearly as near each other as linked ones: a dense group) is not split
+again and again until a leaf holds about ``LEAF`` of them; a vector within ``margin(least)`` of a
+cut goes to both sides. The projections of a linked pair differ by a normal number of deviation
+``sqrt(2 - 2 * least)`` at most, so the share of such pairs that a cut parts follows from the share of the
+node's vectors within its margin; of ``CUTS`` places the one with the fewest is taken. Trees are independent,
+so a pair is missed only where every tree parts it: each label gets as many trees as bring the expected
+share of found pairs, those just at ``least`` (nearer ones are parted less), to ``recall``. A node that
+no split of ``TRIES`` makes much smaller, or whose splits would part more than ``PARTED`` of its linked pairs (its
+vectors are nearly as near each other as linked ones: a dense group), is not split
 further: it stays one leaf. Every class is put in its leaves of all trees (of one, if that is a
 single leaf) and compared exactly, in double precision, with all others of each leaf. A pair is
 counted in the first tree, and there in the first leaf, that has both (a split's overlap puts both
@@ -26,6 +28,7 @@ Repeated rows count as vectors of their own. Empty input: no rows. Extra columns
 from __future__ import annotations
 
 import dataclasses
+import math
 
 import numpy as np
 import pandas as pd
@@ -35,10 +38,14 @@ from pyspark.sql import functions as F
 from ._stage import staged
 from .components import components
 
-TREES, LEAF, SPILL, BLOCK, SAMPLE, NODE_SAMPLE = 5, 700, 0.12, 2048, 100_000, 40
-#: Deviations of a linked pair's difference that a split's overlap spans; the share of a node's comparisons that a split may leave,
-#: and the directions tried for one that leaves less.
-REACH, WORTH, TRIES = 2.0, 0.9, 8
+LEAF, BLOCK, SAMPLE, NODE_SAMPLE = 1000, 2048, 100_000, 40
+#: Bytes of the sample on the driver at most.
+SAMPLE_BYTES = 128 << 20
+#: Expected share of found pairs, and trees at most (a label that would need more is one leaf, cut into blocks).
+RECALL, MOST_TREES = 0.995, 24
+#: Deviations of a linked pair's difference that a split's overlap spans; places tried for a cut; the share of a node's comparisons that a
+#: split may leave, the share of linked pairs that it may part, and the directions tried for one that keeps to both.
+REACH, CUTS, WORTH, PARTED, TRIES = 0.6, 13, 0.9, 0.12, 8
 
 
 def margin(least: float) -> float:
@@ -47,6 +54,13 @@ def margin(least: float) -> float:
     return REACH / 2 * float(np.sqrt(max(0.0, 2 - 2 * least)))
 
 
+def parted(overlap: float) -> float:
+    """Expected share of linked pairs (at the bound) that a cut parts, given the share of vectors in its overlap: a
+    pair is parted if its difference spans the overlap and the cut lies inside what is left."""
+    tail = 0.5 * math.erfc(REACH / math.sqrt(2))
+    return overlap * 2 * (math.exp(-REACH * REACH / 2) / math.sqrt(2 * math.pi) - REACH * tail) / REACH
+
+
 @dataclasses.dataclass
 class Tree:
     """One direction a level; a node's vectors below ``high`` by that of its ``level`` (-1: a leaf) go to ``left``, from ``low`` on to ``right``."""
@@ -57,6 +71,8 @@ class Tree:
     high: np.ndarray
     left: np.ndarray
     right: np.ndarray
+    #: Expected share of linked pairs that stand together in some leaf.
+    recall: float = 1.0
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of unit vectors; a row may stand in several leaves."""
@@ -70,34 +86,42 @@ class Tree:
         return row, node
 
 
-def grow(x: np.ndarray, total: int, rng: np.random.Generator, least: float, leaf: int | None = None, spill: float = SPILL) -> Tree:
+def grow(x: np.ndarray, total: int, rng: np.random.Generator, least: float, leaf: int | None = None) -> Tree:
     """A tree for ``total`` vectors of which ``x`` (unit vectors) is a sample."""
-    leaf = LEAF if leaf is None else leaf
+    leaf, half = LEAF if leaf is None else leaf, margin(least)
     directions, level_of, low, high, left, right = [], [-1], [np.inf], [np.inf], [-1], [-1]
+    kept, held = [1.0], [len(x)]
     enough = max(leaf * len(x) / max(total, 1), 2 * NODE_SAMPLE)
     level = [(0, np.arange(len(x)), 1)] if len(x) > enough else []
     while level:
         d, below = rng.normal(size=x.shape[1]), []
         for node, own, tried in level:
+            p = np.sort(x[own] @ d)
+            cuts = np.quantile(p, np.linspace(0.35, 0.65, CUTS))
+            inside = np.searchsorted(p, cuts + half) - np.searchsorted(p, cuts - half)
+            cut = cuts[np.lexsort((np.abs(np.arange(CUTS) - CUTS // 2), inside))[0]]
             p = x[own] @ d
-            at = rng.uniform(0.45, 0.55)
-            lower, cut, upper = np.quantile(p, [at - spill, at, at + spill])
-            lower, upper = min(lower, cut - margin(least)), max(upper, cut + margin(least))
-            parts = own[p < upper], own[p >= lower]
-            if sum(len(part) ** 2 for part in parts) > WORTH * len(own) ** 2:
+            parts = own[p < cut + half], own[p >= cut - half]
+            loss = parted((len(parts[0]) + len(parts[1]) - len(own)) / len(own))
+            if loss > PARTED or sum(len(part) ** 2 for part in parts) > WORTH * len(own) ** 2:
                 if tried < TRIES:  # else linked pairs stand across any split: left to the exact comparison
                     below.append((node, own, tried + 1))
                 continue
             level_of[node] = len(directions)
-            low[node], high[node], left[node], right[node] = lower, upper, len(left), len(left) + 1
+            low[node], high[node], left[node], right[node] = cut - half, cut + half, len(left), len(left) + 1
             for part in parts:
                 if len(part) > enough:
                     below.append((len(left), part, 1))
+                kept.append(kept[node] * (1 - loss))
+                held.append(len(part))
                 for column, empty in ((low, np.inf), (high, np.inf), (left, -1), (right, -1), (level_of, -1)):
                     column.append(empty)
         directions.append(d)
         level = below
-    return Tree(np.array(directions).reshape(-1, x.shape[1]), np.array(level_of), np.array(low), np.array(high), np.array(left), np.array(right))
+    ends = np.flatnonzero(np.array(level_of) < 0)
+    weight = np.array(held, np.float64)[ends]
+    recall = float((np.array(kept)[ends] * weight).sum() / weight.sum()) if weight.sum() else 1.0
+    return Tree(np.array(directions).reshape(-1, x.shape[1]), np.array(level_of), np.array(low), np.array(high), np.array(left), np.array(right), recall)
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -112,21 +136,33 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _forest(classes: DataFrame, trees: int, seed: int, least: float) -> dict:
+def _trees(x: np.ndarray, total: int, least: float, recall: float, trees: int, seed: list[int]) -> list[Tree]:
+    """At least ``trees`` trees, and as many as the wanted recall takes; one leaf has every pair."""
+    out, missed = [], 1.0
+    while len(out) < trees or missed > 1 - recall:
+        if len(out) == max(trees, MOST_TREES):
+            return [grow(x[:0], 0, np.random.default_rng(0), least)]
+        out.append(grow(x, total, np.random.default_rng([*seed, len(out)]), least))
+        if len(out[-1].left) == 1:
+            return [out[-1]]
+        missed *= 1 - out[-1].recall
+    return out
+
+
+def _forest(classes: DataFrame, trees: int, seed: int, least: float, recall: float) -> dict:
     """Trees by (label, length), from a sample chosen by hash."""
     counts = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).collect()}
     total = sum(counts.values())
     if not total:
         return {}
+    width = max(dim for _, dim in counts)
+    size = max(2 * NODE_SAMPLE, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
     uniform = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = classes.filter(uniform < SAMPLE / total).select("label", "dim", "rep", "vector").toPandas().sort_values("rep")
+    sample = classes.filter(uniform < size / total).select("label", "dim", "rep", "vector").toPandas().sort_values("rep")
     out = {}
     for (label, dim), own in sample.groupby(["label", "dim"]):
         if (label, dim) in counts:
-            x = _unit(own["vector"])
-            own = [grow(x, counts[label, dim], np.random.default_rng([seed, t, int(dim)]), least) for t in range(trees)]
-            whole = [t for t in own if len(t.left) == 1]  # one leaf has every pair
-            out[label, dim] = whole[:1] or own
+            out[label, dim] = _trees(_unit(own["vector"]), counts[label, dim], least, recall, trees, [seed, int(dim)])
     return out
 
 
@@ -221,17 +257,17 @@ def _compared(routed: DataFrame, least: float) -> DataFrame:
     return picked.groupBy(*leaf, "first", "second").applyInPandas(run, "rep bigint, links bigint, root bigint")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, trees: int = TREES, seed: int = 1,
+def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = RECALL, trees: int = 1, seed: int = 1,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per vector: id, n_links (other vectors found with cosine >= ``least``), component_id (smallest id
-    reachable by links) and kept (whether that is its own)."""
+    reachable by links) and kept (whether that is its own). The number of trees follows from ``recall``; ``trees`` is the least."""
     base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
     fits = usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull()
     keyed = base.filter(fits).withColumn("dim", F.size("vector")) \
         .withColumn("k1", F.xxhash64("label", "vector", F.lit(1))).withColumn("k2", F.xxhash64(F.lit(2), "vector", "label"))
     classes = staged(keyed.groupBy("k1", "k2").agg(F.min("id").cast("bigint").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"),
                                                    F.first("dim").alias("dim"), F.first("vector").alias("vector")), "vector-classes")
-    found = staged(_compared(staged(_routed(classes, _forest(classes, trees, seed, least)), "vector-leaves"), least), "vector-links")
+    found = staged(_compared(staged(_routed(classes, _forest(classes, trees, seed, least, recall)), "vector-leaves"), least), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.filter("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
     known = classes.select("k1", "k2", "rep", "n").join(counts, "rep", "left").join(groups, "rep", "left") \

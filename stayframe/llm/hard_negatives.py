@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import released, staged
 from ._vectors import finite_rows, scaled
 
 #: Bytes of one block of anchors as doubles; partial scores of one step; dimensions added between two prunings.
@@ -190,7 +190,7 @@ def _search(rows: DataFrame, block: dict, n: int, scale: int, positive: bool) ->
             yield pa.RecordBatch.from_arrays([pa.array(b["anchor"][best[0]]), pa.array(best[1].astype(np.int32)), pa.array(best[2]),
                                               pa.array(best[3].astype(np.int64)), pa.array(best[4])], names=["anchor", "slot", "id", "score", "self"])
 
-    out = staged(rows.mapInArrow(run, _FOUND), "negatives-found")
+    out = staged(rows.mapInArrow(released(run), _FOUND), "negatives-found")
     shared.destroy()
     return out
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import released
 from ._text import LOWER_BYTE, slices, utf8
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
                     out.append((h, langs[k], w.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.binary())], names=["h", "lang", "w"])
 
-    rows = sorted(map(tuple, picked.select(F.xxhash64("_id").alias("h"), "_text", "_lang").mapInArrow(cut, "h bigint, lang string, w binary").collect()))
+    rows = sorted(map(tuple, picked.select(F.xxhash64("_id").alias("h"), "_text", "_lang").mapInArrow(released(cut), "h bigint, lang string, w binary").collect()))
     x = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8).reshape(len(rows), -1)
     number = {x: k for k, x in enumerate(labels)}
     y = np.array([number[r[1]] for r in rows])
@@ -243,7 +244,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                                               pa.array(np.where(known, score, 0.0))], names=["_id", "lang_pred", "score"])
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return picked.mapInArrow(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(released(run), f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
 def _predict(model: Model, tables: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -302,4 +303,4 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float, text_col:
                 b = b.filter(pa.array(keep))
             yield b
 
-    return docs.filter(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+    return docs.filter(F.col(text_col).rlike(r"\p{L}")).mapInArrow(released(run), docs.schema)

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import released, staged
 from ._text import Rolling, byte_words, mix64, slices, utf8
 from .components import components
 
-BANDS, ROWS, DF_BUCKETS, RARE, LEAST_IDF, SMALL, BLOCK, COLUMNS = 6, 2, 1 << 16, 0.05, 0.05, 16, 256, 8192
+BANDS, ROWS, DF_BUCKETS, RARE, LEAST_IDF, SMALL, BLOCK, COLUMNS, SALTS = 6, 2, 1 << 16, 0.05, 0.05, 16, 256, 8192, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,7 +77,7 @@ def document_frequencies(docs: DataFrame, size: int, text_col: str) -> np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], n))], names=["k", "n"])
 
     df, n = np.ones(DF_BUCKETS), 1
-    for k, count in docs.select(text_col).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n")).collect():
+    for k, count in docs.select(text_col).mapInArrow(released(run), "k bigint, n bigint").groupBy("k").agg(F.sum("n")).collect():
         if k < 0:
             n = max(count, 1)
         else:
@@ -137,8 +137,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int, id_col: str, text_co
                                               pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel()))],
                                              names=["id", "n_words", "k1", "k2", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, "id bigint, n_words bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("_text")).mapInArrow(released(run), "id bigint, n_words bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray, size: int) -> np.ndarray:
@@ -170,7 +169,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(similarities(b.column(2), b.column(3), shared.value, size))], names=["a", "b", "sim"])
 
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return staged(both.mapInArrow(run, "a bigint, b bigint, sim double"), "minhash-tested")
+    return staged(both.mapInArrow(released(run), "a bigint, b bigint, sim double"), "minhash-tested")
 
 
 def _linked_in(row: np.ndarray, h: np.ndarray, w: np.ndarray, apart: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +214,10 @@ def _compared(open_: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, le
     sizes = open_.groupBy("key", "grp").agg(F.count("*").alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "grp")).alias("m"), F.sum("c").alias("all")).select(
         "key", F.col("m.grp").alias("main"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("others"))
-    placed = open_.join(most, "key").withColumn("in_main", F.col("grp") == F.col("main"))
+    # a key may hold many texts: it is dealt with a salt of the text, and its one row of sizes is given to each
+    salted = most.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = open_.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    placed = placed.withColumn("in_main", F.col("grp") == F.col("main"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     task = lambda i, main, j, side: F.struct(i.alias("i"), F.lit(main).alias("main"), j.alias("j"), side.cast("int").alias("side"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -287,6 +289,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each group."""
-    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one document (the smallest id) of each group, all columns as they are, whatever their names. Null
+    ids are one document; rows that share a kept id all stay."""
+    name = "_kept"
+    while name in docs.columns:
+        name += "_"
+    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import released, staged
 from ._text import mix64
 
 BLOCK_WORDS, SLOTS_A_SHARD, SLOTS_A_TASK, GROUP_ROWS, MAX_SOURCES = 128, 4096, 250_000, 10_000, 1_000_000
@@ -127,7 +127,7 @@ def _slots(spark: SparkSession, sources: list[Source], seed: int) -> DataFrame:
                 used = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), shard)), pa.array(used), pa.array(n[used])], names=["shard", "number", "n"])
 
-    counts = spark.range(shards).mapInArrow(draw, "shard bigint, number bigint, n bigint")
+    counts = spark.range(shards).mapInArrow(released(draw), "shard bigint, number bigint, n bigint")
     counts = staged(running_sum(counts, "number", F.expr(f"shard div {GROUP_ROWS}"), ["shard"], "n", "base"), "mix-counts")
     drawn = np.zeros(len(sources), np.int64)
     for k, n in counts.groupBy("number").agg(F.sum("n")).collect():  # one row per source
@@ -156,7 +156,7 @@ def _slots(spark: SparkSession, sources: list[Source], seed: int) -> DataFrame:
                                                  names=["shard", "slot", "number", "epoch", "block"])
 
     dealt = counts.select("shard", "number", "n", "base").repartition(max(1, -(-total // SLOTS_A_TASK)), "shard", "number")
-    return dealt.mapInArrow(fill, "shard bigint, slot bigint, number bigint, epoch bigint, block bigint")
+    return dealt.mapInArrow(released(fill), "shard bigint, slot bigint, number bigint, epoch bigint, block bigint")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 1,
@@ -203,14 +203,16 @@ def _cut(text: str, runs: list[dict], size: int, words: np.ndarray) -> str:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
     """The mix as documents: one row per document and epoch in which words of it were taken, with
-    the columns of ``docs``; the text holds the words taken (all of them: as it was), ``chars_col`` its length."""
+    the columns of ``docs``; the text holds the words taken (all of them: as it was), ``chars_col`` (where there is
+    one) its length. Null and empty texts are in no row. A very long text is cut in the task that holds it, whole."""
     import re
 
     held = staged(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
     plan = mix(held, id_col=id_col, text_col=text_col, source_col=source_col, row=F.col("_mix_row"), **options)
     runs = plan.pieces.groupBy(F.col("_mix_row").alias("_r"), F.col("epoch").alias("_mix_epoch")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_mix_runs"))
     joined = held.join(runs, F.col("_mix_row") == F.col("_r")).drop("_r")
-    at, chars, own = docs.columns.index(text_col), docs.columns.index(chars_col), len(docs.columns)
+    at, own = docs.columns.index(text_col), len(docs.columns)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
     pattern = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 texts.append(_cut(text, taken, len(words), words))
             columns = [b.column(k) for k in range(own)]
             columns[at] = pa.array(texts, b.column(at).type)
-            columns[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(b.column(chars).type)
+            if chars is not None:
+                columns[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(b.column(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:own])
 
-    return joined.select(*docs.columns, "_mix_runs").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, "_mix_runs").mapInArrow(released(run), docs.schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import released
 from ._text import Memo, codepoints, slices, span_hash, utf8
 
 LETTER, NUMBER, OTHER, SPACE, UNSEEN = 1, 2, 3, 4, 0
@@ -385,8 +386,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)],
                                              names=["_id", "n_bytes", "n_tokens", "over_limit"])
 
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, f"_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(released(run), f"_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -406,7 +406,7 @@ def truncate_to_budget(docs: DataFrame, vocabulary: str, budget: int, id_col: st
                 counts.append(int(at[cut]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["_id", "_text", "n_tokens"])
 
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _text string, n_tokens bigint")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(released(run), f"_id {kind}, _text string, n_tokens bigint")
     return out.withColumnsRenamed({"_id": id_col, "_text": text_col})
 
 
@@ -421,5 +421,5 @@ def prefix_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             rows = [own.prefix_counts(t or "").astype(np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["_id", "counts"])
 
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, counts array<int>")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(released(run), f"_id {kind}, counts array<int>")
     return out.withColumnRenamed("_id", id_col)

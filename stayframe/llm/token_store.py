@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._stage import released
 from ._text import Memo, codepoints, slices, span_hash, utf8
 from .token_counts import LETTER, NUMBER, OTHER, SPACE, CharClasses, byte_alphabet, contractions
 
@@ -282,7 +283,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     tie = F.xxhash64("_text")
     ordered = picked.repartitionByRange(F.col("_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("_id").asc_nulls_first(), tie)
     out_type = docs.sparkSession.createDataFrame([], schema).schema
-    ordered.mapInArrow(run, schema).write.mode("errorifexists").option("parquet.block.size", 16 << 20).parquet(path)
+    ordered.mapInArrow(released(run), schema).write.mode("errorifexists").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -326,7 +327,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
                      pa.array(row["doc_ids"], b.schema.field("doc_ids").type.value_type), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                     names=["shard", "block", "_id", "_at", "n_tokens", "ids_crc32"])
 
-    docs = store.mapInArrow(run, schema)
+    docs = store.mapInArrow(released(run), schema)
     return docs.join(block_starts(spark, path), ["shard", "block"]).select(
         F.col("_id").alias(id_col), (F.col("first") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -349,4 +350,4 @@ def read_ids(spark: SparkSession, path: str, wanted: list, id_col: str = "doc_id
                      pa.array([expand(symbols[at[k]:at[k + 1]], rules, row["first_rule"], row["end_id"]).astype(np.int64) for k in hits], pa.list_(pa.int64()))],
                     names=["_id", "ids"])
 
-    return store.mapInArrow(run, f"_id {kind}, ids array<bigint>").withColumnRenamed("_id", id_col)
+    return store.mapInArrow(released(run), f"_id {kind}, ids array<bigint>").withColumnRenamed("_id", id_col)

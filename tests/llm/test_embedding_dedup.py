@@ -1,6 +1,5 @@
 import numpy as np
 
-import __spark_entry__ as E
 from stayframe.llm import embedding_dedup as ed
 from stayframe.llm.components import components
 
@@ -112,12 +111,44 @@ def test_trees_part_no_dense_group_and_count_once_at_depth(spark, monkeypatch):
     assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values())
 
 
-def test_recall_on_the_given_table(spark):
-    sf = "/root/testdata/sf0.001"
-    rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    want = {i: n for i, n, _ in brute(rows, 0.93)}
-    got = {r.vec_id: r.n_links for r in E.queries()["op7_embedding_dedup"](spark, sf).collect()}
-    assert set(got) == set(want) and all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
+def pairs_at(cosine, n, dim, seed):
+    """n scattered vectors and a partner of each at just this cosine."""
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = r.normal(size=base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return np.concatenate([base, cosine * base + np.sqrt(1 - cosine * cosine) * other])
+
+
+def test_recall_of_planted_pairs_at_the_bound(spark):
+    """Production parameters, one label, links that could hardly be weaker."""
+    x = pairs_at(0.931, 4000, 64, 5)
+    rows = [(k, [float(c) for c in v.astype(np.float32)], 1) for k, v in enumerate(x)]
+    got = {r.vec_id: r for r in ed.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert all(r.n_links <= 1 for r in got.values())
+    assert sum(got[k].component_id == k - 4000 for k in range(4000, 8000)) >= 0.985 * 4000
+
+
+def test_expected_recall_and_copies():
+    """Trees keep what they promise, and a vector's copies grow by far less than the table."""
+    copies = []
+    for n in (2500, 20_000):
+        x = pairs_at(0.931, n, 64, n)
+        trees = ed._trees(x, len(x), 0.93, ed.RECALL, 1, [1, 64])
+        found, rows = np.zeros(n, bool), 0
+        for t in trees:
+            row, leaf = t.leaves(x)
+            rows += len(row)
+            seen, many = np.unique((row % n) * 100_000 + leaf, return_counts=True)
+            own = np.zeros(n, bool)
+            own[seen[many == 2] // 100_000] = True
+            assert abs(own.mean() - t.recall) < 0.05
+            found |= own
+        assert found.mean() > 0.99
+        copies.append(rows / len(x))
+    assert copies[0] < 5 and copies[1] < 2.2 * copies[0]
 
 
 def test_components_of_chains_and_stars(spark):

@@ -105,6 +105,13 @@ def test_empty_and_repeated(spark, documents):
     assert sorted(map(tuple, rows)) == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 9, True)]
 
 
+def test_clashing_columns_and_null_ids_of_keep_first(spark, documents):
+    rows = [(5, "a b c d e f"), (3, "A b c d e f"), (None, "z y x w v"), (9, None)]
+    docs = documents(rows).withColumnsRenamed({"lang": "_kept", "source": "kept", "n_chars": "class_id"})
+    out = md.keep_first(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id for r in out.collect()), key=str) == [3, 9, None]
+
+
 def test_every_claimed_oracle_is_sql():
     assert "op9_minhash_dedup" in E.queries() and "op9_minhash_dedup" not in E.oracle_sql()
     assert all(isinstance(sql, str) for sql in E.oracle_sql().values())
