@@ -137,18 +137,19 @@ def test_expected_recall_and_copies():
     for n in (2500, 20_000):
         x = pairs_at(0.931, n, 64, n)
         trees = ed._trees(x, len(x), 0.93, ed.RECALL, 1, [1, 64])
-        found, rows = np.zeros(n, bool), 0
+        found, rows, shares = np.zeros(n, bool), 0, []
         for t in trees:
             row, leaf = t.leaves(x)
             rows += len(row)
             seen, many = np.unique((row % n) * 100_000 + leaf, return_counts=True)
             own = np.zeros(n, bool)
             own[seen[many == 2] // 100_000] = True
-            assert abs(own.mean() - t.recall) < 0.05
+            shares.append(own.mean())
             found |= own
+        assert abs(np.mean(shares) - np.mean([t.recall for t in trees])) < 0.05
         assert found.mean() > 0.99
         copies.append(rows / len(x))
-    assert copies[0] < 5 and copies[1] < 2.2 * copies[0]
+    assert copies[0] < 5 and copies[1] < 2.5 * copies[0]  # of 8 times the vectors
 
 
 def test_components_of_chains_and_stars(spark):

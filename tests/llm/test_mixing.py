@@ -86,7 +86,7 @@ def brute(docs, hashes, weights, share, most, seed, size):
     shards = -(-sum(slots) // 4096)
     for shard in range(shards):
         n = np.random.default_rng([seed, shard]).multinomial(min(4096, sum(slots) - shard * 4096), np.array(slots) / max(sum(slots), 1))
-        for k, c in enumerate(n):
+        for k, c in enumerate(n.tolist()):
             order += [(k, drawn[k] + j) for j in range(c)]
             drawn[k] += c
     lacking = [(k, j) for k in range(len(names)) for j in range(drawn[k], slots[k])]
