@@ -10,7 +10,8 @@ converged columns leave the matrix. The objective of a column is
 
     mean of weight * loss  +  reg * ((1 - l1) / 2 * |w|^2 + l1 * |w|_1)        (the intercept is not penalised)
 
-with the logistic loss, or the hinge loss whose corner is rounded over a margin of ``CORNER`` (so it has a gradient).
+with the logistic loss, or the smooth hinge loss: zero from margin 1 on, linear below 1 - ``CORNER``, quadratic between (so
+it has a gradient, and a class that cannot be told from the rest keeps margins near 0 instead of any of many equal optima).
 All of it is convex: where a fit converges does not depend on the columns beside it.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from stayframe.operators import blocks as B
 
 CLASSES = (0, 1, 2)
-CORNER, MEMORY, ARMIJO, STEPS = 0.1, 10, 1e-4, 30
+CORNER, MEMORY, ARMIJO, STEPS = 1.0, 10, 1e-4, 30
 
 
 @dataclasses.dataclass(frozen=True)
