@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from stayframe.operators import blocks as B
 
 CLASSES = (0, 1, 2)
-BINS, RIDGE, PASS_BYTES, HELD_BYTES = 32, 1.0, 16 << 20, 256 << 20
+BINS, RIDGE, PASS_BYTES, HELD_BYTES = 32, 1.0, 48 << 20, 512 << 20
 #: Bits of a double that one pass over its values tells apart.
 LEVELS = (12, 10, 10, 8, 8, 8, 8)
 

@@ -143,28 +143,32 @@ def _all_points(spark, registry, hyper):
     return {name: b for name, (b, _) in found.items()}, grid
 
 
-#: Rounds of boosting in the searches of every grid point.
-SEARCH_ROUNDS = 2
+#: Rounds of boosting and epochs of perceptrons in the searches of whole grids.
+SEARCH_ROUNDS, SEARCH_EPOCHS = 1, 3
 
 
-def _study(spark, d):
-    """The study's seven models with their whole grids, on the noisy table and (the null-kept model) on the one with NULLs:
-    [(registry, table)]."""
-    reg = {k: v for k, v in M.default_registry(len(NUM), rounds=SEARCH_ROUNDS).items() if k != "adaboost_forest"}
+def _study(spark, d, corners: bool = False):
+    """The study's seven models, on the noisy table and (the null-kept model) on the one with NULLs, [(registry, table)]: their
+    whole grids, or the first and last value of every list."""
+    reg = {k: v for k, v in M.default_registry(len(NUM), SEARCH_EPOCHS, SEARCH_ROUNDS).items() if k != "adaboost_forest"}
     kept, cols = _data(spark, d, nulls=True)
-    return [(reg, _data(spark, d)[0]), (M.missing_registry(cols, SEARCH_ROUNDS), kept)]
+    out = [(reg, _data(spark, d)[0]), (M.missing_registry(cols, SEARCH_ROUNDS), kept)]
+    for registry, _ in out if corners else []:
+        for spec in registry.values():
+            spec.grid = {k: [v[0], v[-1]] for k, v in spec.grid.items()}
+    return out
 
 
 def g01b_grid_search_all_noisy(spark, d):
-    """G01/G02 over all seven models: mean and deviation of every point's accuracy over the folds."""
+    """G01/G02 over all seven models and every point of their grids: mean and deviation of the accuracy over the folds."""
     tables = [_all_points(spark, reg, df.where(F.col("split") == "hyperopt"))[1] for reg, df in _study(spark, d)]
     return tables[0].unionByName(tables[1])
 
 
 def g04b_generalisation_all_noisy(spark, d):
-    """G03/G04 over all seven models at the best points of their searches."""
+    """G03/G04 over all seven models, each at the best of its grid's corners."""
     out = []
-    for reg, df in _study(spark, d):
+    for reg, df in _study(spark, d, corners=True):
         best, _ = _all_points(spark, reg, df.where(F.col("split") == "hyperopt"))
         comp = M.compare_table(spark, reg, best, df.where(F.col("split") == "hyperopt"), df.where(F.col("split") == "compare"))
         test = M.compare_table(spark, reg, best, df.where(F.col("split").isin("hyperopt", "compare")), df.where(F.col("split") == "test"))
