@@ -137,3 +137,22 @@ def test_range_max_hot_bucket_split_matches_brute_force(spark):
             m = s[(dt >= lo) & (dt < hi)].v
             return None if m.empty else float(m.max())
         assert got[r.id] == (mx(D, 2 * D), mx(-D, timedelta(0)), mx(-2 * D, -D))
+
+
+def test_split_and_folds_rank_once(spark):
+    rows = [(i, "a" if i % 10 else None if i % 20 else "b", float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, cls string, v double")
+    both = SP.split_and_folds(df, "cls", ["id"], seed=44, k=3)
+    want = SP.kfold(SP.stratified_split(df, "cls", ["id"], seed=44), "cls", ["id"], seed=44, k=3)
+    assert both.columns == want.columns and sorted(both.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
+    # the rows' values are shuffled once: the offsets join where the window has put the rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = SP.split_and_folds(df, "cls", ["id"], seed=44, k=3)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    join = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+    below = lines[join:next(k for k, line in enumerate(lines) if k > join and "Scan" in line)]
+    assert sum("Exchange" in line for line in below) == 1
