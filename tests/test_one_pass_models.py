@@ -111,6 +111,26 @@ def test_linear_search_equals_single_fits(spark):
             assert np.abs(counts[p, fold] - want).sum() <= 2
 
 
+def test_linear_fits_take_few_passes_and_agree_with_first_order_steps(spark, monkeypatch):
+    """Also where the classes can be told apart and the penalty is weak, where first-order steps take some hundred passes."""
+    rows = [(i, float(i % 3), float(i % 3 == 0), float(i % 3 == 1), float(i % 7)) for i in range(300)]
+    apart = EN.assemble(spark.createDataFrame(rows, "id long, label double, a double, b double, c double"), ["a", "b", "c"])
+    passes, summed = [], B.summed
+    monkeypatch.setattr(B, "summed", lambda *a, **b: passes.append(1) or summed(*a, **b))
+    for df in (apart, noisy(spark)[0]):
+        data, points = B.pack(df), [L.Point("log", 1e-6), L.Point("hinge", 1e-4), L.Point("log", 1e-3, 0.6), L.Point("log", 0.2, 1.0)]
+        columns = L.Columns.of(points, [0], L.CLASSES)
+        passes.clear()
+        newton = L.solve(data, columns)
+        assert len(passes) <= 40
+        with monkeypatch.context() as m:
+            m.setattr(L, "SECOND", 0)
+            plain = L.solve(data, columns, max_iter=1000)
+        penalty = np.concatenate([np.tile(columns.l1, (data.dim, 1)), np.zeros((1, len(columns.cls)))])
+        of = lambda w: L._evaluated(data, columns, L.CLASSES, w)[0] + (penalty * np.abs(w)).sum(0)
+        assert (of(newton) <= of(plain) + 1e-7).all()
+
+
 def test_class_absent_or_alone(spark):
     df, _ = noisy(spark)
     two = df.where("label <> 2")
@@ -281,3 +301,14 @@ def test_quantile_cuts_of_few_negative_and_equal_values(spark):
     df = spark.createDataFrame([(float(i % 3), -1.5 if i % 2 else 0.0, -0.0 if i % 5 else 1e300, None) for i in range(60)], "label double, a double, b double, c double")
     cuts = BT.quantile_cuts(B.pack(df, features=["a", "b", "c"]))
     assert [e.tolist() for e in cuts.edges] == [[-1.5, 0.0], [0.0, 1e300], []]
+
+
+def test_equal_binned_rows_are_added_up(spark):
+    """The passes read combinations of bins, however many rows there are."""
+    rows = [(float(i % 3), float(i % 4), float(i % 5) if i % 6 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "label double, a double, b double").repartition(4)
+    data = B.pack(df, [F.lit(1), F.when(F.col("a") > 1, 2).otherwise(1)], features=["a", "b"])
+    cuts = BT.quantile_cuts(data)
+    once = BT.binned(data, cuts)
+    got = B.summed(once, lambda r: np.array([len(r.y), r.key.sum(), (r.key * (r.y == 1) * (r.part[:, 1] == 2)).sum()]), 3)
+    assert got.tolist() == [len(set(rows)), 6000, sum(y == 1 and a > 1 for y, a, _ in rows)]
