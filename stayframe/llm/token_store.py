@@ -44,6 +44,8 @@ from .token_counts import LETTER, NUMBER, OTHER, SPACE, CharClasses, byte_alphab
 MIN_COUNT, BLOCK_IDS = 24, 1 << 20
 #: Bits of a word's number of ids where it is packed with its offset.
 LENGTH_BITS = 31
+#: Pairs of a block that are looked up at once.
+_PART = 1 << 16
 
 
 class WordEncoder:
@@ -162,32 +164,40 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _often(key: np.ndarray, min_count: int) -> np.ndarray:
+    """Sorted distinct keys that occur so often."""
+    key = np.sort(key)
+    edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[edge[np.diff(np.append(edge, len(key))) >= min_count]]
+
+
 def re_pair(ids: np.ndarray, end_id: int, min_count: int = MIN_COUNT, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules, first rule's symbol) of one block. Each round makes every frequent pair a nonterminal and
     replaces its occurrences from the left, until no pair is frequent. An occurrence that stays overlaps one that was
     replaced, so it is none any more: after a round only pairs with a symbol of that round can be frequent, and only
     these are counted in the next one. ``rounds`` ends it earlier."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32 if int(ids.max(initial=end_id)) < 1 << 30 and len(ids) < 1 << 30 else np.int64)
     first = top = int(seq.max(initial=end_id)) + 1
     rules: list[np.ndarray] = []
     young = np.ones(len(seq), bool)  # symbols of the last round
     while len(seq) > 1 and (rounds is None or len(rules) < rounds):
-        spot = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id) & (young[:-1] | young[1:]))
-        key = seq[spot] << 32 | seq[spot + 1]
-        ordered = np.sort(key)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-        often = np.flatnonzero(np.diff(np.append(edge, len(ordered))) >= min_count)
-        if not len(often):
+        asked = (seq[:-1] != end_id) & (seq[1:] != end_id) & (young[:-1] | young[1:])
+        key = seq[:-1][asked].astype(np.int64)
+        key <<= 32
+        key |= seq[1:][asked]
+        pairs = _often(key, min_count)
+        if not len(pairs):
             break
-        pairs = ordered[edge[often]]
         sieve = np.zeros(1 << 20, bool)
         slot = lambda k: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
         sieve[slot(pairs)] = True
-        maybe = np.flatnonzero(sieve[slot(key)])
-        rule = np.searchsorted(pairs, key[maybe])
+        maybe = np.concatenate([i + np.flatnonzero(sieve[slot(key[i:i + _PART])]) for i in range(0, len(key), _PART)])
+        key, spot = key[maybe], np.flatnonzero(asked)[maybe]
+        rule = np.searchsorted(pairs, key)
         rule[rule == len(pairs)] = 0
-        same = pairs[rule] == key[maybe]
-        at, rule = spot[maybe[same]], rule[same]
+        same = pairs[rule] == key
+        at, rule = spot[same], rule[same]
+        del key, spot, maybe, same, asked
         # of overlapping occurrences every second one is replaced, from the left
         head = np.concatenate([[True], at[1:] != at[:-1] + 1])
         order = np.arange(len(at))
@@ -232,8 +242,8 @@ _STORE = ("shard int, block int, n_ids bigint, n_docs bigint, doc_ids array<{kin
 def _block(shard: int, number: int, doc_ids: list, ids: np.ndarray, sizes: list[int], end_id: int) -> tuple:
     """A row of the store. The id may also occur inside a text, so the one that closes a
     document is a symbol of its own here: the one below the first rule's."""
-    ids = ids.astype(np.int64)
     closing = int(max(ids.max(initial=0), end_id)) + 1
+    ids = ids.astype(np.int32 if closing < 1 << 30 else np.int64)
     ids[np.cumsum(sizes) - 1] = closing
     symbols, rules, first = re_pair(ids, closing)
     ends = np.flatnonzero(symbols == closing) + 1
@@ -258,7 +268,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
 
         def flush():
             nonlocal names, sizes, held, size, number
-            row = _block(shard, number, names, np.concatenate(held), sizes, end_id)
+            ids, held = np.concatenate(held), []
+            row = _block(shard, number, names, ids, sizes, end_id)
             names, sizes, held, size, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
@@ -278,6 +289,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
                         yield flush()
         if names:
             yield flush()
+        own.forget()  # the worker lives on, and other stages need its memory
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     tie = F.xxhash64("_text")
