@@ -10,7 +10,7 @@ of bytes.
 
 Training takes about ``SAMPLE`` windows in all, the same number for each language (up to
 ``WINDOWS_A_TEXT`` from a text where texts are few), from documents picked by a hash of their
-id; that bound is the only sample. Prediction reads
+id; that bound is the network's only sample, and nothing else comes from it. Prediction reads
 whole texts in one pass without a shuffle. Null texts and texts without a letter give ``und``
 with score 0. With no labelled document every text gives ``und``. Null labels are not
 learned from; null ids are never learned from and count as not held out. Extra columns are not read.
@@ -20,7 +20,7 @@ also asks whether a text is like any language: the mean log probability of its l
 bytes from 128 on and spaces; digits, signs and what stands beside them do not count) under the
 Witten-Bell smoothed byte pairs of the language that fits it best must reach a floor. Floors are by the
 number of pairs, since short texts vary more: the ``STRANGE`` quantile of windows of held-out labelled texts (two folds by
-document), less ``SLACK``. Texts without such a pair have nothing to judge and stay.
+document), less ``SLACK``. Pairs and floors are counted by Spark over all windows of all labelled texts. Texts without such a pair have nothing to judge and stay.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ SAMPLE, STEPS, BATCH, RATE, WINDOWS_A_TEXT = 8000, 1000, 64, 4e-3, 16
 _REACH = max(WIDTHS) - 1
 #: Share of known windows below a floor, what is taken off it, and the numbers of letter pairs that have one (others: the next below).
 STRANGE, SLACK, SIZES = 0.001, 0.3, (1, 2, 4, 8, 16, 32, 64, 128, 192)
+#: Steps of one unit in which means are counted for the floors.
+FINE = 1024
 _JUDGED = np.zeros(256, bool)
 _JUDGED[[32, *range(97, 123), *range(128, 256)]] = True
 UNKNOWN = "und"
@@ -153,35 +155,94 @@ def _judged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.astype(np.int32) << 8 | b, _JUDGED[a] & _JUDGED[b] & ((a != 32) | (b != 32))
 
 
-def _pair_logs(x: np.ndarray, y: np.ndarray, many: int) -> np.ndarray:
-    """[many, 65536]: log probability of each byte given the one before, by language, from windows ``x`` of languages ``y``."""
-    out = np.zeros((many, 1 << 16), np.float32)
-    for k in range(many):
-        pair, counts = _judged(x[y == k])
-        c = np.bincount(pair[counts], minlength=1 << 16).reshape(256, 256).astype(np.float64)
+def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that count in lower-cased texts, one after the other, and the text of each."""
+    if len(data) < 2:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    pair, counts = _judged(data)
+    edges = offsets[1:-1]
+    counts[edges[(edges > 0) & (edges < len(data))] - 1] = False  # not from one text to the next
+    at = np.flatnonzero(counts)
+    return pair[at], np.searchsorted(offsets, at, side="right") - 1
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows [i, j) of a column: their lower-cased bytes and offsets."""
+    data, offsets = utf8(column)
+    for i, j in slices(offsets):
+        yield i, j, LOWER_BYTE[data[offsets[i]:offsets[j]]], offsets[i:j + 1] - offsets[i]
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    """[languages, 65536]: log probability of each byte given the one before, by language, from the counts of pairs."""
+    out = np.zeros(counts.shape, np.float32)
+    for k, c in enumerate(counts.reshape(-1, 256, 256).astype(np.float64)):
         alone, kinds = (c.sum(0) + 1) / (c.sum() + 256), (c > 0).sum(1, keepdims=True) + 1
         out[k] = np.log((c + kinds * alone) / (c.sum(1, keepdims=True) + kinds)).ravel()
     return out
 
 
-def _floors(x: np.ndarray, y: np.ndarray, fold: np.ndarray, many: int) -> np.ndarray:
-    """Per number of pairs in SIZES, the floor of a known text's mean; each fold is judged by the other's pairs."""
-    found = [[] for _ in SIZES]
-    for f in (0, 1):
-        logs, own = _pair_logs(x[fold != f], y[fold != f], many), x[fold == f]
-        for i in range(0, len(own), 1024):
-            pair, counts = _judged(own[i:i + 1024])
-            nth = np.cumsum(counts, 1)
-            sums = [np.cumsum(np.where(counts, logs[k][pair], 0), 1, dtype=np.float64) for k in range(many)]
-            for found_of, size in zip(found, SIZES):
-                row = np.flatnonzero(nth[:, -1] >= size)
-                at = (nth[row] >= size).argmax(1)
-                found_of.append(np.max([z[row, at] for z in sums], 0) / size)
-    found = [np.concatenate(v) for v in found]
-    floors = np.array([np.quantile(v, STRANGE) - SLACK if len(v) else -np.inf for v in found])
-    for k in range(1, len(floors)):  # texts longer than any known window: the floor of the longest
-        if floors[k] == -np.inf:
-            floors[k] = floors[k - 1]
+def _numbered(batch: pa.RecordBatch, number: dict) -> np.ndarray:
+    """2 * language + fold of each row."""
+    return np.array([2 * number[x] for x in batch.column(2).to_pylist()], np.int64) + (batch.column(0).to_numpy(zero_copy_only=False) & 1)
+
+
+def _pair_counts(texts: DataFrame, number: dict) -> np.ndarray:
+    """[languages, folds, 65536]: the pairs of all texts (columns h, _text, _lang), added up by Spark; only the sums reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = _numbered(b, number)
+            for i, j, data, offsets in _slices(b.column(1)):
+                pair, row = _pairs(data, offsets)
+                keys, n = np.unique(group[i:j][row] << 16 | pair, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    out = np.zeros(len(number) << 17, np.int64)
+    for r in texts.mapInArrow(released(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        out[r["key"]] = r["n"]
+    return out.reshape(len(number), 2, 1 << 16)
+
+
+def _floors(texts: DataFrame, number: dict, counts: np.ndarray) -> np.ndarray:
+    """Per number of pairs in SIZES, the floor of a known text's mean: all windows of all texts, each fold judged by the
+    other's pairs. Means are counted in steps of 1 / ``FINE`` by Spark; every language weighs the same."""
+    many = len(number)
+    shared = texts.sparkSession.sparkContext.broadcast([_logs(counts[:, 1 - f]) for f in (0, 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group, found = _numbered(b, number), []
+            for i, j, data, offsets in _slices(b.column(1)):
+                x, text, _ = windows(data, offsets)
+                for f in (0, 1):
+                    of = np.flatnonzero(group[i:j][text] & 1 == f)
+                    for a in range(0, len(of), 256):
+                        own = of[a:a + 256]
+                        pair, judged = _judged(x[own])
+                        nth = np.cumsum(judged, 1)
+                        sums = [np.cumsum(np.where(judged, logs[pair], 0), 1, dtype=np.float64) for logs in shared.value[f]]
+                        for s, size in enumerate(SIZES):
+                            row = np.flatnonzero(nth[:, -1] >= size)
+                            at = (nth[row] >= size).argmax(1)
+                            mean = np.max([z[row, at] for z in sums], 0) / size
+                            place = (group[i:j][text[own[row]]] >> 1) * len(SIZES) + s
+                            found.append(place << 32 | np.floor(-mean * FINE).astype(np.int64))
+            keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    rows = texts.mapInArrow(released(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    key, n = np.array([r["key"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
+    lang, size, mean = (key >> 32) // len(SIZES), (key >> 32) % len(SIZES), -((key & 0xFFFFFFFF) + 1) / FINE
+    floors = np.full(len(SIZES), -np.inf)
+    for s in range(len(SIZES)):
+        own = np.flatnonzero(size == s)
+        if len(own):
+            own = own[np.argsort(mean[own], kind="stable")]
+            total = np.bincount(lang[own], n[own], many)
+            share = np.cumsum(n[own] / total[lang[own]]) / (total > 0).sum()
+            floors[s] = mean[own[min(np.searchsorted(share, STRANGE), len(own) - 1)]] - SLACK
+        elif s:  # texts longer than any known window: the floor of the longest
+            floors[s] = floors[s - 1]
     return floors
 
 
@@ -221,7 +282,9 @@ def fit(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: st
     y = np.array([number[r[1]] for r in rows])
     model = train(x, y, labels, seed) if rows else None
     if model and floors:
-        model.pairs, model.floors = _pair_logs(x, y, len(labels)), _floors(x, y, np.array([r[0] & 1 for r in rows]), len(labels))
+        texts = known.filter(F.length("_text") > 0).select(F.xxhash64("_id").alias("h"), "_text", "_lang")
+        pairs = _pair_counts(texts, number)
+        model.pairs, model.floors = _logs(pairs.sum(1)), _floors(texts, number, pairs)
     return model
 
 
@@ -268,17 +331,9 @@ def _predict(model: Model, tables: dict, column: pa.Array) -> tuple[np.ndarray,
 
 def _like_known(model: Model, column: pa.Array) -> np.ndarray:
     """Whether each text's letter pairs are as probable in some language as a known text's."""
-    data, offsets = utf8(column)
-    out = np.ones(len(offsets) - 1, bool)
-    for i, j in slices(offsets):
-        part, off = LOWER_BYTE[data[offsets[i]:offsets[j]]], offsets[i:j + 1] - offsets[i]
-        if len(part) < 2:
-            continue
-        pair, counts = _judged(part)
-        edges = off[1:-1]
-        counts[edges[(edges > 0) & (edges < len(part))] - 1] = False  # not from one text to the next
-        at = np.flatnonzero(counts)
-        row, pair = np.searchsorted(off, at, side="right") - 1, pair[at]
+    out = np.ones(len(column), bool)
+    for i, j, data, offsets in _slices(column):
+        pair, row = _pairs(data, offsets)
         n = np.bincount(row, minlength=j - i)
         some = np.flatnonzero(n)
         mean = np.max([np.bincount(row, logs[pair], j - i)[some] for logs in model.pairs], 0) / n[some]

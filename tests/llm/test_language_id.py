@@ -62,3 +62,18 @@ def test_model_tables_equal_the_plain_network():
     want = z - z.max(1, keepdims=True)
     want = want - np.log(np.exp(want).sum(1, keepdims=True))
     assert np.allclose(model.log_probs(x, model.tables()), want, atol=1e-4)
+
+
+def test_pairs_and_floors_come_from_all_texts(spark, documents):
+    rows = [(k, text, lang, None) for k in range(120) for lang, text in (("en", f"the cat {k} and dog " * (1 + k % 30)), ("de", f"der hund und katze {k} " * (1 + k % 9)))]
+    docs = documents([(i, t, lang, s) for i, (_, t, lang, s) in enumerate(rows)] + [(900, "zebra zq", "en", None)]).repartition(5)
+    few, more = (li.fit(docs, F.col("doc_id").isNotNull(), sample=n, floors=True) for n in (20, 2000))
+    assert (few.pairs == more.pairs).all() and (few.floors == more.floors).all() and (np.diff(few.floors[:4]) > -20).all()
+    counts = np.zeros((2, 1 << 16), np.int64)
+    for r in docs.collect():
+        raw = r.text.encode()
+        for a, b in zip(raw, raw[1:]):
+            if li._JUDGED[a] and li._JUDGED[b] and (a, b) != (32, 32):
+                counts[("de", "en").index(r.lang), a << 8 | b] += 1
+    assert (few.pairs == li._logs(counts)).all() and counts[1, ord("z") << 8 | ord("q")] == 1
+    assert {r.doc_id for r in li.keep_known(docs, more, 0.0).collect()} >= set(range(240))
