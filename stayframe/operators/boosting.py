@@ -124,13 +124,14 @@ def quantile_cuts(data: B.Blocks, bins: int = BINS) -> Cuts:
             out = np.zeros(starts[-1])
             for f in range(dim):
                 v = rows.x[:, f]
-                order = _ordered(v[~np.isnan(v)])
+                some = ~np.isnan(v)
+                order, count = _ordered(v[some]), rows.count[some]
                 top = order >> (shift + np.uint64(width)) if level else np.zeros(len(order), np.uint64)
                 cell = np.searchsorted(cells[f], top)
                 cell[cell == len(cells[f])] = 0
                 same = cells[f][cell] == top
                 at = (cell[same].astype(np.int64) << width) + ((order[same] >> shift) & np.uint64((1 << width) - 1)).astype(np.int64)
-                out[starts[f]:starts[f + 1]] += np.bincount(at, minlength=starts[f + 1] - starts[f])
+                out[starts[f]:starts[f + 1]] += np.bincount(at, count[same], starts[f + 1] - starts[f])
             return out
 
         counts = B.summed(data, each, int(starts[-1]))
@@ -349,7 +350,7 @@ class BoostedTrees:
         self.point, self.rounds, self.balanced, self.features, self.label, self.classes = point, rounds, balanced, features, label, classes
 
     def fit(self, df: DataFrame) -> "BoostedTreesModel":
-        data = B.pack(df, None, self.features, self.label, self.classes)
+        data = B.pack(df, None, self.features, self.label, self.classes, merged=True)
         cuts = quantile_cuts(data)
         trees, = train(binned(data, cuts), [(self.point, 0)], self.rounds, self.balanced, self.classes)
         return BoostedTreesModel(trees, cuts, self.features, self.classes)

@@ -96,12 +96,12 @@ def _evaluated(data: B.Blocks, columns: Columns, classes, w: np.ndarray, second:
     some = max(64, CELLS // size)
 
     def each(rows: B.Rows) -> np.ndarray:
-        out = np.zeros((dim + 2 + (len(left) if second else 0), size))
+        out, count = np.zeros((dim + 2 + (len(left) if second else 0), size)), rows.count
         for i in range(0, len(rows.y), some):
             x = np.concatenate([rows.x[i:i + some], np.ones((len(rows.y[i:i + some]), 1))], 1)
             hit = rows.y[i:i + some, None] == target
             sign = np.where(hit, 1.0, -1.0)[:, which]
-            weight = (np.where(hit, heavy, light) * (rows.part[i:i + some, kinds[0]] == 1))[:, which]
+            weight = (np.where(hit, heavy, light) * (rows.part[i:i + some, kinds[0]] == 1) * count[i:i + some, None])[:, which]
             found = losses(sign * (x @ w), columns.hinge, second)
             out[0] += (found[0] * weight).sum(0)
             out[1:dim + 2] += x.T @ (found[1] * sign * weight)
@@ -263,12 +263,12 @@ def confusions(data: B.Blocks, w: np.ndarray, points: int, folds: list[int], cla
     def each(rows: B.Rows) -> np.ndarray:
         margin = rows.x @ finite[:dim] + finite[dim] + fixed
         best = margin.reshape(len(rows.y), points, len(folds), k).argmax(3)  # ties: the first class
-        scored = (rows.part[:, folds] == 2)[:, None, :]
+        scored = np.where(rows.part[:, folds] == 2, rows.count[:, None], 0.0)[:, None, :]
         out = np.zeros((points, len(folds), k, k))
         for i, c in enumerate(classes):
-            true = scored & (rows.y == c)[:, None, None]
+            true = scored * (rows.y == c)[:, None, None]
             for j in range(k):
-                out[:, :, i, j] = (true & (best == j)).sum(0)
+                out[:, :, i, j] = (true * (best == j)).sum(0)
         return out.ravel()
 
     return B.summed(data, each, points * len(folds) * k * k).reshape(points, len(folds), k, k).astype(np.int64)
@@ -289,7 +289,7 @@ class LinearOvr:
         self.point, self.max_iter, self.classes, self.features, self.label = point, max_iter, classes, features, label
 
     def fit(self, df: DataFrame) -> "LinearOvrModel":
-        data = B.pack(df, features=self.features, label=self.label, classes=self.classes)
+        data = B.pack(df, features=self.features, label=self.label, classes=self.classes, merged=True)
         w = solve(data, Columns.of([self.point], [0], self.classes), self.classes, self.max_iter)
         return LinearOvrModel(w, self.classes, self.features)
 

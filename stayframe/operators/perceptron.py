@@ -27,6 +27,8 @@ from stayframe.operators import blocks as B
 CLASSES = (0, 1, 2)
 #: Adadelta: decay of its averages, and the constant that sets its first steps.
 DECAY, EPSILON = 0.95, 1e-4
+#: Rows that a task runs through the networks at once.
+SOME = 1024
 
 
 @dataclasses.dataclass(frozen=True)
@@ -77,11 +79,12 @@ def forward(x: np.ndarray, weights: list[np.ndarray], masks: list | None = None)
     """The hidden layers' outputs and the scores of the classes."""
     out = []
     for i, w in enumerate(weights):
-        x = x @ w[:-1] + w[-1]
+        x = x @ w[:-1]
+        x += w[-1]
         if i < len(weights) - 1:
-            x = np.maximum(x, 0)
+            np.maximum(x, 0, out=x)
             if masks is not None and masks[i] is not None:
-                x = x * masks[i]
+                x *= masks[i]
         out.append(x)
     return out
 
@@ -98,9 +101,10 @@ def gradient(x: np.ndarray, target: np.ndarray, weight: np.ndarray, weights: lis
         below = x if i == 0 else outs[i - 1]
         grads.append(np.concatenate([below.T @ back, back.sum(0)[None]]).ravel())
         if i:
-            back = (back @ weights[i][:-1].T) * (outs[i - 1] > 0)
+            back = back @ weights[i][:-1].T
+            back *= outs[i - 1] > 0
             if masks[i - 1] is not None:
-                back = back * masks[i - 1]
+                back *= masks[i - 1]
     return np.concatenate([*grads[::-1], [loss]])
 
 
@@ -138,27 +142,31 @@ def train(data: B.Blocks, networks: list[tuple[Point, int]], epochs: int = 10, b
             values = [s.value for s in state]
 
             def each(rows: B.Rows, epoch=epoch, values=values) -> np.ndarray:
-                out, drawn = np.zeros(edges[-1]), {}
-
-                def mask(layer: int, units: int, rate: float):
-                    if not rate:
-                        return None
-                    if (layer, units) not in drawn:
-                        drawn[layer, units] = uniforms(rows.key, epoch, layer, units, seed)
-                    return (drawn[layer, units] >= rate) / (1 - rate)
-
-                hit = rows.y[:, None] == target_of
-                for fold in {f for _, f in networks}:
-                    trains = (rows.part[:, fold] == 1) & hit.any(1)
-                    x, target = rows.x[trains], hit[trains].astype(np.float64)
-                    weight = target @ by_class[fold]
-                    for n, (point, own) in enumerate(networks):
-                        if own != fold:
-                            continue
-                        masks = [mask(i, u, r) for i, (u, r) in enumerate(zip(point.units, point.dropout))]
-                        masks = [None if m is None else m[trains] for m in masks]
-                        out[edges[n]:edges[n + 1] - 1] = gradient(x, target, weight, layers(values[n], sizes[n]), masks)
-                        out[edges[n + 1] - 1] = weight.sum()
+                out, whole = np.zeros(edges[-1]), rows.count
+                nets = [layers(v, s) for v, s in zip(values, sizes)]
+                for at in range(0, len(rows.y), SOME):  # so few rows that a layer's outputs stay in a core's cache
+                    part = slice(at, at + SOME)
+                    hit, drawn = rows.y[part, None] == target_of, {}
+
+                    def mask(layer: int, units: int, rate: float):
+                        if rate and (layer, units) not in drawn:
+                            drawn[layer, units] = uniforms(rows.key[part], epoch, layer, units, seed)
+                        return (drawn[layer, units] >= rate) / (1 - rate) if rate else None
+
+                    for fold in {f for _, f in networks}:
+                        trains = (rows.part[part, fold] == 1) & hit.any(1)
+                        x, target, kept = rows.x[part][trains], hit[trains].astype(np.float64), {}
+                        weight = target @ by_class[fold] * whole[part][trains]
+                        for n, (point, own) in enumerate(networks):
+                            if own != fold:
+                                continue
+                            for unit in enumerate(zip(point.units, point.dropout)):
+                                if unit not in kept:
+                                    m = mask(unit[0], *unit[1])
+                                    kept[unit] = None if m is None else m[trains]
+                            masks = [kept[unit] for unit in enumerate(zip(point.units, point.dropout))]
+                            out[edges[n]:edges[n + 1] - 1] += gradient(x, target, weight, nets[n], masks)
+                            out[edges[n + 1] - 1] += weight.sum()
                 return out
 
             total = B.summed(dealt[batch], each, int(edges[-1]))
@@ -176,11 +184,11 @@ def confusions(data: B.Blocks, networks: list[tuple[Point, int]], values: list[n
 
     def each(rows: B.Rows) -> np.ndarray:
         out = np.zeros((len(networks), k, k))
-        truth = np.searchsorted(classes, rows.y)
+        truth, count = np.searchsorted(classes, rows.y), rows.count
         for n, (_, fold) in enumerate(networks):
             scored = (rows.part[:, fold] == 2) & np.isin(rows.y, classes)
             best = forward(rows.x[scored], layers(values[n], sizes[n]))[-1].argmax(1)
-            out[n] = np.bincount(truth[scored] * k + best, minlength=k * k).reshape(k, k)
+            out[n] = np.bincount(truth[scored] * k + best, count[scored], k * k).reshape(k, k)
         return out.ravel()
 
     return B.summed(data, each, len(networks) * k * k).reshape(len(networks), k, k).astype(np.int64)
@@ -189,7 +197,7 @@ def confusions(data: B.Blocks, networks: list[tuple[Point, int]], values: list[n
 def search(df: DataFrame, parts: list, points: list[Point], epochs: int = 10, batches: int = 8, seed: int = 42, balanced: bool = True,
            features: str = "features", label: str = "label", classes=CLASSES) -> np.ndarray:
     """Confusion counts (points x folds x truth x prediction) of every point, fitted and scored in every fold."""
-    data = B.pack(df, parts, features, label, classes, batches, seed)
+    data = B.pack(df, parts, features, label, classes, batches, seed, merged=True)
     networks = [(p, f) for p in points for f in range(len(parts))]
     values = train(data, networks, epochs, batches, seed, balanced, classes)
     return confusions(data, networks, values, classes).reshape(len(points), len(parts), len(classes), len(classes))
@@ -204,7 +212,7 @@ class Perceptron:
         self.features, self.label, self.classes = features, label, classes
 
     def fit(self, df: DataFrame) -> "PerceptronModel":
-        data = B.pack(df, None, self.features, self.label, self.classes, self.batches, self.seed)
+        data = B.pack(df, None, self.features, self.label, self.classes, self.batches, self.seed, merged=True)
         value, = train(data, [(self.point, 0)], self.epochs, self.batches, self.seed, self.balanced, self.classes)
         return PerceptronModel(layers(value, shapes(self.point, data.dim, len(self.classes))), self.features, self.classes)
 
