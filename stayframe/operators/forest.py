@@ -1,4 +1,4 @@
-"""Random forests and boosting over them on binned rows.
+"""Random forests on binned rows, to boost over.
 
 Features are cut into bins at quantiles once, and rows of equal bins and label are added up to one (``boosting.binned``). Trees split by
 the least Gini impurity, every node among its own draw of features (the root of their number), and grow level by level, all
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,30 +226,3 @@ def predicted(df: DataFrame, features: str, cuts: BT.Cuts, value: Callable[[np.n
 
     x = vector_to_array(F.col(features))
     return df.withColumn(name, of(*[x[i] for i in range(width)]))
-
-
-class RandomForest:
-    """A random forest as an estimator; classes are 0, 1, ... up to the largest label, unless given."""
-
-    def __init__(self, trees: int = 20, depth: int = 5, seed: int = 44, features: str = "features", label: str = "label", classes=None):
-        self.trees, self.depth, self.seed, self.features, self.label, self.classes = trees, depth, seed, features, label, classes
-
-    def fit(self, df: DataFrame) -> "RandomForestModel":
-        classes = self.classes or tuple(range(int(df.agg(F.max(self.label)).first()[0] or 0) + 1))
-        data = B.pack(df, None, self.features, self.label, classes, merged=True)
-        cuts = BT.quantile_cuts(data)
-        return RandomForestModel(train(BT.binned(data, cuts), self.trees, self.depth, self.seed, np.ones(len(classes)), classes), cuts, self.features, classes)
-
-
-class RandomForestModel:
-    def __init__(self, trees: list[BT.Tree], cuts: BT.Cuts, features: str, classes):
-        self.trees, self.cuts, self.features, self.classes = trees, cuts, features, classes
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``probability`` (a vector) and ``prediction``: the likeliest class (ties: the smallest)."""
-        trees, names = self.trees, np.array(self.classes, np.float64)
-        if not self.cuts.edges:  # nothing was learned from
-            return df.withColumn("probability", array_to_vector(F.array(*[F.lit(1 / len(names))] * len(names)))).withColumn("prediction", F.lit(float(names[0])))
-        out = predicted(df, self.features, self.cuts, lambda bins: probabilities(trees, bins), "array<double>", "probability")
-        out = out.withColumn("probability", array_to_vector("probability"))
-        return predicted(out, self.features, self.cuts, lambda bins: names[probabilities(trees, bins).argmax(1)], "double", "prediction")

@@ -1,8 +1,8 @@
 """Classifiers, tuning and comparison.
 
 Linear classifiers, perceptrons and boosted trees are fitted by passes over packed rows, many grid points and folds in
-the same pass (``linear``, ``perceptron``, ``boosting``), random forests and the boosting over them on binned rows (``forest``). The
-driver holds parameters, sums and scores only. Labels are 0..k-1 doubles, features one vector column.
+the same pass (``linear``, ``perceptron``, ``boosting``), boosting over random forests on binned rows (``forest``); single random forests are
+MLlib's. The driver holds parameters, sums and scores only. Labels are 0..k-1 doubles, features one vector column.
 """
 
 from __future__ import annotations
@@ -63,9 +63,10 @@ def boosted_trees(step: float = 0.1, depth: int = 3, min_child_weight: float = 1
 
 def random_forest(trees: int = 20, depth: int = 5, seed: int = 44, weight_col: str | None = None):
     """M09."""
-    if weight_col:  # MLlib's, which draws every row and then weighs it
-        return _Plain(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol=weight_col))
-    return _Plain(FO.RandomForest(trees, depth, seed))
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+    if weight_col:
+        rf.setWeightCol(weight_col)
+    return _Plain(rf)
 
 
 def oversample_balanced(df: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
