@@ -53,6 +53,12 @@ def test_grid_search_takes_every_point(spark, lineitem, monkeypatch):
     _whole(seen)
 
 
+def test_comparison_takes_every_point(spark, lineitem, monkeypatch):
+    seen = _asked(monkeypatch, spark)
+    R.g04b_generalisation_all_noisy(spark, lineitem)
+    _whole(seen)
+
+
 @pytest.mark.parametrize("missing", [False, True])
 @pytest.mark.parametrize("balanced", [False, True])
 def test_trees_on_cells_are_those_of_the_passes(spark, monkeypatch, missing, balanced):
