@@ -4,11 +4,15 @@ Rows are ranked inside each stratum by ``md5(key | seed)``. The rank is exact
 but no stratum is ranked by one task: rows are grouped by (stratum, first 4
 hex digits of the hash) — 65,536 sub-groups per stratum — ranked there, and
 offset by the counts of the earlier sub-groups (a window over one count row
-per sub-group).
+per sub-group). ``split_at_cuts`` needs the ranks next to the cuts only and
+moves no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +51,61 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], seed: int =
     return strata_rank(df, _strata(label), key_cols, seed).withColumn("split", _split_name(first, second, names)).drop("_rank", "_n")
 
 
-def _split_name(first: float, second: float, names: tuple[str, str, str]) -> Column:
+#: Strata whose cuts ``split_at_cuts`` writes into one expression.
+MOST_STRATA = 100
+
+
+def split_at_cuts(df: DataFrame, label: str | None, key_cols: list[str], seed: int = 44, first: float = 0.8, second: float = 0.5,
+                  names: tuple[str, str, str] = ("hyperopt", "compare", "test")) -> DataFrame:
+    """``stratified_split`` of a table that is cheap to read again (it is counted at once, in two scans): no row is shuffled.
+    Counts by sub-group tell in which one each cut lies, those by hash in there after which hash; every row then compares its own
+    hash with these. Only rows whose hash is that of a cut inside equal hashes (rows of one key) are ranked."""
+    strata = _strata(label)
+    d = df.withColumn("_h", row_hash(key_cols, seed))
+    own = Window.partitionBy(*strata)
+    counts = d.groupBy(*strata, F.substring("_h", 1, 4).alias("_hb")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_n", F.sum("_c").over(own)).withColumn("_upto", F.sum("_c").over(own.orderBy("_hb")))
+    n1, n2 = _sizes(first, second)
+    cuts = counts.withColumn("_cut", F.explode(F.array(F.struct(F.lit(0).alias("k"), n1.alias("at")), F.struct(F.lit(1).alias("k"), (n1 + n2).alias("at")))))
+    inside = cuts.where((F.col("_cut.at") > F.col("_upto") - F.col("_c")) & (F.col("_cut.at") <= F.col("_upto")))
+    found = inside.select(*strata, "_hb", (F.col("_upto") - F.col("_c")).alias("before"), "_cut.k", "_cut.at").limit(2 * MOST_STRATA + 1).collect()
+    if len(found) > 2 * MOST_STRATA:
+        return stratified_split(df, label, key_cols, seed, first, second, names)
+    same = [F.col(label).eqNullSafe(F.lit(r[label])) if label else F.lit(True) for r in found]
+    near = [s & (F.substring("_h", 1, 4) == r["_hb"]) for s, r in zip(same, found)]
+    ahead = Window.partitionBy(*strata, F.substring("_h", 1, 4)).orderBy("_h")
+    hashes = d.where(_any(near)).groupBy(*strata, "_h").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(ahead))
+    hits = [n & (F.col("_upto") - F.col("_c") < r["at"] - r["before"]) & (F.col("_upto") >= r["at"] - r["before"]) for n, r in zip(near, found)]
+    last = {i: r for r in hashes.where(_any(hits)).select("_h", "_c", "_upto", F.array(F.lit(False), *hits).alias("hits")).collect() for i, h in enumerate(r["hits"][1:]) if h}
+    parts = [_any([s & (F.col("_h") <= last[i]["_h"]) for i, (s, r) in enumerate(zip(same, found)) if r["k"] == k]) for k in (0, 1)]
+    split = F.when(parts[0], names[0]).when(parts[1], names[1]).otherwise(names[2])
+    apart = [i for i, r in enumerate(found) if last[i]["_upto"] > r["at"] - r["before"]]  # cuts inside equal hashes
+    if not apart:
+        return d.withColumn("split", split).drop("_h")
+    tied = [same[i] & (F.col("_h") == last[i]["_h"]) for i in apart]
+    rank = F.row_number().over(Window.partitionBy(*strata, "_h").orderBy(*key_cols))
+    ranked = d.where(_any(tied)).withColumn("_rank", rank)
+    for k, i in enumerate(apart):
+        before = found[i]["before"] + last[i]["_upto"] - last[i]["_c"]
+        ranked = ranked.withColumn(f"_in{found[i]['k']}_{k}", F.when(tied[k], F.col("_rank") + before <= found[i]["at"]))
+    inside = [F.coalesce(*[F.col(f"_in{c}_{k}") for k, i in enumerate(apart) if found[i]["k"] == c], parts[c]) for c in (0, 1)]
+    ranked = ranked.withColumn("split", F.when(inside[0], names[0]).when(inside[1], names[1]).otherwise(names[2]))
+    return d.where(~_any(tied)).withColumn("split", split).drop("_h").unionByName(ranked.select(*df.columns, "split"))
+
+
+def _any(conditions: list[Column]) -> Column:
+    """True where a condition is (none is null here)."""
+    return functools.reduce(operator.or_, conditions, F.lit(False))
+
+
+def _sizes(first: float, second: float) -> tuple[Column, Column]:
+    """Rows of the first two parts, of ``_n``."""
     n1 = F.round(F.col("_n") * F.lit(first))
-    n2 = F.round((F.col("_n") - n1) * F.lit(second))
+    return n1, F.round((F.col("_n") - n1) * F.lit(second))
+
+
+def _split_name(first: float, second: float, names: tuple[str, str, str]) -> Column:
+    n1, n2 = _sizes(first, second)
     return (F.when(F.col("_rank") <= n1, names[0]).when(F.col("_rank") <= n1 + n2, names[1])
             .otherwise(names[2]))
 

@@ -7,6 +7,8 @@ stds) and the bounded category lists of the dummy columns.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from stayframe.operators import clean as CL
 from stayframe.operators import encode as EN
 from stayframe.operators import model as M
 from stayframe.operators import split as SP
-from stayframe.session import ensure_checkpoint_dir
+from stayframe.session import ensure_checkpoint_dir, stage_path
 
 ROW_KEY = "row_key"
 
@@ -55,10 +57,12 @@ def prepare_dense(df: DataFrame, max_missing: float = P.MAX_MISSING, fit_on_spli
     df = recode_categories(CL.drop_null_rows(drop_ids(add_row_key(df)).drop(*sparse)))
     categories, scaled, delays = ([c for c in cols if c in df.columns] for cols in (P.DUMMY_COLUMNS, P.NUMERIC_SCALED, [c for c in df.columns if "_delay" in c]))
     if fit_on_split:
+        # recoded once; the counts of the split, the moments and the result read that
+        df = _written(df)
         df = CL.range_filter(EN.dummies(df, categories), P.FEATURE_RANGES)
-        df = SP.stratified_split(df, "label", [ROW_KEY], seed=seed)
-        fit = df.where(F.col("split") == "hyperopt")
-        return EN.standardize_shared(EN.standardize(df, scaled, fit), delays, fit)
+        df = SP.split_at_cuts(df, "label", [ROW_KEY], seed=seed)
+        _, stats = EN.fit_together(df.where(F.col("split") == "hyperopt"), [], scaled, delays, F.lit(True))
+        return EN.apply_standard(df, stats)
     # recoded once; the values and all moments come from one pass over that
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint()
@@ -66,6 +70,13 @@ def prepare_dense(df: DataFrame, max_missing: float = P.MAX_MISSING, fit_on_spli
     return EN.apply_standard(CL.range_filter(EN.dummies(df, categories, values), P.FEATURE_RANGES), stats)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, whose scans read the columns they need."""
+    path = stage_path(df.sparkSession, f"prepared-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepare_with_nulls(df: DataFrame) -> DataFrame:
     """Null-kept path: empty columns dropped, NULL diagnosis as text ``nan``
     (then OTHER), null-tolerant outlier filter, null-aware scaling."""
