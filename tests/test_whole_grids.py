@@ -84,7 +84,21 @@ def test_many_nodes_split_as_one_by_one():
         g[:, f, 0] += (g[:, 0] - g[:, f]).sum(1)
     h[:20, :, -1] = g[:20, :, -1] = 0
     for part in (slice(0, 20), slice(20, 40)):
-        split, feature, cut, left, _, _ = BT.best_splits(g[part], h[part], 1.0)
+        split, feature, cut, left = BT.best_splits(g[part], h[part], 1.0)[:4]
         for i, (a, b) in enumerate(zip(g[part], h[part])):
             want = BT.best_split(np.stack([a, b], -1), 1.0)
             assert (want is not None) == split[i] and (want is None or want[1:] == (feature[i], cut[i], left[i]))
+
+
+def test_models_share_trees_only_while_these_are_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 9, (1, 300, 3)).astype(float)
+    held = BT.Cells(np.unique(rng.integers(0, 20, (900, 3)).astype(np.uint8), axis=0)[:300], counts, counts)
+    points = [BT.Point(1.0, 4, w) for w in (3.0, 0.1, 60.0, 0.3)]
+    grow, grown = BT._grow, []
+    monkeypatch.setattr(BT, "_grow", lambda *a: grown.append(a) or grow(*a))
+    together = BT.grown(held, points, 0, 4, np.ones(3))
+    assert 3 * 4 * 2 <= len(grown) < 3 * 4 * 4
+    for point, (trees, score) in zip(points, together):
+        (alone, own), = BT.grown(held, [point], 0, 4, np.ones(3))
+        assert alone == trees and (own == score).all()
