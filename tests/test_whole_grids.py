@@ -90,6 +90,18 @@ def test_many_nodes_split_as_one_by_one():
             assert (want is not None) == split[i] and (want is None or want[1:] == (feature[i], cut[i], left[i]))
 
 
+def test_both_tables_of_the_study_are_ranked_once(spark, lineitem, monkeypatch):
+    ranked, rank = [], SP.strata_rank
+    monkeypatch.setattr(SP, "strata_rank", lambda *a: ranked.append(a) or rank(*a))
+    (_, dense), (_, kept) = R._study(spark, lineitem)
+    assert len(ranked) == 1
+    for got, want in ((dense, R._data(spark, lineitem)[0]), (kept, R._data(spark, lineitem, nulls=True)[0])):
+        assert got.columns == want.columns
+        flat = lambda df: sorted([[None if v is None else round(v, 9) if isinstance(v, float) else [round(x, 9) for x in v] if hasattr(v, "toArray") else v for v in r]
+                                  for r in df.collect()], key=str)
+        assert flat(got) == flat(want)
+
+
 def test_models_share_trees_only_while_these_are_the_same(monkeypatch):
     rng = np.random.default_rng(4)
     counts = rng.integers(0, 9, (1, 300, 3)).astype(float)
